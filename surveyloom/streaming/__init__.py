@@ -1,0 +1 @@
+"""Nothing lives here: every operator of this library is a batch job over a bounded table."""
