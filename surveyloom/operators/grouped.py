@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions.columns import is_missing, percent, weighted_mean
 from surveyloom.operators.checks import require_columns
-from surveyloom.operators.lookup import attach, one_row, settle
+from surveyloom.operators.lookup import attach, attach_aggregate, one_row
 from surveyloom.operators.quantiles import quantile_values, quantiles
 
 
@@ -197,7 +197,7 @@ def demean(
     require_columns(df, [*columns, *keys, *([weight] if weight else [])])
     mean = (lambda c: weighted_mean(c, weight)) if weight else F.avg
     means = df.groupBy(*keys).agg(*[mean(c).alias(f"__mean_{i}") for i, c in enumerate(columns)])
-    joined = attach(df, settle(means), keys, null_safe=True)
+    joined = attach_aggregate(df, means, keys)
     new = [(F.col(c) - F.col(f"__mean_{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)]
     return joined.select(*df.columns, *new)
 

@@ -9,9 +9,10 @@ repeated once per salt; all other lookup rows stay single.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -25,19 +26,42 @@ def one_row(df: DataFrame) -> Row:
 
 def checkpoint_home(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a scratch one only if none is named."""
-    sc = spark.sparkContext
-    home = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if home is None:
         home = tempfile.mkdtemp(prefix="surveyloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(home)
+        spark.sparkContext.setCheckpointDir(home)
     return home
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{checkpoint_home(spark).rstrip('/')}/surveyloom-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute an aggregate once and cut its lineage, in storage that outlives executors."""
-    checkpoint_home(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write as Parquet to shared storage, and go on from there.
+
+    Later passes read the columns they need and repeat neither joins nor aggregates, and
+    losing an executor costs nothing that was written. ``clear_scratch`` removes the files.
+    """
+    return settle_measured(df, [])[0]
+
+
+def settle_measured(df: DataFrame, measures: Sequence[Column]) -> tuple[DataFrame, dict]:
+    """``settle``, with aggregates of the rows observed while they are being written.
+
+    The observation sits on the writing stage, where a repeated task counts once.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get if measures else {})
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete this application's settled tables; frames that read them stop working."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _width(field: T.StructField) -> Column | None:
@@ -49,17 +73,17 @@ def _width(field: T.StructField) -> Column | None:
     return None
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure at most ``rows + 1`` rows: true only if all of them fit in the bounds."""
+def _size_measures(df: DataFrame) -> list[Column]:
     widths = [w for w in map(_width, df.schema.fields) if w is not None]
     fixed = F.lit(8 * len(df.columns))
     total = sum(widths, fixed) if widths else fixed
-    seen = one_row(
-        df.limit(rows + 1).agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("b")
-        )
-    )
-    return seen["n"] <= rows and seen["b"] <= size
+    return [F.count(F.lit(1)).alias("__rows"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("__bytes")]
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure at most ``rows + 1`` rows: true only if all of them fit in the bounds."""
+    seen = one_row(df.limit(rows + 1).agg(*_size_measures(df)))
+    return seen["__rows"] <= rows and seen["__bytes"] <= size
 
 
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], aliases: Sequence[str], null_safe: bool) -> Column:
@@ -87,8 +111,12 @@ def attach(
     rows: int = BROADCAST_ROWS,
     size: int = BROADCAST_BYTES,
     salts: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join ``lookup`` (unique on ``on``) to ``facts``; the keys appear once in the result."""
+    """Join ``lookup`` (unique on ``on``) to ``facts``; the keys appear once in the result.
+
+    ``small`` passes on a measurement that was already made.
+    """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     keys = [on] if isinstance(on, str) else list(on)
@@ -100,7 +128,9 @@ def attach(
     side = lookup.select(*[F.col(k).alias(a) for k, a in zip(keys, aliases)], *payload)
     out = [*[facts[c] for c in facts.columns], *[F.col(c) for c in payload]]
 
-    if fits_broadcast(lookup, rows, size):
+    if small is None:
+        small = fits_broadcast(lookup, rows, size)
+    if small:
         return facts.join(F.broadcast(side), _match(facts, side, keys, aliases, null_safe), how).select(*out)
 
     n = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -118,6 +148,21 @@ def attach(
     return salted.join(spread, match, how).select(*facts.columns, *payload)
 
 
+def attach_aggregate(
+    facts: DataFrame,
+    aggregate: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    null_safe: bool = True,
+    rows: int = BROADCAST_ROWS,
+    size: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``attach`` for per-group results: they are computed once and measured as they are written."""
+    held, seen = settle_measured(aggregate, _size_measures(aggregate))
+    small = seen["__rows"] <= rows and seen["__bytes"] <= size
+    return attach(facts, held, on, how, null_safe, small=small)
+
+
 def add_site_columns(
     observations: DataFrame,
     sites: DataFrame,

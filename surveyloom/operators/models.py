@@ -14,7 +14,7 @@ from surveyloom.functions.columns import band
 from surveyloom.functions.tails import chi2_tail
 from surveyloom.operators.checks import require_columns
 from surveyloom.operators.grouped import cell_means, demean, repeatable_sample, top_groups
-from surveyloom.operators.lookup import attach, one_row, settle
+from surveyloom.operators.lookup import attach_aggregate, one_row
 from surveyloom.operators.normalize import composite_score, zscore
 from surveyloom.operators.ols import fit_ols, term_value
 from surveyloom.operators.prep import add_strata
@@ -243,8 +243,8 @@ def stratified_models(
     ``restandardize`` recomputes the attitude composite inside each stratum.
     """
     if stratify_by == "group":
-        top = settle(top_groups(df, spec.group, top_n)).select(spec.group)
-        data = attach(df, top, spec.group, how="inner").withColumn("stratum", F.col(spec.group).cast("string"))
+        top = top_groups(df, spec.group, top_n).select(spec.group)
+        data = attach_aggregate(df, top, spec.group, how="inner").withColumn("stratum", F.col(spec.group).cast("string"))
     elif stratify_by == "index":
         require_columns(df, [spec.index])
         cuts = quantile_values(df, spec.index, STRATUM_PROBS, method=method)

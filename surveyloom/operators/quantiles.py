@@ -18,9 +18,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from surveyloom.operators.checks import require_columns
 
 SLICES = 2048
-SMALL_BRACKET = 50_000
+SMALL_BRACKET = 1_000_000
 EXACT_GROUPS = 10_000
 
+_SPAN = T.StructType(
+    [
+        T.StructField("__b", T.IntegerType()),
+        T.StructField("__lo", T.DoubleType()),
+        T.StructField("__hi", T.DoubleType()),
+    ]
+)
+
 
 def percentile_names(probs: Sequence[float]) -> list[str]:
     """q25, q50, q67, ... ; 1/3 becomes q33 and 2/3 q67."""
@@ -135,28 +143,35 @@ def _exact(df, column, probs, keys, kind, labels) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def _inside(data: DataFrame, keys, groups, brackets: Mapping) -> DataFrame:
+def _inside(data: DataFrame, keys, groups, brackets: Mapping) -> tuple[DataFrame, dict]:
     """Rows of each bracket, tagged with the bracket's number and bounds.
 
-    The bracket table has at most two rows per group and probability, so broadcasting it
-    is bounded by the group limit above.
+    Each group has at most two brackets per probability. Without groups they are literals;
+    with groups they are a table of one row per group, broadcast within the group limit.
     """
     spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _, _) in brackets.items()})
-    key_types = [T.StructField(f"__k{i}", data.schema[k].dataType) for i, k in enumerate(keys)]
-    schema = T.StructType(
-        [
-            T.StructField("__b", T.IntegerType()),
-            T.StructField("__lo", T.DoubleType()),
-            T.StructField("__hi", T.DoubleType()),
-            *key_types,
+    number = {span: i for i, span in enumerate(spans)}
+    per_group = defaultdict(list)
+    for g, lo, hi in spans:
+        per_group[g].append((number[g, lo, hi], lo, hi))
+    if keys:
+        schema = T.StructType(
+            [T.StructField(f"__k{i}", data.schema[k].dataType) for i, k in enumerate(keys)]
+            + [T.StructField("__spans", T.ArrayType(_SPAN))]
+        )
+        table = data.sparkSession.createDataFrame([(*groups[g], s) for g, s in per_group.items()], schema)
+        match = F.lit(True)
+        for i, k in enumerate(keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        rows, available = data.join(F.broadcast(table), match), F.col("__spans")
+    else:
+        structs = [
+            F.struct(F.lit(b).alias("__b"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
+            for b, lo, hi in per_group[0]
         ]
-    )
-    rows = [(i, lo, hi, *groups[g]) for i, (g, lo, hi) in enumerate(spans)]
-    table = F.broadcast(data.sparkSession.createDataFrame(rows, schema))
-    match = F.col("__v").between(F.col("__lo"), F.col("__hi"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return data.join(table, match).select("__b", "__lo", "__hi", "__v"), {s: i for i, s in enumerate(spans)}
+        rows, available = data, F.array(*structs)
+    holding = F.filter(available, lambda s: F.col("__v").between(s["__lo"], s["__hi"]))
+    return rows.select("__v", F.inline(holding)).select("__b", "__lo", "__hi", "__v"), number
 
 
 def _narrow(data, keys, groups, brackets) -> dict:
