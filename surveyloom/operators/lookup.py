@@ -75,14 +75,14 @@ def _width(field: T.StructField) -> Column | None:
 
 def _size_measures(df: DataFrame) -> list[Column]:
     widths = [w for w in map(_width, df.schema.fields) if w is not None]
-    fixed = F.lit(8 * len(df.columns))
-    total = sum(widths, fixed) if widths else fixed
-    return [F.count(F.lit(1)).alias("__rows"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("__bytes")]
+    fixed = F.count(F.lit(1)) * F.lit(8 * len(df.columns))
+    total = fixed + F.coalesce(F.sum(sum(widths, F.lit(0).cast("long"))), F.lit(0)) if widths else fixed
+    return [F.count(F.lit(1)).alias("__rows"), total.alias("__bytes")]
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure at most ``rows + 1`` rows: true only if all of them fit in the bounds."""
-    seen = one_row(df.limit(rows + 1).agg(*_size_measures(df)))
+    """Measure the table: its rows from the file footers, its strings by their lengths."""
+    seen = one_row(df.agg(*_size_measures(df)))
     return seen["__rows"] <= rows and seen["__bytes"] <= size
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions.columns import linear_combination, row_mean, standardized
 from surveyloom.operators.checks import complete_rows, require_columns
-from surveyloom.operators.lookup import attach_aggregate, one_row, settle_measured
+from surveyloom.operators.lookup import attach_aggregate, one_row
 
 MISSING = ("impute_mean", "impute_zero", "drop", "keep")
 
@@ -52,29 +52,15 @@ class IndexSpec:
         return [d.name for d in self.dimensions]
 
 
-def _moment_measures(columns: Sequence[str]) -> list[Column]:
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
-    return aggs
-
-
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
     """Mean and sample standard deviation of many columns from one aggregate."""
     cols = list(dict.fromkeys(columns))
     require_columns(df, cols)
-    r = one_row(df.agg(*_moment_measures(cols)))
+    aggs = [a for i, c in enumerate(cols) for a in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]
+    r = one_row(df.agg(*aggs))
     return {c: Moments(r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}
 
 
-def settle_with_moments(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Moments]]:
-    """Write a prepared table once and take the moments of its columns on the way."""
-    cols = list(dict.fromkeys(columns))
-    require_columns(df, cols)
-    held, r = settle_measured(df, _moment_measures(cols))
-    return held, {c: Moments(r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}
-
-
 def zscore(
     df: DataFrame, columns: Sequence[str] | str, suffix: str = "_z", by: Sequence[str] | str | None = None
 ) -> DataFrame:
@@ -124,16 +110,15 @@ def dimension_score(
     return data.withColumn(dimension.name, _dimension(dimension, present, moments(data, present), standardize, missing))
 
 
-def composite_index(df: DataFrame, spec: IndexSpec, stats: Mapping[str, Moments] | None = None) -> DataFrame:
+def composite_index(df: DataFrame, spec: IndexSpec) -> DataFrame:
     """Dimension scores and their weighted sum, stretched to 0-100; 50 if it is constant.
 
     Two small aggregates (all moments, then the range) and one projection, whatever the
-    number of indicators. Source columns are never overwritten. ``stats`` passes on moments
-    that are already known for exactly these rows.
+    number of indicators. Source columns are never overwritten.
     """
     require_columns(df, spec.columns)
     data = complete_rows(df, spec.columns) if spec.missing == "drop" else df
-    stats = stats or moments(data, spec.columns)
+    stats = moments(data, spec.columns)
     scored = data.withColumns(
         {d.name: _dimension(d, d.columns, stats, spec.standardize, spec.missing) for d in spec.dimensions}
     )

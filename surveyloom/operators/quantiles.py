@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from surveyloom.operators.checks import require_columns
 
 SLICES = 2048
-SMALL_BRACKET = 1_000_000
+SMALL_BRACKET = 10_000
 EXACT_GROUPS = 10_000
 
 _SPAN = T.StructType(
@@ -146,32 +146,26 @@ def _exact(df, column, probs, keys, kind, labels) -> DataFrame:
 def _inside(data: DataFrame, keys, groups, brackets: Mapping) -> tuple[DataFrame, dict]:
     """Rows of each bracket, tagged with the bracket's number and bounds.
 
-    Each group has at most two brackets per probability. Without groups they are literals;
-    with groups they are a table of one row per group, broadcast within the group limit.
+    The brackets of one group never overlap. Without groups they become one ``CASE`` over
+    literals; with groups they are a table of at most two rows per group and probability,
+    broadcast within the group limit.
     """
     spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _, _) in brackets.items()})
     number = {span: i for i, span in enumerate(spans)}
-    per_group = defaultdict(list)
-    for g, lo, hi in spans:
-        per_group[g].append((number[g, lo, hi], lo, hi))
-    if keys:
-        schema = T.StructType(
-            [T.StructField(f"__k{i}", data.schema[k].dataType) for i, k in enumerate(keys)]
-            + [T.StructField("__spans", T.ArrayType(_SPAN))]
-        )
-        table = data.sparkSession.createDataFrame([(*groups[g], s) for g, s in per_group.items()], schema)
-        match = F.lit(True)
-        for i, k in enumerate(keys):
-            match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        rows, available = data.join(F.broadcast(table), match), F.col("__spans")
-    else:
-        structs = [
-            F.struct(F.lit(b).alias("__b"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
-            for b, lo, hi in per_group[0]
-        ]
-        rows, available = data, F.array(*structs)
-    holding = F.filter(available, lambda s: F.col("__v").between(s["__lo"], s["__hi"]))
-    return rows.select("__v", F.inline(holding)).select("__b", "__lo", "__hi", "__v"), number
+    if not keys:
+        span = F.lit(None).cast(_SPAN)
+        for _, lo, hi in spans:
+            here = F.struct(F.lit(number[0, lo, hi]).alias("__b"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
+            span = F.when(F.col("__v").between(lo, hi), here).otherwise(span)
+        return data.select("__v", span.alias("s")).where("s IS NOT NULL").select("__v", "s.*"), number
+    schema = T.StructType(
+        [T.StructField(f"__k{i}", data.schema[k].dataType) for i, k in enumerate(keys)] + _SPAN.fields
+    )
+    table = data.sparkSession.createDataFrame([(*groups[g], i, lo, hi) for i, (g, lo, hi) in enumerate(spans)], schema)
+    match = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return data.join(F.broadcast(table), match).select("__v", "__b", "__lo", "__hi"), number
 
 
 def _narrow(data, keys, groups, brackets) -> dict:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveyloom.operators.lookup import attach
+from surveyloom.operators.lookup import attach, settle
 from surveyloom.operators.models import InteractionSpec
-from surveyloom.operators.normalize import Dimension, IndexSpec, composite_index, settle_with_moments
+from surveyloom.operators.normalize import Dimension, IndexSpec, composite_index
 from surveyloom.operators.prep import add_score_band
 
 SCORE, WEIGHT, GROUP, CONTROL, FLAG, INDEX = "score", "wt", "grp", "control", "flag", "idx"
@@ -83,8 +83,8 @@ def indexed(spark: SparkSession, folder: str, *roles: str, keys: bool = False) -
     and every later pass would otherwise repeat the joins.
     """
     wanted = [SCORE, WEIGHT, *INDEX_SPEC.columns, *roles]
-    joined, stats = settle_with_moments(observations(spark, folder, *wanted, keys=keys), INDEX_SPEC.columns)
-    return add_score_band(composite_index(joined, INDEX_SPEC, stats), SCORE)
+    joined = settle(observations(spark, folder, *wanted, keys=keys))
+    return add_score_band(composite_index(joined, INDEX_SPEC), SCORE)
 
 
 def interaction_input(spark: SparkSession, folder: str) -> DataFrame:
