@@ -138,7 +138,8 @@ def attach(
     fact_hot, side_hot = F.xxhash64(*keys).isin(hot), F.xxhash64(*aliases).isin(hot)
     if not null_safe:
         # null keys never match, so they may go anywhere
-        fact_hot = fact_hot | F.greatest(*[F.col(k).isNull() for k in keys])
+        for k in keys:
+            fact_hot = fact_hot | F.col(k).isNull()
     # the task number is stable when a task is retried, and cuts up a key that fills many tasks
     salted = facts.withColumn("__salt", F.when(fact_hot, F.pmod(F.spark_partition_id(), F.lit(n))).otherwise(0))
     spread = side.withColumn(

@@ -78,7 +78,10 @@ def ols_ctes(
     absorb: str | None = None,
     name: str = "fit",
 ) -> str:
-    """CTEs ending in ``name``: n, r2, rmse, b0.. (predictors), intercept, per ``by``."""
+    """CTEs ending in ``name``: n, r2, rmse, b0.. (predictors), intercept, per ``by``.
+
+    ``lastc`` is the last predictor's variation that the others leave unexplained.
+    """
     v = [*xs, y]
     p = len(xs)
     key = by or "1"
@@ -122,7 +125,7 @@ def ols_ctes(
     intercept = f"m{p}" + "".join(f" - b{i} * m{i}" for i in range(p))
     betas = ", ".join(f"b{i}" for i in range(p))
     steps.append(
-        f"{name} AS (SELECT f.k, n, ngroups, f.sw, 1 - c{p}_{p} / sst AS r2, SQRT(c{p}_{p} / f.sw) AS rmse, "
+        f"{name} AS (SELECT f.k, n, ngroups, f.sw, c{p - 1}_{p - 1} AS lastc, 1 - c{p}_{p} / sst AS r2, SQRT(c{p}_{p} / f.sw) AS rmse, "
         f"1 - (c{p}_{p} / sst) * (n - 1) / (n - {p} - 1) AS adjusted_r2, {betas}, {intercept} AS intercept "
         f"FROM {previous} f JOIN {name}_means m ON f.k = m.k)"
     )
@@ -235,13 +238,13 @@ grid AS (
 SLOPES = GRID + ",\n" + ols_ctes("grid", "y", ["x2"], by="index_group", name="sl")
 
 
-def _strata(kind: str) -> str:
+def _strata(kind: str, xs: Sequence[str] = X4) -> str:
     """CTEs up to ``st`` (stratified fits) for one way of cutting the table."""
     if kind == "group":
         top = "top AS (SELECT grp AS tg FROM ixd WHERE grp IS NOT NULL GROUP BY grp ORDER BY COUNT(*) DESC, grp LIMIT 3)"
         cut = "strat AS (SELECT ixd.*, grp AS stratum FROM ixd JOIN top ON grp = tg)"
         return ",\n".join(
-            [IXD, top, cut, attitude("strat", "sa", "stratum"), pooled("sa", "sw"), ols_ctes("sw", "y", X4, by="stratum", name="st")]
+            [IXD, top, cut, attitude("strat", "sa", "stratum"), pooled("sa", "sw"), ols_ctes("sw", "y", xs, by="stratum", name="st")]
         )
     if kind == "index":
         source, column, labels = "ixd", "idx", ("low_index", "medium_index", "high_index")
@@ -260,7 +263,7 @@ def _strata(kind: str) -> str:
             strat,
             attitude("strat", "sa", "stratum"),
             demeaned("sa", "sw", "stratum, grp"),
-            ols_ctes("sw", "y", X4, by="stratum", name="st"),
+            ols_ctes("sw", "y", xs, by="stratum", name="st"),
         ]
     )
 
@@ -498,6 +501,12 @@ SELECT level, CAST(prob AS DOUBLE) AS prob, {r('v', 'index_value', 5)}, {r('b1 +
         q[f"stratified_by_{kind}"] = _strata_table(kind)
     q["heterogeneity_variance"] = f"""WITH {_strata('group')}
 SELECT CAST(COUNT(*) AS INTEGER) AS strata, {r('AVG(b1)', 'mean_effect', 4)}, {r('VAR_SAMP(b1)', 'variance', 4)} FROM st"""
+    q["heterogeneity"] = f"""WITH {_strata('index', ['x1', 'x3', 'x4', 'x2'])},
+pr AS (SELECT b3 AS b, lastc * (n - 5) / (rmse * rmse * sw) AS p FROM st),
+hq AS (SELECT COUNT(*) AS strata, AVG(b) AS mean_effect, VAR_SAMP(b) AS variance,
+              SUM(p * b * b) - SUM(p * b) * SUM(p * b) / SUM(p) AS x FROM pr)
+SELECT CAST(strata AS INTEGER) AS strata, {r('mean_effect', 'mean_effect', 4)}, {r('variance', 'variance', 4)},
+       {r('x', 'q_statistic', 4)}, {r('EXP(-x / 2)', 'p_value', 4)}, EXP(-x / 2) < 0.05 AS is_heterogeneous FROM hq"""
     ymean = "SUM(y * wt) / SUM(CASE WHEN y IS NOT NULL THEN wt END)"
     q["interaction_grid"] = f"""WITH {GRID} SELECT index_group, attitude_group, {ints('COUNT(*)', 'n')}, SUM(wt) AS weighted_n,
        {r(ymean, 'weighted_mean_score')}, {r('AVG(y)', 'mean_score')}, {r('STDDEV_SAMP(y)', 'std_score')}

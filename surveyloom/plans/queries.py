@@ -569,7 +569,7 @@ def stratified_by_group(spark, sf):
 @query
 def heterogeneity(spark, sf):
     fits = md.stratified_models(interaction_input(spark, sf), INTERACTION, "index", method="exact")
-    return md.heterogeneity(fits, "attitude").drop("effects")
+    return tidy(md.heterogeneity(fits, "attitude").drop("effects"), 4)
 
 
 @query
