@@ -25,8 +25,9 @@ def write_rows(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
 def _flat(df: DataFrame) -> DataFrame:
     """CSV holds scalars only: nested columns are written as JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)
-    return _plain(df).select(
-        *[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields]
+    plain = _plain(df)
+    return plain.select(
+        *[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in plain.schema.fields]
     )
 
 
