@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.operators.checks import complete_rows
 from surveyloom.operators.models import rank_importance
+from surveyloom.operators.segments import held_for_training
 
 
 def forest_importance(
@@ -36,7 +37,8 @@ def forest_importance(
     )
     frame = VectorAssembler(inputCols=present, outputCol="features").transform(data).drop(*present)
     forest = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=seed)
-    model = (forest.setWeightCol(weight) if weight else forest).fit(frame)
+    with held_for_training(frame) as held:
+        model = (forest.setWeightCol(weight) if weight else forest).fit(held)
     pairs = list(zip(present, model.featureImportances.toArray().tolist()))
     accuracy = model.transform(frame).agg(F.pow(F.corr("prediction", "label"), 2).alias("model_accuracy"))
     rows = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(v).alias("importance")) for c, v in pairs]))

@@ -146,7 +146,8 @@ def attach(
         "__slot", F.explode(F.when(side_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))
     )
     match = _match(salted, spread, keys, aliases, null_safe) & (salted["__salt"] == spread["__slot"])
-    return salted.join(spread, match, how).select(*facts.columns, *payload)
+    # Spark's size estimate does not see the repeated rows, so rule out a broadcast by name
+    return salted.join(spread.hint("merge"), match, how).select(*facts.columns, *payload)
 
 
 def attach_aggregate(

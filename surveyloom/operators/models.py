@@ -14,7 +14,7 @@ from surveyloom.functions.columns import band
 from surveyloom.functions.tails import chi2_tail
 from surveyloom.operators.checks import require_columns
 from surveyloom.operators.grouped import cell_means, demean, repeatable_sample, top_groups
-from surveyloom.operators.lookup import attach_aggregate, one_row
+from surveyloom.operators.lookup import attach_aggregate, one_row, settle
 from surveyloom.operators.normalize import composite_score, zscore
 from surveyloom.operators.ols import fit_ols, term_value
 from surveyloom.operators.prep import add_strata
@@ -152,10 +152,14 @@ class InteractionSpec:
 
 
 def with_attitude(df: DataFrame, spec: InteractionSpec, by: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Only the model's columns, plus the composite attitude score."""
+    """Only the model's columns, plus the composite attitude score.
+
+    Settled: every model makes two or more passes over these few columns, and neither the
+    joins nor the index behind them should be part of each pass.
+    """
     cols = [*dict.fromkeys([*spec.columns(df), *keep])]
     require_columns(df, cols)
-    return composite_score(df.select(*cols), spec.attitude_items, spec.attitude, spec.negate, by=by)
+    return settle(composite_score(df.select(*cols), spec.attitude_items, spec.attitude, spec.negate, by=by))
 
 
 def interaction_frame(

@@ -60,15 +60,15 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def _sums(data: DataFrame, keys: Sequence[str], values: Sequence[Column], w: Column) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("sw")]
-    aggs += [F.sum(w * v).alias(f"s{i}") for i, v in enumerate(values)]
-    aggs += [F.sum(w * values[i] * values[j]).alias(f"p{i}_{j}") for i, j in _pairs(len(values))]
-    return data.groupBy(*keys).agg(*aggs)
+def _sums(data: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Count, weight, weighted sums and sums of products of ``v0 .. v{k-1}`` per key."""
+    aggs = ["count(1) AS n", "sum(w) AS sw", *[f"sum(w * v{i}) AS s{i}" for i in range(k)]]
+    aggs += [f"sum(w * v{i} * v{j}) AS p{i}_{j}" for i, j in _pairs(k)]
+    return data.groupBy(*keys).agg(*map(F.expr, aggs))
 
 
-def _centred(i: int, j: int) -> Column:
-    return F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("sw")
+def _centred(i: int, j: int) -> str:
+    return f"p{i}_{j} - s{i} * s{j} / sw"
 
 
 def fit_ols(
@@ -107,27 +107,35 @@ def fit_ols(
         shift = [m if m is not None else 0.0 for m in r]
     elif centre is not None:
         raise ValueError("centre must be None or 'mean'")
-    values = [v - F.lit(m) if m else v for v, m in zip(raw, shift)]
+    values = [(v - F.lit(m) if m else v).alias(f"v{i}") for i, (v, m) in enumerate(zip(raw, shift))]
+    # own names for every column, so that they can be put together as SQL text
+    groups = [F.col(c).alias(f"k{i}") for i, c in enumerate([*keys, *([absorb] if absorb else [])])]
+    own = [f"k{i}" for i in range(len(keys))]
+    rows = data.select(*groups, *values, w.alias("w"))
 
     if absorb:
-        groups = _sums(data, [*keys, absorb], values, w).where(F.col("n") >= F.lit(min_rows))
-        aggs = [F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.count(F.lit(1)).alias("groups")]
-        aggs += [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
-        aggs += [F.sum(f"p{i}_{i}").alias(f"p{i}_{i}") for i in range(k)]
-        aggs += [F.sum(_centred(i, j)).alias(f"c{i}_{j}") for i, j in _pairs(k)]
-        table = groups.groupBy(*keys).agg(*aggs)
+        per_group = _sums(rows, [f"k{i}" for i in range(len(groups))], k).where(f"n >= {int(min_rows)}")
+        aggs = ["sum(n) AS n", "sum(sw) AS sw", "count(1) AS groups"]
+        aggs += [f"sum(s{i}) AS s{i}" for i in range(k)] + [f"sum(p{i}_{i}) AS p{i}_{i}" for i in range(k)]
+        aggs += [f"sum({_centred(i, j)}) AS c{i}_{j}" for i, j in _pairs(k)]
+        table = per_group.groupBy(*own).agg(*map(F.expr, aggs))
     else:
-        table = _sums(data, keys, values, w)
-        table = table.withColumns({"groups": F.lit(1).cast("bigint")} | {f"c{i}_{j}": _centred(i, j) for i, j in _pairs(k)})
+        table = _sums(rows, own, k)
+        table = table.selectExpr("*", "1L AS groups", *[f"{_centred(i, j)} AS c{i}_{j}" for i, j in _pairs(k)])
     table = table.select(
-        *keys,
-        "n",
-        "sw",
-        "groups",
-        F.array(*[F.col(f"s{i}") for i in range(k)]).alias("sums"),
-        F.array(*[F.col(f"p{i}_{i}") for i in range(k)]).alias("squares"),
-        F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)]).alias("products"),
-        _centred(y, y).alias("total"),
+        *[F.col(o).alias(c) for o, c in zip(own, keys)],
+        *map(
+            F.expr,
+            [
+                "n",
+                "sw",
+                "groups",
+                f"array({', '.join(f's{i}' for i in range(k))}) AS sums",
+                f"array({', '.join(f'p{i}_{i}' for i in range(k))}) AS squares",
+                f"array({', '.join(f'c{min(i, j)}_{max(i, j)}' for i in range(k) for j in range(k))}) AS products",
+                f"{_centred(y, y)} AS total",
+            ],
+        ),
     )
     schema = T.StructType([table.schema[c] for c in keys] + _FIT)
     absorbed = absorb is not None

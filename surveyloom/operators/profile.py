@@ -182,12 +182,15 @@ def average_ranks(df: DataFrame, column: str, bucket_values: int = 1_000_000) ->
         .agg(F.count(F.lit(1)).alias("ties"))
     )
     buckets = max(1, math.ceil(counts.count() / bucket_values))
-    placed = counts.withColumn("bucket", F.lit(0.0))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        inner = sorted(set(counts.approxQuantile("value", probs, 0.25 / buckets)))
-        splits = [-math.inf, *inner, math.inf]
-        placed = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(counts)
+    rank = (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank")
+    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    if buckets == 1:
+        # at most ``bucket_values`` rows
+        return counts.withColumn("upto", F.sum("ties").over(order)).select("value", "ties", rank)
+    probs = [i / buckets for i in range(1, buckets)]
+    inner = sorted(set(counts.approxQuantile("value", probs, 0.25 / buckets)))
+    splits = [-math.inf, *inner, math.inf]
+    placed = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(counts)
     # one row per bucket, never more than the number of splits above
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -199,7 +202,7 @@ def average_ranks(df: DataFrame, column: str, bucket_values: int = 1_000_000) ->
     return (
         placed.join(F.broadcast(offsets), "bucket")
         .withColumn("upto", F.col("offset") + F.sum("ties").over(running))
-        .select("value", "ties", (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"))
+        .select("value", "ties", rank)
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -80,6 +81,20 @@ def dominant_dimension(centres: Sequence[Sequence[float]], columns: Sequence[str
     return out
 
 
+@contextmanager
+def held_for_training(df: DataFrame) -> Iterator[DataFrame]:
+    """Spread narrow training rows evenly and hold them, spilling to disk, while a model iterates.
+
+    The one shuffle is small next to the passes it speeds up: without it, uneven or few input
+    partitions would be repeated in every pass.
+    """
+    held = df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def standard_features(df: DataFrame, columns: Sequence[str], output: str = FEATURES) -> DataFrame:
     """Assemble the columns and scale them to mean 0 and sample sd 1."""
     require_columns(df, columns)
@@ -124,13 +139,10 @@ def kmeans_segments(
         data = VectorAssembler(inputCols=names, outputCol=FEATURES).transform(complete_rows(df, names))
     if weight:
         data = complete_rows(data, [weight])
-    model_input = data.select(FEATURES, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held_for_training(data.select(FEATURES, *([weight] if weight else []))) as model_input:
         kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||", featuresCol=FEATURES, predictionCol=cluster)
         model = (kmeans.setWeightCol(weight) if weight else kmeans).fit(model_input)
         cost = float(model.summary.trainingCost)
-    finally:
-        model_input.unpersist()
     centres = tuple(tuple(float(v) for v in c) for c in model.clusterCenters())
     rows = model.transform(data)
     rows = rows.withColumn(cluster, F.col(cluster).cast(T.IntegerType()))

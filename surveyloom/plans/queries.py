@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from surveyloom.operators import checks, crosstab as ct, grouped as gr, models as md, normalize as nm
 from surveyloom.operators import ols, prep, profile as pf, segments as sg, tables as tb
 from surveyloom.operators.forest import forest_importance
-from surveyloom.operators.lookup import add_site_columns, checkpoint_home
+from surveyloom.operators.lookup import add_site_columns, checkpoint_home, settle
 from surveyloom.operators.quantiles import quantiles
 from surveyloom.plans.standin import (
     CONTROL,
@@ -431,7 +431,8 @@ def segment_table(spark, sf):
 
 
 def _model_input(spark, sf):
-    return indexed(spark, sf, CONTROL, GROUP).select(SCORE, INDEX, CONTROL, GROUP, WEIGHT)
+    # three models read these columns
+    return settle(indexed(spark, sf, CONTROL, GROUP).select(SCORE, INDEX, CONTROL, GROUP, WEIGHT))
 
 
 def _three_models(df):
@@ -468,7 +469,8 @@ def ols_control(spark, sf):
 
 @query
 def ols_fixed_effects(spark, sf):
-    fit = md.fixed_effects_model(_model_input(spark, sf), SCORE, INDEX, CONTROL, GROUP, WEIGHT)
+    df = indexed(spark, sf, CONTROL, GROUP).select(SCORE, INDEX, CONTROL, GROUP, WEIGHT)
+    fit = md.fixed_effects_model(df, SCORE, INDEX, CONTROL, GROUP, WEIGHT)
     return _flat_fit(fit, [INDEX, CONTROL], ["groups"])
 
 
