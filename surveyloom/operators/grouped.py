@@ -175,9 +175,22 @@ def top_groups(df: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def repeatable_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of their keys: the same rows on any layout."""
+    """``n`` rows in the order of a seeded hash of their keys: the same rows on any layout.
+
+    A first pass counts rows per power of two of the hash. Only rows below the smallest power
+    that holds ``n`` of them are sorted, about ``2n``, instead of ``n`` from every task.
+    """
     require_columns(df, keys)
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    place = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).bitwiseAND(F.lit(2**63 - 1))
+    level = F.floor(F.log2(place.cast("double") + 1.0)).cast("int")
+    counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()  # 64 at most
+    seen, top = 0, 63
+    for row in sorted(counts, key=lambda r: r["level"]):
+        seen += row["rows"]
+        if seen >= n:
+            top = row["level"]
+            break
+    return df.where(level <= top).orderBy(place, *keys).limit(n)
 
 
 def demean(

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from surveyloom.operators import crosstab as ct
 from surveyloom.operators import grouped as gr
@@ -27,6 +27,8 @@ from surveyloom.operators.checks import complete_rows, missing_columns, require_
 from surveyloom.operators.forest import forest_importance
 from surveyloom.operators.lookup import add_site_columns
 from surveyloom.operators.prep import add_score_band
+from surveyloom.sources.catalog import Catalog
+from surveyloom.sources.ingest import Source, ingest_all
 from surveyloom.sources.sinks import missing_value_table, write_tables
 
 log = logging.getLogger(__name__)
@@ -261,3 +263,28 @@ def run_study(
             total.tables |= part.tables
             total.errors |= part.errors
     return total
+
+
+def run_from_files(
+    spark: SparkSession,
+    sources: Sequence[Source],
+    manifest: str,
+    study: Study,
+    folder: str,
+    observations: str = "student",
+    sites: str | None = "school",
+    **options,
+) -> tuple[DataFrame, Result]:
+    """Ingest what changed, then run the study on the named datasets.
+
+    Returns the ingest report and the study's result. A dataset that fails to ingest only
+    stops the study if the study reads it.
+    """
+    report = ingest_all(spark, sources, manifest)
+    needed = {observations, *([sites] if sites else [])}
+    catalog = Catalog("", tuple(s.name for s in sources), paths={s.name: s.target for s in sources})
+    failed = {r["dataset"]: r["message"] for r in report.where("status = 'failed'").collect()}  # one row per dataset
+    for name in sorted(needed & set(failed)):
+        raise ValueError(f"Dataset '{name}' could not be ingested: {failed[name]}")
+    site_table = catalog.read(spark, sites) if sites else None
+    return report, run_study(catalog.read(spark, observations), site_table, study, folder, **options)

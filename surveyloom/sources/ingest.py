@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from surveyloom.operators.checks import non_empty
+from surveyloom.operators.lookup import settle
 
 READERS = ("csv", "json", "parquet", "orc", "text")
 MANIFEST_SCHEMA = (
@@ -108,8 +109,7 @@ def ingest(
     """
     if not force and not needs_ingest(spark, source, manifest_path):
         return {"dataset": source.name, "target": source.target, "status": "skipped"}
-    files = list_files(spark, source.path)
-    seen = files.collect()  # one row per source file
+    files = settle(list_files(spark, source.path))
     data = source.read(spark)
     if not non_empty(data):
         raise ValueError(f"Source '{source.name}' has no rows or no columns")
@@ -120,10 +120,16 @@ def ingest(
         writer = writer.partitionBy(*source.partition_by)
     writer.parquet(source.target)
     rows, columns = spark.read.parquet(source.target).count(), len(data.columns)
-    records = spark.createDataFrame(
-        [(source.name, f["path"], f["modified"], f["size"], source.target, rows, columns, None) for f in seen],
-        MANIFEST_SCHEMA,
-    ).withColumn("ingested_at", F.current_timestamp())
+    records = files.select(
+        F.lit(source.name).alias("dataset"),
+        "path",
+        "modified",
+        "size",
+        F.lit(source.target).alias("target"),
+        F.lit(rows).cast("bigint").alias("rows"),
+        F.lit(columns).alias("columns"),
+        F.current_timestamp().alias("ingested_at"),
+    )
     records.coalesce(1).write.mode("append").parquet(manifest_path)
     return {"dataset": source.name, "target": source.target, "status": "ingested", "rows": rows, "columns": columns}
 

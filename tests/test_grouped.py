@@ -72,6 +72,11 @@ def test_sample_is_the_same_on_any_layout(spark):
     one = gr.repeatable_sample(df, ["id"], 50).collect()
     assert one == gr.repeatable_sample(df.repartition(7), ["id"], 50).collect() and len(one) == 50
     assert one != gr.repeatable_sample(df, ["id"], 50, seed=1).collect()
+    whole = df.orderBy(F.xxhash64(F.lit(42), F.col("id")).bitwiseAND(F.lit(2**63 - 1)), "id").limit(50).collect()
+    assert one == whole
+    assert gr.repeatable_sample(df, ["id"], 5000).count() == 1000
+    copies = spark.range(300).select((F.col("id") % 2).alias("id"))
+    assert gr.repeatable_sample(copies, ["id"], 160).count() == 160
 
 
 def test_share_comparison_and_lines(spark):

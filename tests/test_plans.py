@@ -7,6 +7,7 @@ import pytest
 from surveyloom.operators import models as md
 from surveyloom.plans import analyses as an
 from surveyloom.plans import presets as pr
+from surveyloom.sources.ingest import Source
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +54,22 @@ def test_whole_study(spark, survey, folder):
     assert sum(int(r["sample_count"]) for r in bands) == 900
 
 
+def test_study_from_files(spark, survey, folder):
+    for name, df in zip(("student", "school"), survey):
+        df.write.parquet(f"{folder}/in/{name}")
+    sources = [Source(n, f"{folder}/in/{n}", f"{folder}/lake/{n}", format="parquet") for n in ("student", "school")]
+    sources.append(Source("teacher", f"{folder}/in/teacher", f"{folder}/lake/teacher", format="parquet"))
+    run = lambda srcs: an.run_from_files(spark, srcs, f"{folder}/manifest", STUDY, f"{folder}/results", with_index=False)
+    report, result = run(sources)
+    assert {r["dataset"]: r["status"] for r in report.collect()} == {
+        "student": "ingested", "school": "ingested", "teacher": "failed"
+    }
+    assert list(result.tables) == ["band_statistics"] and os.listdir(f"{folder}/results") == ["band_statistics"]
+    assert {r["status"] for r in run(sources[:2])[0].collect()} == {"skipped"}
+    with pytest.raises(ValueError, match="school"):
+        run([sources[0], Source("school", f"{folder}/in/none", f"{folder}/lake/none", format="parquet")])
+
+
 def test_a_failing_step_leaves_the_others(spark, survey):
     pupils, _ = survey
     data = an.indexed_observations(*survey, pr.STUDENT_INDEX, pr.SITE_KEY, [pr.SCORE, pr.WEIGHT])
