@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.llm.common import shuffle_partitions, worker_store
+from surveyloom.llm.common import object_strings, shuffle_partitions, worker_store
 
 TURN, SAID, END = "<|turn|>", "<|said|>", "<|done|>"
 LEARNED = ("assistant",)
@@ -160,6 +160,6 @@ def read_back(formatted: str | Column, loss_spans: str | Column) -> Column:
             # each span by itself, as an escape never reaches over the end of a text
             loss = "".join(unescape(text[s["start"] : s["end"]]) for s in own)
             out.append((hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
-        return pd.DataFrame(out, columns=["turns_sha256", "loss_chars", "loss_sha256"])
+        return object_strings(pd.DataFrame(out, columns=["turns_sha256", "loss_chars", "loss_sha256"]))
 
     return digests(formatted, loss_spans)

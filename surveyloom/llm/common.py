@@ -29,5 +29,10 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def object_strings(frame):
+    """The pandas frame with strings as plain objects, which Arrow always turns into one array."""
+    return frame.astype({c: object for c in frame.columns if frame[c].dtype.name in ("str", "string")})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from surveyloom.llm.common import whole_text, worker_store
+from surveyloom.llm.common import object_strings, whole_text, worker_store
 from surveyloom.llm.sketches import code_points, mix
 
 UNKNOWN = "und"
@@ -201,7 +201,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
             for content in batch:
                 counts = ngram_counts(content) if model.languages else None
                 out.append((UNKNOWN, 0.0, False) if counts is None else decode(model, margins(counts, model.weights)))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
+            yield object_strings(pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"]))
 
     found = docs.withColumn("__found", predicted(whole_text(text)))
     return found.select(*docs.columns, "__found.lang_pred", "__found.score", "__found.ambiguous")

@@ -33,7 +33,6 @@ CONTEXT = {
     "ssn": "ssn|social|security",
 }
 RAISE, ENOUGH, NEARBY = 0.3, 0.5, 40
-PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in PROPOSE}
 
 
 def _digits(x: Column) -> Column:
@@ -131,14 +130,6 @@ def _describe(kind: str, rank: int, around: Column, place: Column):
     return span
 
 
-def _replaced(kind: str, around: Column):
-    def piece(x: Column, i: Column) -> Column:
-        before, after = F.element_at(around, i + 1), F.element_at(around, i + 2)
-        return F.concat(before, F.when(_kept(kind, x, before, after), F.lit(PLACEHOLDER[kind])).otherwise(x))
-
-    return piece
-
-
 def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFrame:
     """Add the array of spans found in each whole text: kind, start, end (exclusive), score.
 
@@ -183,22 +174,36 @@ def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFr
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace confirmed spans by their kind in brackets, one kind after the other as listed.
+    """Replace confirmed spans by their kind in brackets.
 
-    A later kind is looked for in what the earlier ones left. Null stays null; rows and other
-    columns stay as they are, and no row moves between tasks.
+    Of spans that overlap the one that starts first is named, and all their characters go.
+    Null stays null; rows and other columns stay as they are, and no row moves between tasks.
     """
-    out = docs
-    for kind in PROPOSE:
-        name = f"__{kind}"
-        out = _proposed(out, kind, F.coalesce(F.col(text), F.lit("")), name)
-        found, around = F.col(f"{name}_found"), F.col(f"{name}_around")
-        said = F.transform(found, _replaced(kind, around))
-        whole = F.concat(F.array_join(said, ""), F.element_at(around, -1))
-        out = out.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(F.col(text))).drop(
-            f"{name}_found", f"{name}_around"
-        )
-    return out.select(*docs.columns)
+    found = find_pii(docs, text, "__pii")
+    content = F.coalesce(F.col(text), F.lit(""))
+    # what is said so far, and the place up to which the text is done
+    said = F.aggregate(
+        "__pii",
+        F.struct(F.array().cast("array<string>").alias("said"), F.lit(0).alias("at")),
+        lambda acc, s: F.when(
+            s["start"] >= acc["at"],
+            F.struct(
+                F.concat(
+                    acc["said"],
+                    F.array(
+                        F.substring(content, acc["at"] + 1, s["start"] - acc["at"]),
+                        F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
+                    ),
+                ).alias("said"),
+                s["end"].alias("at"),
+            ),
+        ).otherwise(F.struct(acc["said"].alias("said"), F.greatest(acc["at"], s["end"]).alias("at"))),
+        lambda acc: F.concat(
+            F.array_join(acc["said"], ""), F.substring(content, acc["at"] + 1, F.char_length(content))
+        ),
+    )
+    changed = found.withColumn(text, F.when(F.size("__pii") > 0, said).otherwise(F.col(text)))
+    return changed.select(*docs.columns)
 
 
 def joined_spans(spans: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.llm.chat import format_chats, read_back
 from surveyloom.llm.common import read_table, whole_text
+from surveyloom.llm.decontaminate import find_leaks
 from surveyloom.llm.language import fit_languages, identify_languages
 from surveyloom.llm.license_lookup import known_digests, scan_licenses
 from surveyloom.llm.packing import pack
@@ -43,6 +44,10 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_edits(read_table(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that nothing is learned from: a fifth by a checksum of the id, and null ids."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
@@ -94,6 +99,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_fingerprints": op3_fingerprints,
+    "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op9_chat": op9_chat,

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.llm.common import shuffle_partitions, whole_text
+from surveyloom.llm.common import object_strings, shuffle_partitions, whole_text
 
 K, WIDTH, BITS = 128, 12, 48
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -263,6 +263,6 @@ def compare_with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, buckets:
             if out:
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
                 frame["doc_id"] = pd.array([r[0] for r in out], dtype="Int64")
-                yield frame
+                yield object_strings(frame)
 
     return ordered.mapInPandas(described, schema)
