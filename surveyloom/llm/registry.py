@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surveyloom.llm.chat import format_chats, read_back
 from surveyloom.llm.common import read_table, whole_text
 from surveyloom.llm.decontaminate import find_leaks
+from surveyloom.llm.jaccard_join import near_duplicates
 from surveyloom.llm.language import fit_languages, identify_languages
 from surveyloom.llm.license_lookup import known_digests, scan_licenses
 from surveyloom.llm.packing import pack
@@ -67,6 +68,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     conversations = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame(
@@ -102,6 +107,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
 }
