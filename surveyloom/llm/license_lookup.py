@@ -136,7 +136,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
     whole = F.array(
         F.struct(
             F.lit("n_whole").alias("unit"),
-            F.coalesce(F.element_at(starts, 1), F.lit(1)).alias("line"),
+            F.coalesce(F.get(starts, F.lit(0)), F.lit(1)).alias("line"),
             F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("form"),
         )
     )

@@ -1,0 +1,112 @@
+"""Decontamination against brute force over all windows."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from surveyloom.llm import decontaminate as dc
+from surveyloom.llm.registry import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+
+
+def weighted(own, width):
+    return {tuple(own[i : i + width]) for i in range(len(own) - width + 1)}
+
+
+def similarity(a, b):
+    weight = lambda s: sum(len("".join(x)) for x in s)
+    return weight(a & b) / weight(a | b)
+
+
+def brute(docs, items, similar=dc.SIMILAR):
+    """Windows that have a shingle at the item's place, as the docstring says."""
+    out = {}
+    for doc_id, text in docs:
+        own = words(text)
+        for item_id, item in items:
+            goal = words(item)
+            if not goal:
+                continue
+            width = min(dc.SHINGLE, len(goal))
+            at = {}
+            for j in range(len(goal) - width + 1):
+                at.setdefault(tuple(goal[j : j + width]), []).append(j)
+            starts = {max(0, p - j) for p in range(len(own) - width + 1) for j in at.get(tuple(own[p : p + width]), [])}
+            best = [similarity(weighted(own[s : s + len(goal)], width), weighted(goal, width)) for s in starts]
+            if best and max(best) >= similar:
+                out[doc_id, item_id] = max(best)
+    return out
+
+
+def vocabulary(seed, n):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def data():
+    items = [(i, " ".join(vocabulary(i, 20 + i))) for i in range(8)] + [(20, "tiny item"), (21, ""), (22, None), (8, " ".join(vocabulary(1, 21)))]
+    fill = lambda s, n: " ".join(vocabulary(100 + s, n))
+    docs = [(1, fill(1, 50)), (2, None), (3, ""), (4, items[0][1]), (5, f"{fill(2, 30)} {items[1][1].upper()}!! {fill(3, 10)}")]
+    changed = items[7][1].split()
+    changed[13] = "changed"
+    docs += [(6, f"{fill(4, 9)}\n{' '.join(changed)}\n{fill(5, 9)}"), (7, " ".join(items[2][1].split()[:12]) + " " + fill(6, 40))]
+    docs += [(8, f"{items[3][1]} {fill(7, 5)} {items[3][1]} {items[4][1]}"), (9, "x tiny, ITEM y"), (9, fill(8, 9)), (None, items[5][1])]
+    docs += [(10, f"{fill(9, 20_000)} {items[6][1]}"), (4, items[0][1])]
+    changed = items[6][1].split()
+    docs += [(11, fill(10, 7) + " " + " ".join([*changed[:-1], "end"]) + " " + fill(11, 3))]
+    return docs, items
+
+
+def test_equals_brute_force(spark, data):
+    docs, items = data
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in docs], "doc_id long, text string, similarity double").repartition(3)
+    bench = spark.createDataFrame([(a, b, "x") for a, b in items], "item_id long, text string, words string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.find_leaks(df, bench).collect()}
+    want = brute(docs, items)
+    assert set(got) == set(want) and len(want) >= 9
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert (4, 0) in got and (5, 1) in got and (9, 20) in got and (None, 5) in got and (10, 6) in got and (7, 2) not in got
+
+
+def test_empty_tables(spark, data):
+    docs, items = data
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert dc.find_leaks(df.limit(0), bench).count() == 0
+    assert dc.find_leaks(df, bench.limit(0)).count() == 0
+    assert dc.find_leaks(df, bench.filter("item_id = 21")).count() == 0
+
+
+def test_every_fingerprint_within_the_radius_is_found(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64)
+    windows = []
+    for i, bits in enumerate(base.tolist()):
+        for flips in (0, 5, 12, 15, 16, 30):
+            x = bits & ((1 << 64) - 1)
+            for b in rng.choice(64, flips, replace=False).tolist():
+                x ^= 1 << b
+            windows.append((i * 100 + flips, x - (1 << 64) if x >> 63 else x))
+    w = spark.createDataFrame(windows, "window long, bits long")
+    items = spark.createDataFrame(list(enumerate(base.tolist())), "item_id long, item_bits long")
+    got = {(r.window, r.item_id) for r in dc.within_radius(w, items).collect()}
+    want = {
+        (a, i) for (a, x), (i, y) in itertools.product(windows, enumerate(base.tolist()))
+        if bin((x ^ y) & ((1 << 64) - 1)).count("1") <= dc.RADIUS
+    }
+    assert got == want and len(want) >= 12 * 4
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontamination"](spark, FOLDER).collect()}
+    assert got == set(brute(docs, items)) and got

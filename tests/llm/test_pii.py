@@ -46,7 +46,7 @@ HARD = [
     "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.256 001.002.003.255 0000.0.0.0", "1.2.3", "v1.22.333.4444",
     "4111 1111 1111 1111", "4111-1111-1111-1111-", "4111  1111 1111 1111", "4111111111111112", "x4111111111111111y" * 3,
     "+1 (212) 555-0100", "+1", "+1-", "+12", "+1 ((((", "++1 212 555 0100 200 300 400", "+49 30 1234567, +49 30 123", "+1 212+1 212 555 0100",
-    "1" * 50_000, "a" * 100_000, "a." * 20_000 + "@", "1." * 20_000, "+1" + " " * 30_000, "1-" * 30_000, "Call +1 212 555 0100 a@b.co 10.0.0.1 " * 400,
+    "1" * 3000, "a" * 2000, "a." * 1000 + "@", "1." * 2000, "+1" + " " * 3000, "1-" * 2000, "Call +1 212 555 0100 a@b.co 10.0.0.1 " * 400,
     "IBAN DE89 3704 0044 0532 0130 00 ok", "DE89370400440532013000", "DE88370400440532013000", "ssn 123-45-6789", "123-45-6789", "000-12-3456 ssn",
 ]
 
@@ -66,6 +66,15 @@ def test_base_spans_equal_a_plain_scan(spark):
         pi.find_pii(df.withColumnRenamed("kind", "pii"))
 
 
+def test_endless_words_take_linear_time(spark):
+    """A plain scan takes the square of their length, so only what it must find is compared."""
+    texts = ["1" * 50_000, "a" * 200_000, "a." * 50_000 + "@", "1." * 40_000, "+1" + " " * 50_000, "1-" * 50_000]
+    found = pi.find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    spans = {r.doc_id: r.pii for r in found}
+    assert [len(spans[i]) for i in (0, 1, 2, 4, 5)] == [0] * 5
+    assert len(spans[3]) == 10_000 and all(s.kind == "ip" for s in spans[3])
+
+
 def test_added_kinds_need_checks_or_context(spark):
     rows = [(i, t) for i, t in enumerate(HARD[-6:])]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii if s.kind not in pi.BASE] for r in
@@ -87,7 +96,8 @@ def test_redaction_leaves_nothing(spark):
     assert [r.doc_id for r in pi.find_pii(again).collect() if any(s.kind in pi.BASE for s in r.pii)] == []
     # what is not personal data stays in its order
     for i, text in clean.items():
-        rest = "".join(c for j, c in enumerate(HARD[i] or "") if not any(s <= j < e for _, s, e in base(HARD[i])))
+        gone = {j for _, s, e in base(HARD[i]) for j in range(s, e)}
+        rest = "".join(c for j, c in enumerate(HARD[i] or "") if j not in gone)
         if not re.search(r"\[(IBAN|SSN)\]", text or ""):
             assert re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "", text or "") == rest
 
