@@ -29,6 +29,12 @@ def is_missing(c: str | Column) -> Column:
     return x.isNull() | F.isnan(x)
 
 
+def present(c: str | Column) -> Column:
+    """The value, with NaN as null; the argument must be numeric."""
+    x = as_column(c)
+    return F.when(~F.isnan(x), x)
+
+
 def band(
     value: str | Column,
     cuts: Sequence[float | Column],
@@ -70,8 +76,8 @@ def recode_missing(value: str | Column, codes: Sequence) -> Column:
 
 
 def reflect(value: str | Column, top: float | Column) -> Column:
-    """Reverse an item scored 1..top: ``top + 1 - x``."""
-    return (F.lit(top) + F.lit(1.0)) - as_column(value)
+    """Reverse an item scored 1..top: ``top + 1 - x``; NaN gives null."""
+    return (F.lit(top) + F.lit(1.0)) - present(value)
 
 
 def map_labels(key: str | Column, labels: Mapping, default: str | None = None) -> Column:
@@ -114,8 +120,8 @@ def percent(part: str | Column, total: str | Column) -> Column:
 
 
 def standardized(value: str | Column, mean: float | Column | None, sd: float | Column | None) -> Column:
-    """``(x - mean) / sd``. Without spread a present value is 0; a null stays null."""
-    x = as_column(value)
+    """``(x - mean) / sd``. Without spread a present value is 0; null and NaN give null."""
+    x = present(value)
     if not isinstance(sd, Column):
         if sd is None or not sd > 0:
             return F.when(x.isNotNull(), F.lit(0.0))
@@ -124,6 +130,9 @@ def standardized(value: str | Column, mean: float | Column | None, sd: float | C
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
-    """Aggregate ``sum(x*w) / sum(w)``, counting only weights of rows that have a value."""
-    x, w = as_column(value), as_column(weight)
+    """Aggregate ``sum(x*w) / sum(w)``, counting only weights of rows that have a value.
+
+    NaN is missing, as a value and as a weight.
+    """
+    x, w = present(value), present(weight)
     return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))

@@ -12,7 +12,7 @@ import math
 _TINY = 1e-300
 
 
-def _continued_fraction(terms, limit: int = 500) -> float:
+def _continued_fraction(terms, limit: int = 100_000) -> float:
     """Lentz evaluation of b0 + a1/(b1 + a2/(b2 + ...)) from an iterator of (a, b)."""
     _, b0 = next(terms)
     f = b0 or _TINY
@@ -22,9 +22,9 @@ def _continued_fraction(terms, limit: int = 500) -> float:
         c = (b + a / c) or _TINY
         step = c * d
         f *= step
-        if abs(step - 1.0) < 1e-16:
-            break
-    return f
+        if abs(step - 1.0) < 1e-15:
+            return f
+    raise ArithmeticError(f"A continued fraction did not converge in {limit} terms")
 
 
 def chi2_tail(x: float, dof: int) -> float:
@@ -62,7 +62,7 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
             yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
 
     front = a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
-    return math.exp(front) / (a * _continued_fraction(terms(), 2000))
+    return math.exp(front) / (a * _continued_fraction(terms()))
 
 
 def student_t_two_sided(t: float, dof: float) -> float:

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from surveyloom.functions.columns import percent
+from surveyloom.functions.columns import percent, present
 from surveyloom.functions.tails import chi2_tail
 from surveyloom.operators.checks import require_columns
+from surveyloom.operators.lookup import settle
 from surveyloom.operators.prep import category_levels
 
 TOTAL = "total"
@@ -27,7 +28,8 @@ def crosstab(
 ) -> DataFrame:
     """Weighted count per row label and column label, empty cells 0.
 
-    Passing ``column_values`` saves the pass that lists them and fixes their order.
+    Passing ``column_values`` saves the pass that lists them and fixes their order; other labels get
+    no column then.
     """
     require_columns(df, [row, column, weight])
     values = list(column_values) if column_values is not None else category_levels(df, column)
@@ -37,16 +39,31 @@ def crosstab(
 def filled_cells(
     df: DataFrame, row: str, column: str, weight: str, column_values: Sequence | None = None
 ) -> DataFrame:
-    """The cross-tab in long form with its empty cells as 0."""
-    wide = crosstab(df, row, column, weight, column_values)
-    return wide.unpivot([row], wide.columns[1:], column, "weighted_count")
+    """The cross-tab in long form with its empty cells as 0, for any number of labels.
+
+    ``column_values`` adds labels that do not occur; all that occur are kept.
+    """
+    cells = df.groupBy(row, column).agg(F.sum(present(weight)).alias("weighted_count"))
+    kind = df.schema[column].dataType
+    found = cells.select(F.col(column).alias("__column")).where("__column IS NOT NULL")
+    if column_values is not None:
+        found = found.union(df.sparkSession.createDataFrame([(v,) for v in column_values], T.StructType([T.StructField("__column", kind)])))
+    # every row label with every column label: that many cells are the result
+    names = found.agg(F.array_sort(F.collect_set("__column")).alias("__columns"))
+    grid = cells.select(F.col(row).alias("__row")).distinct().withColumn("__columns", names.scalar())
+    grid = grid.select("__row", F.explode("__columns").alias("__column"))
+    match = F.col("__row").eqNullSafe(F.col(row)) & (F.col("__column") == F.col(column))
+    return grid.join(cells, match, "left").select(
+        F.col("__row").alias(row), F.col("__column").alias(column), F.coalesce("weighted_count", F.lit(0.0)).alias("weighted_count")
+    )
 
 
 def crosstab_with_totals(df: DataFrame, row: str, column: str, weight: str) -> DataFrame:
     """Cells, row totals, column totals and the grand total from one ``cube``."""
-    require_columns(df, [row, column, weight])
-    cubed = df.cube(row, column).agg(
-        F.sum(weight).alias("weighted_count"), F.grouping(row).alias("__r"), F.grouping(column).alias("__c")
+    cells = weighted_cells(df, row, column, weight)
+    # the cube repeats cells, not observations
+    cubed = cells.cube(row, column).agg(
+        F.sum("weighted_count").alias("weighted_count"), F.grouping(row).alias("__r"), F.grouping(column).alias("__c")
     )
     name = lambda c, g: F.when(F.col(g) == 1, F.lit(TOTAL)).otherwise(F.col(c).cast("string")).alias(c)
     return cubed.select(name(row, "__r"), name(column, "__c"), "weighted_count")
@@ -77,11 +94,11 @@ def expected_cells(
         # the table has few cells, but its size in rows is only known from the data
         size = data.agg((F.count(F.lit(1)) / F.sum(weight)).alias("f")).first()["f"]
         observed = observed * F.lit(size)
+    cells = cells.select(row, column, observed.alias("observed"))
     return (
-        cells.select(row, column, observed.alias("observed"))
-        .withColumn("row_total", F.sum("observed").over(Window.partitionBy(row)))
+        cells.withColumn("row_total", F.sum("observed").over(Window.partitionBy(row)))
         .withColumn("column_total", F.sum("observed").over(Window.partitionBy(column)))
-        .withColumn("grand_total", F.sum("observed").over(Window.partitionBy()))
+        .withColumn("grand_total", cells.agg(F.sum("observed")).scalar())
         .where("row_total > 0 AND column_total > 0")
         .withColumn("expected", F.col("row_total") * F.col("column_total") / F.col("grand_total"))
     )
@@ -99,7 +116,6 @@ def chi_square(
     row: str,
     column: str,
     weight: str,
-    column_values: Sequence | None = None,
     rescale: bool = False,
     correction: bool = True,
     alpha: float = 0.05,
@@ -107,19 +123,34 @@ def chi_square(
     """Statistic, p-value, degrees of freedom, Cramér's V and significance, as one row.
 
     Rows and columns without weight are left out. ``correction`` applies the continuity
-    correction, and only to a table with one degree of freedom.
+    correction, and only to a table with one degree of freedom. Works on the cells that occur,
+    whatever their number.
     """
-    cells = expected_cells(df, row, column, weight, column_values, rescale)
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    square = lambda d: d * d / F.col("expected")
-    shrunk = gap - F.least(gap, F.lit(0.5))
-    table = cells.agg(
+    data = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    cells = settle(weighted_cells(data, row, column, weight))
+    grand = cells.agg(F.sum("weighted_count").alias("w"), F.sum("n").alias("n"))
+    # margins are result-sized tables of their own; empty cells never become rows
+    rows = cells.groupBy(row).agg(F.sum("weighted_count").alias("row_total")).where("row_total > 0")
+    columns = cells.groupBy(column).agg(F.sum("weighted_count").alias("column_total")).where("column_total > 0")
+    total = grand.select("w").scalar()
+    filled = cells.join(rows, row).join(columns, column)
+    expected = F.col("row_total") * F.col("column_total") / F.col("total")
+    filled = filled.withColumn("total", total).withColumn("expected", expected)
+    gap = F.abs(F.col("weighted_count") - F.col("expected"))
+    table = filled.agg(
         F.count_distinct(row).alias("r"),
         F.count_distinct(column).alias("c"),
-        F.sum(square(gap)).alias("plain"),
-        F.sum(square(shrunk)).alias("corrected"),
-        F.first("grand_total").alias("total"),
+        # an empty cell adds all that is expected in it
+        (F.sum(gap * gap / F.col("expected")) + F.first("total") - F.sum("expected")).alias("plain"),
+        F.max(gap).alias("gap"),
+        F.first("total").alias("total"),
     ).withColumn("dof", ((F.col("r") - 1) * (F.col("c") - 1)).cast("int"))
+    # weights that sum to the number of rows shrink every cell, and so the statistic, alike
+    scale = grand.select(F.col("n") / F.col("w")).scalar() if rescale else F.lit(1.0)
+    table = table.withColumns({m: F.col(m) * scale for m in ("plain", "gap", "total")})
+    # the four gaps of a table with one degree of freedom are equal
+    shrunk = F.when(F.col("gap") > 0, (F.col("gap") - F.least("gap", F.lit(0.5))) / F.col("gap")).otherwise(F.lit(0.0))
+    table = table.withColumn("plain", F.greatest("plain", F.lit(0.0))).withColumn("corrected", F.col("plain") * shrunk * shrunk)
     value = F.when((F.col("dof") == 1) & F.lit(correction), F.col("corrected")).otherwise(F.col("plain"))
     table = table.withColumn("statistic", value)
     spread = F.col("total") * (F.least("r", "c") - 1)

@@ -19,7 +19,7 @@ def forest_importance(
     target: str,
     num_trees: int = 100,
     max_depth: int = 10,
-    top_n: int | None = 10,
+    top_n: int | None = None,
     seed: int = 42,
     weight: str | None = None,
 ) -> DataFrame:

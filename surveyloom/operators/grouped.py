@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from surveyloom.functions.columns import is_missing, percent, weighted_mean
+from surveyloom.functions.columns import is_missing, percent, present, weighted_mean
 from surveyloom.operators.checks import require_columns
 from surveyloom.operators.lookup import attach, attach_aggregate, one_row
 from surveyloom.operators.quantiles import quantile_values, quantiles
@@ -20,39 +20,39 @@ def _keys(by: Sequence[str] | str) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def share_of_total(value: str) -> Column:
-    """Percent of the total, over an already aggregated table of one row per group."""
-    return percent(value, F.sum(value).over(Window.partitionBy()))
+def share_of_total(table: DataFrame, value: str) -> Column:
+    """Percent of the total of ``table``, an already aggregated one of one row per group.
+
+    The total is a scalar subquery: a sum in parts and one row, so groups never meet in a task.
+    """
+    return percent(value, table.agg(F.sum(value)).scalar())
 
 
 def band_statistics(df: DataFrame, score: str, weight: str, by: Sequence[str] | str) -> DataFrame:
     """Rows, valid scores, weight, mean, weighted mean, range and population share per group."""
     keys = _keys(by)
     require_columns(df, [score, weight, *keys])
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count(score).alias("sample_count"),
-            F.sum(weight).alias("weighted_count"),
-            F.avg(score).alias("mean_score"),
-            weighted_mean(score, weight).alias("weighted_mean_score"),
-            F.min(score).alias("min_score"),
-            F.max(score).alias("max_score"),
-        )
-        .withColumn("population_percentage", share_of_total("weighted_count"))
+    x, w = present(score), present(weight)
+    table = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(x).alias("sample_count"),
+        F.sum(w).alias("weighted_count"),
+        F.avg(x).alias("mean_score"),
+        weighted_mean(score, weight).alias("weighted_mean_score"),
+        F.min(x).alias("min_score"),
+        F.max(x).alias("max_score"),
     )
+    return table.withColumn("population_percentage", share_of_total(table, "weighted_count"))
 
 
 def segment_statistics(df: DataFrame, weight: str, by: Sequence[str] | str) -> DataFrame:
     """Rows, weight and population share per segment."""
     keys = _keys(by)
     require_columns(df, [weight, *keys])
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("sample_count"), F.sum(weight).alias("weighted_count"))
-        .withColumn("population_percentage", share_of_total("weighted_count"))
+    table = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("sample_count"), F.sum(present(weight)).alias("weighted_count")
     )
+    return table.withColumn("population_percentage", share_of_total(table, "weighted_count"))
 
 
 def group_sizes(df: DataFrame, by: Sequence[str] | str) -> DataFrame:
@@ -77,17 +77,17 @@ def index_by_group(
     require_columns(df, [index, weight, by, *dimensions])
     aggs = [
         F.count(F.lit(1)).alias("sample_count"),
-        F.sum(weight).alias("weighted_count"),
-        F.avg(index).alias("mean_index"),
+        F.sum(present(weight)).alias("weighted_count"),
+        F.avg(present(index)).alias("mean_index"),
         weighted_mean(index, weight).alias("weighted_mean_index"),
-        F.stddev_samp(index).alias("std_index"),
-        *[F.avg(d).alias(f"mean_{d}") for d in dimensions],
+        F.stddev_samp(present(index)).alias("std_index"),
+        *[F.avg(present(d)).alias(f"mean_{d}") for d in dimensions],
     ]
     probs, names = (0.25, 0.5, 0.75), ("q25", "median", "q75")
     head = ["sample_count", "weighted_count", "mean_index", "weighted_mean_index", "std_index"]
     tail = [f"mean_{d}" for d in dimensions]
     if method == "approx":
-        table = df.groupBy(by).agg(*aggs, F.percentile_approx(index, list(probs), accuracy).alias("__q"))
+        table = df.groupBy(by).agg(*aggs, F.percentile_approx(present(index), list(probs), accuracy).alias("__q"))
         return table.select(by, *head, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], *tail)
     cuts = quantiles(df, index, probs, by=by, method=method, names=names)
     return attach(df.groupBy(by).agg(*aggs), cuts, by, null_safe=True).select(by, *head, *names, *tail)
@@ -96,7 +96,7 @@ def index_by_group(
 def dimension_means(df: DataFrame, dimensions: Sequence[str], by: str) -> DataFrame:
     """Mean of every dimension per group as ``(group, dimension, mean)`` rows."""
     require_columns(df, [by, *dimensions])
-    wide = df.groupBy(by).agg(*[F.avg(d).alias(d) for d in dimensions])
+    wide = df.groupBy(by).agg(*[F.avg(present(d)).alias(d) for d in dimensions])
     return wide.unpivot([by], list(dimensions), "dimension", "mean_value")
 
 
@@ -106,7 +106,7 @@ def share_above(
     """Share of each group above a percentile of the whole table."""
     require_columns(df, [index, by])
     cut = quantile_values(df, index, [prob], method=method)[0]
-    above = F.when(F.col(index) > F.lit(cut), 1.0).when(F.col(index).isNotNull(), 0.0)
+    above = F.when(present(index) > F.lit(cut), 1.0).when(present(index).isNotNull(), 0.0)
     value = weighted_mean(above, weight) if weight else F.avg(above)
     return df.groupBy(by).agg(F.lit(cut).cast("double").alias("threshold"), value.alias("share_above"))
 
@@ -123,7 +123,7 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, weigh
     width = (hi - lo) / bins
     aggs = [F.count(F.lit(1)).alias("n")]
     if weight:
-        aggs.append(F.sum(weight).alias("weighted_count"))
+        aggs.append(F.sum(present(weight)).alias("weighted_count"))
     edge = lambda i: F.lit(lo) + F.lit(width) * i
     counted = df.where(~is_missing(x)).groupBy(number.cast("int").alias("bin")).agg(*aggs)
     return counted.select(
@@ -137,8 +137,8 @@ def cluster_profile(df: DataFrame, by: Sequence[str] | str, dimensions: Sequence
     require_columns(df, [weight, *keys, *dimensions])
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"),
-        F.sum(weight).alias("weighted_count"),
-        *[F.avg(d).alias(f"mean_{d}") for d in dimensions],
+        F.sum(present(weight)).alias("weighted_count"),
+        *[F.avg(present(d)).alias(f"mean_{d}") for d in dimensions],
     )
 
 
@@ -148,11 +148,11 @@ def outcomes(df: DataFrame, by: Sequence[str] | str, score: str, weight: str) ->
     require_columns(df, [score, weight, *keys])
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"),
-        F.avg(score).alias("mean_score"),
+        F.avg(present(score)).alias("mean_score"),
         weighted_mean(score, weight).alias("weighted_mean_score"),
-        F.stddev_samp(score).alias("std_score"),
-        F.min(score).alias("min_score"),
-        F.max(score).alias("max_score"),
+        F.stddev_samp(present(score)).alias("std_score"),
+        F.min(present(score)).alias("min_score"),
+        F.max(present(score)).alias("max_score"),
     )
 
 
@@ -161,10 +161,10 @@ def cell_means(df: DataFrame, a: str, b: str, score: str, weight: str) -> DataFr
     require_columns(df, [a, b, score, weight])
     return df.groupBy(a, b).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(weight).alias("weighted_n"),
+        F.sum(present(weight)).alias("weighted_n"),
         weighted_mean(score, weight).alias("weighted_mean_score"),
-        F.avg(score).alias("mean_score"),
-        F.stddev_samp(score).alias("std_score"),
+        F.avg(present(score)).alias("mean_score"),
+        F.stddev_samp(present(score)).alias("std_score"),
     )
 
 
@@ -204,17 +204,17 @@ def demean(
 
     The means are one aggregate, attached to the rows by a broadcast of checked size or a
     salted join, so rows of a hot group are never gathered in one task. ``weight`` uses
-    weighted means; null group keys form a group of their own.
+    weighted means; null group keys form a group of their own, and NaN counts as null.
     """
     keys = _keys(by)
     require_columns(df, [*columns, *keys, *([weight] if weight else [])])
-    mean = (lambda c: weighted_mean(c, weight)) if weight else F.avg
+    mean = (lambda c: weighted_mean(c, weight)) if weight else (lambda c: F.avg(present(c)))
     means = df.groupBy(*keys).agg(*[mean(c).alias(f"__mean_{i}") for i, c in enumerate(columns)])
     joined = attach_aggregate(df, means, keys)
-    new = [(F.col(c) - F.col(f"__mean_{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)]
+    new = [(present(c) - F.col(f"__mean_{i}")).alias(f"{c}{suffix}") for i, c in enumerate(columns)]
     return joined.select(*df.columns, *new)
 
 
 def range_of(df: DataFrame, column: str) -> tuple[float | None, float | None]:
-    r = one_row(df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")))
+    r = one_row(df.agg(F.min(present(column)).cast("double").alias("lo"), F.max(present(column)).cast("double").alias("hi")))
     return r["lo"], r["hi"]

@@ -8,7 +8,6 @@ repeated once per salt; all other lookup rows stay single.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -16,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, funct
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.001
 
 
 def one_row(df: DataFrame) -> Row:
@@ -25,17 +23,23 @@ def one_row(df: DataFrame) -> Row:
 
 
 def checkpoint_home(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only if none is named."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if home is None:
-        home = tempfile.mkdtemp(prefix="surveyloom-")
-        spark.sparkContext.setCheckpointDir(home)
-    return home
+    """The shared folder named by ``spark.checkpoint.dir``, or one in the warehouse if none is named.
+
+    Executors of a cluster do not see the driver's disk, so there a local warehouse is refused.
+    """
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if home:
+        return home
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = warehouse.startswith("file:") or "://" not in warehouse
+    if local and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("Name a folder that all executors share in spark.checkpoint.dir")
+    return f"{warehouse.rstrip('/')}/scratch"
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """This application's own folder below the shared one."""
-    return f"{checkpoint_home(spark).rstrip('/')}/surveyloom-{spark.sparkContext.applicationId}"
+    return f"{checkpoint_home(spark).rstrip('/')}/surveyloom-{spark.conf.get('spark.app.id')}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -60,8 +64,28 @@ def settle_measured(df: DataFrame, measures: Sequence[Column]) -> tuple[DataFram
 
 def clear_scratch(spark: SparkSession) -> bool:
     """Delete this application's settled tables; frames that read them stop working."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return delete_folder(scratch_folder(spark))
+
+
+def file_system(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file:")
+    if ":" not in local:
+        return fs.LocalFileSystem(), "/" + local.lstrip("/") if path.startswith("file:") else local
+    return fs.FileSystem.from_uri(path)
+
+
+def delete_folder(path: str) -> bool:
+    """Delete a folder and what is in it; False if there is none."""
+    from pyarrow import fs
+
+    system, own = file_system(path)
+    if system.get_file_info(own).type != fs.FileType.Directory:
+        return False
+    system.delete_dir(own)
+    return True
 
 
 def _width(field: T.StructField) -> Column | None:
@@ -96,8 +120,13 @@ def _match(left: DataFrame, right: DataFrame, on: Sequence[str], aliases: Sequen
     return out
 
 
-def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of keys that hold at least ``share`` of the rows: at most a few per ``1/share``."""
+def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float | None = None) -> list[int]:
+    """Hashes of keys that hold at least ``share`` of the rows: at most a few per ``1/share``.
+
+    By default that is a quarter of what a task of an even shuffle gets.
+    """
+    if share is None:
+        share = max(1e-5, 0.25 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.select(F.xxhash64(*on).alias("k"))
     return sorted(set(one_row(keyed.stat.freqItems(["k"], share))[0] or []))
 

@@ -103,7 +103,7 @@ def rank_importance(table: DataFrame, top_n: int | None = None) -> DataFrame:
 
 
 def regression_importance(
-    df: DataFrame, columns: Sequence[str], target: str, weight: str, top_n: int | None = 10
+    df: DataFrame, columns: Sequence[str], target: str, weight: str, top_n: int | None = None
 ) -> DataFrame:
     """Absolute standardized coefficients scaled to sum to 1, ranked, with the fit's R²."""
     present = [c for c in columns if c in df.columns]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.functions.columns import linear_combination, row_mean, standardized
+from surveyloom.functions.columns import linear_combination, present as present_value, row_mean, standardized
 from surveyloom.operators.checks import complete_rows, require_columns
 from surveyloom.operators.lookup import attach_aggregate, one_row
 
@@ -53,10 +53,11 @@ class IndexSpec:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
-    """Mean and sample standard deviation of many columns from one aggregate."""
+    """Mean and sample standard deviation of many columns from one aggregate; NaN is missing."""
     cols = list(dict.fromkeys(columns))
     require_columns(df, cols)
-    aggs = [a for i, c in enumerate(cols) for a in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]
+    values = [present_value(c) for c in cols]
+    aggs = [a for i, c in enumerate(values) for a in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]
     r = one_row(df.agg(*aggs))
     return {c: Moments(r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cols)}
 
@@ -71,7 +72,8 @@ def zscore(
         m = moments(df, cols)
         return df.withColumns({f"{c}{suffix}": standardized(c, m[c].mean, m[c].sd) for c in cols})
     keys = [by] if isinstance(by, str) else list(by)
-    aggs = [a for i, c in enumerate(cols) for a in (F.avg(c).alias(f"__m{i}"), F.stddev_samp(c).alias(f"__s{i}"))]
+    values = [present_value(c) for c in cols]
+    aggs = [a for i, c in enumerate(values) for a in (F.avg(c).alias(f"__m{i}"), F.stddev_samp(c).alias(f"__s{i}"))]
     joined = attach_aggregate(df, df.groupBy(*keys).agg(*aggs), keys)
     new = [
         standardized(c, F.col(f"__m{i}"), F.col(f"__s{i}")).alias(f"{c}{suffix}") for i, c in enumerate(cols)
@@ -81,7 +83,7 @@ def zscore(
 
 def _indicator(column: str, m: Moments, standardize: bool, missing: str) -> Column:
     """One indicator, standardized and filled. The mean of a z-score is 0."""
-    x = standardized(column, m.mean, m.sd) if standardize else F.col(column).cast("double")
+    x = standardized(column, m.mean, m.sd) if standardize else present_value(F.col(column).cast("double"))
     if missing == "impute_zero" or (missing == "impute_mean" and standardize):
         return F.coalesce(x, F.lit(0.0))
     if missing == "impute_mean" and m.mean is not None:
@@ -152,7 +154,7 @@ def composite_score(
     if standardize:
         scored = zscore(df, present, suffix=suffix, by=by)
     else:
-        scored = df.withColumns({f"{c}{suffix}": F.col(c).cast("double") for c in present})
+        scored = df.withColumns({f"{c}{suffix}": present_value(F.col(c).cast("double")) for c in present})
     items = [-F.col(f"{c}{suffix}") if c in negate else F.col(f"{c}{suffix}") for c in present]
     return scored.select(*df.columns, row_mean(items).alias(output))
 
@@ -162,8 +164,9 @@ def minmax_cells(df: DataFrame, value: str, output: str = "scaled") -> DataFrame
 
     Meant for tables of cells, such as a cross-tab, whose range is one cheap aggregate.
     """
-    span = one_row(df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")))
+    x = present_value(value)
+    span = one_row(df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")))
     lo, hi = span["lo"], span["hi"]
     if lo is None or lo == hi:
-        return df.withColumn(output, F.when(F.col(value).isNotNull(), F.lit(0.0)))
-    return df.withColumn(output, (F.col(value) - F.lit(lo)) / F.lit(hi - lo))
+        return df.withColumn(output, F.when(x.isNotNull(), F.lit(0.0)))
+    return df.withColumn(output, (x - F.lit(lo)) / F.lit(hi - lo))

@@ -24,10 +24,11 @@ from surveyloom.operators.lookup import one_row
 from surveyloom.operators.grouped import demean
 
 INTERCEPT = "intercept"
-MAX_PREDICTORS = 40
-# Share of a column's raw second moment that must remain after centring. Below it the
-# sums have lost too many digits, or the column is constant.
-USABLE_VARIATION = 1e-11
+#: Beyond this many predictors a single fit takes MLlib's solver, whose sums stay in arrays.
+WIDE = 40
+# Columns are centred before anything is summed. What is left of a constant column is rounding,
+# relative to its mean and to what a stratum's own mean leaves of the sums.
+ROUNDING, USABLE_VARIATION = 1e-13, 1e-13
 COLLINEAR = 1e-11
 
 _TERM = T.StructType(
@@ -79,34 +80,32 @@ def fit_ols(
     by: Sequence[str] | str | None = None,
     absorb: str | None = None,
     min_rows: int = 0,
-    centre: str | None = None,
+    centre: str = "mean",
     model: str = "ols",
 ) -> DataFrame:
     """One row per stratum: fit statistics and an array of terms.
 
     Rows without outcome, predictor, weight, stratum or absorbed group are left out.
     ``absorb`` adds a fixed effect per group, dropping groups with fewer than ``min_rows``
-    rows. ``centre="mean"`` spends one more column-pruned pass to subtract the means first;
-    use it for columns whose mean is huge next to their spread. Such columns are otherwise
-    reported in ``status`` and get no estimate. A stratum that cannot be fitted yields a row
-    with the reason, never a failed job. Weights count as precision weights.
+    rows. One column-pruned pass first takes the means, which are subtracted before products
+    are summed, so a mean that is huge next to the spread costs no digits. A predictor that is
+    constant in a stratum gets no estimate and is named in ``status``. A stratum that cannot be
+    fitted yields a row with the reason, never a failed job. Weights count as precision weights.
     """
     xs, keys = list(predictors), _list(by)
     if not xs:
         raise ValueError("No predictors given")
-    if len(xs) > MAX_PREDICTORS:
-        raise ValueError(f"More than {MAX_PREDICTORS} predictors: use fit_ols_mllib")
+    if centre != "mean":
+        raise ValueError("centre must be 'mean'")
+    if len(xs) > WIDE and not keys and not absorb:
+        return fit_ols_mllib(df, outcome, xs, weight, model)
     used = [outcome, *xs, *([weight] if weight else []), *keys, *([absorb] if absorb else [])]
     data = complete_rows(df, used).select(*dict.fromkeys(used))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     raw = [F.col(c).cast("double") for c in [*xs, outcome]]
     k, y = len(raw), len(xs)
-    shift = [0.0] * k
-    if centre == "mean":
-        r = one_row(data.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(raw)]))
-        shift = [m if m is not None else 0.0 for m in r]
-    elif centre is not None:
-        raise ValueError("centre must be None or 'mean'")
+    r = one_row(data.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(raw)]))
+    shift = [m if m is not None else 0.0 for m in r]
     values = [(v - F.lit(m) if m else v).alias(f"v{i}") for i, (v, m) in enumerate(zip(raw, shift))]
     # own names for every column, so that they can be put together as SQL text
     groups = [F.col(c).alias(f"k{i}") for i, c in enumerate([*keys, *([absorb] if absorb else [])])]
@@ -167,14 +166,20 @@ def _solve(r: Mapping, names: Sequence[str], shift: Sequence[float], absorbed: b
     products = np.asarray(r["products"], float).reshape(p + 1, p + 1)
     squares = np.asarray(r["squares"], float)
     spread = np.diag(products)[:p]
-    keep = np.flatnonzero(spread > USABLE_VARIATION * squares[:p])
+    # the means of a stratum before the shift say how much of a spread can be rounding
+    level = np.abs(np.asarray(r["sums"], float) / r["sw"]) + np.abs(np.asarray(shift))
+    rounding = np.maximum(USABLE_VARIATION * squares, (ROUNDING * level) ** 2 * r["sw"])
+    keep = np.flatnonzero(spread > rounding[:p])
     if len(keep) < p:
-        lost = [names[i] for i in range(p) if i not in set(keep)]
+        kept = set(keep.tolist())
+        lost = [names[i] for i in range(p) if i not in kept]
         fit["status"] = f"no usable variation: {', '.join(lost)}"
     total, sst = products[p, p], float(r["total"])
     scale = np.sqrt(spread[keep])
     gram = products[np.ix_(keep, keep)] / np.outer(scale, scale)
-    if len(keep) and np.linalg.eigvalsh(gram)[0] < COLLINEAR:
+    # digits that a stratum's own mean took from the sums are missing in the eigenvalues too
+    doubt = max(COLLINEAR, 1e-15 * float((squares[keep] / spread[keep]).max())) if len(keep) else 0.0
+    if len(keep) and np.linalg.eigvalsh(gram)[0] < doubt:
         return fit | {"status": "collinear predictors"}
     inverse = np.linalg.inv(gram) / np.outer(scale, scale) if len(keep) else np.zeros((0, 0))
     cross = products[keep, p]
@@ -183,7 +188,7 @@ def _solve(r: Mapping, names: Sequence[str], shift: Sequence[float], absorbed: b
     used = len(keep) + taken
     dof = n - used - 1
     fit["rmse"] = math.sqrt(sse / r["sw"])
-    if sst > USABLE_VARIATION * squares[p]:
+    if sst > rounding[p]:
         fit["r2"] = 1.0 - sse / sst
         fit["adjusted_r2"] = 1.0 - (1.0 - fit["r2"]) * (n - 1) / dof if dof > 0 else fit["r2"]
     noise = sse / dof if dof > 0 else math.nan

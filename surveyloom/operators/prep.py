@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.functions.columns import (
@@ -13,16 +15,14 @@ from surveyloom.functions.columns import (
     LEVEL_NAMES,
     band,
     map_labels,
+    present,
     product,
     recode_missing,
     reflect,
 )
-from surveyloom.operators.checks import complete_rows, numeric_columns, require_columns
+from surveyloom.operators.checks import complete_rows, require_columns
 from surveyloom.operators.lookup import attach, one_row
 
-MAX_LEVELS = 1000
-
-
 def add_score_band(
     df: DataFrame,
     score: str,
@@ -76,9 +76,9 @@ def decode_labels(df: DataFrame, codebook: DataFrame, column: str, output: str)
 
 
 def reverse_item(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
-    """``max + 1 - x`` with the maximum seen in the column."""
+    """``max + 1 - x`` with the maximum seen in the column; NaN is missing."""
     require_columns(df, [column])
-    top = one_row(df.agg(F.max(column).cast("double").alias("top")))["top"]
+    top = one_row(df.agg(F.max(present(column)).cast("double").alias("top")))["top"]
     if top is None:
         raise ValueError(f"Column '{column}' has no values to reverse")
     return df.withColumn(output or f"{column}_reversed", reflect(column, top))
@@ -90,7 +90,10 @@ def label_ids(df: DataFrame, column: str, labels: Mapping, output: str, default:
 
 
 def impute(df: DataFrame, columns: Sequence[str], strategy: str = "mean", suffix: str = "") -> DataFrame:
-    """``mean``: one aggregate for all columns; ``zero``; ``drop`` removes incomplete rows; ``keep``."""
+    """``mean``: one aggregate for all columns; ``zero``; ``drop`` removes incomplete rows; ``keep``.
+
+    NaN is missing and filled like null.
+    """
     require_columns(df, columns)
     if strategy == "keep":
         return df
@@ -99,11 +102,11 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str = "mean", suffix
     if strategy == "zero":
         fill = {c: 0.0 for c in columns}
     elif strategy == "mean":
-        fill = one_row(df.agg(*[F.avg(c).alias(c) for c in columns])).asDict()
+        fill = one_row(df.agg(*[F.avg(present(c)).alias(c) for c in columns])).asDict()
     else:
         raise ValueError("strategy must be 'mean', 'zero', 'drop' or 'keep'")
     return df.withColumns(
-        {f"{c}{suffix}": F.coalesce(F.col(c), F.lit(v).cast("double")) for c, v in fill.items()}
+        {f"{c}{suffix}": F.coalesce(present(c), F.lit(v).cast("double")) for c, v in fill.items()}
     )
 
 
@@ -112,24 +115,44 @@ def add_interaction(df: DataFrame, a: str, b: str, output: str | None = None) ->
     return df.withColumn(output or f"{a}_x_{b}", product(a, b))
 
 
-def category_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-null values of a column that must be a short code list."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def category_levels(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Sorted distinct non-null values of a column, to become columns of a wide table.
+
+    There are as many of them as the caller wants columns; ``limit`` raises beyond a number.
+    """
+    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = (levels if limit is None else levels.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"'{column}' has more than {limit} levels: demean within groups instead")
     return sorted(r[0] for r in rows)
 
 
 def add_dummies(df: DataFrame, column: str, prefix: str | None = None, levels: Sequence | None = None) -> DataFrame:
-    """0/1 columns for every level but the smallest; a null group gets nulls."""
+    """0/1 columns for every level but the smallest; a null group gets nulls.
+
+    For thousands of levels use ``add_dummy_vector``, or absorb the group in the model.
+    """
     require_columns(df, [column])
     known = list(levels) if levels is not None else category_levels(df, column)
     base = prefix or column
     return df.withColumns({f"{base}_{v}": (F.col(column) == F.lit(v)).cast("double") for v in known[1:]})
 
 
-def numeric_view(df: DataFrame) -> DataFrame:
-    return df.select(*numeric_columns(df))
+def add_dummy_vector(df: DataFrame, column: str, output: str) -> DataFrame:
+    """The same as one sparse vector for any number of levels; a null group gets a null."""
+    require_columns(df, [column])
+    text = df.withColumn("__level", F.col(column).cast("string"))
+    index = StringIndexer(inputCol="__level", outputCol="__at", stringOrderType="alphabetAsc", handleInvalid="keep")
+    model = index.fit(text.where(F.col("__level").isNotNull()))
+    n = len(model.labels)
+    at = model.transform(text).withColumn("__at", F.when(F.col("__level").isNotNull(), F.col("__at")))
+
+    @F.udf(VectorUDT())
+    def sparse(i):
+        # the smallest level is the base: all zeros
+        return None if i is None else Vectors.sparse(max(n - 1, 0), [] if i < 1 else [(int(i) - 1, 1.0)])
+
+    return at.withColumn(output, sparse("__at")).select(*df.columns, output)
 
 
 def add_strata(

@@ -9,7 +9,7 @@ from itertools import combinations_with_replacement
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from surveyloom.functions.columns import percent
+from surveyloom.functions.columns import percent, present
 from surveyloom.operators.checks import numeric_columns, require_columns
 from surveyloom.operators.lookup import attach, one_row, settle
 
@@ -36,13 +36,15 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
     names = [columns] if isinstance(columns, str) else list(columns)
     require_columns(df, names)
     aggs = [F.count(F.lit(1)).alias("rows")]
+    # NaN is missing
+    x = [present(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c) for c in names]
     for i, c in enumerate(names):
         aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.avg(c).cast("double").alias(f"mean{i}"),
-            F.stddev_samp(c).alias(f"sd{i}"),
-            F.min(c).cast("double").alias(f"lo{i}"),
-            F.max(c).cast("double").alias(f"hi{i}"),
+            F.count(x[i]).alias(f"n{i}"),
+            F.avg(x[i]).cast("double").alias(f"mean{i}"),
+            F.stddev_samp(x[i]).alias(f"sd{i}"),
+            F.min(x[i]).cast("double").alias(f"lo{i}"),
+            F.max(x[i]).cast("double").alias(f"hi{i}"),
         ]
     nulls = lambda i: F.col("rows") - F.col(f"n{i}")
     return _tall(

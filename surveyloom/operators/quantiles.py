@@ -3,31 +3,22 @@
 ``percentile`` keeps every distinct value of a group in one buffer, which a hot group
 cannot afford. The exact method here narrows instead: each pass counts the rows of every
 group in equal-width slices of the bracket that still holds a wanted rank and moves to
-that slice. A pass shuffles only slice counts; once a bracket is small its distinct
-values are counted and the ranks read off.
+that slice. Brackets are a table of their own, so any number of groups goes. A pass shuffles
+only slice counts; once a bracket is small its distinct values are counted and the ranks
+read off.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.operators.checks import require_columns
+from surveyloom.operators.lookup import attach_aggregate, settle
 
 SLICES = 2048
 SMALL_BRACKET = 10_000
-EXACT_GROUPS = 10_000
-
-_SPAN = T.StructType(
-    [
-        T.StructField("__b", T.IntegerType()),
-        T.StructField("__lo", T.DoubleType()),
-        T.StructField("__hi", T.DoubleType()),
-    ]
-)
 
 
 def percentile_names(probs: Sequence[float]) -> list[str]:
@@ -52,9 +43,9 @@ def quantiles(
 ) -> DataFrame:
     """One row per group with a column per probability.
 
-    ``method="approx"`` is one lazy aggregate for any number of groups. ``method="exact"``
-    runs a few bounded passes and is meant for up to 10,000 groups; ``kind`` then chooses
-    between interpolation (``continuous``) and an existing value (``discrete``).
+    ``method="approx"`` is one lazy aggregate. ``method="exact"`` runs a few passes; ``kind``
+    then chooses between interpolation (``continuous``) and an existing value (``discrete``).
+    Both take any number of groups.
     """
     keys = [by] if isinstance(by, str) else list(by or [])
     require_columns(df, [column, *keys])
@@ -78,140 +69,95 @@ def quantile_values(df: DataFrame, column: str, probs: Sequence[float], **option
     return [None] * len(probs) if row is None else list(row)
 
 
-def _wanted(n: int, p: float, kind: str) -> tuple[int, int, float]:
-    """0-based ranks around a probability and the fraction between them."""
-    if kind == "discrete":
-        k = max(0, math.ceil(n * p) - 1)
-        return k, k, 0.0
-    h = (n - 1) * p
-    low = math.floor(h)
-    return low, min(low + 1, n - 1), h - low
-
-
 def _exact(df, column, probs, keys, kind, labels) -> DataFrame:
-    data = df.select(*keys, F.col(column).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v")
+    data = df.select(
+        F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__all")).alias("__g"), F.col(column).cast("double").alias("__v")
+    ).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    summary = settle(
+        data.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     )
-    summary = (
-        data.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-        .where("n > 0")
-        .limit(EXACT_GROUPS + 1)
-        .collect()
+    # the ranks that each probability needs, from 0, and how far between the two its value lies
+    wanted = summary.select("__g", "n", "lo", "hi", F.posexplode(F.lit([float(p) for p in probs])).alias("i", "p"))
+    if kind == "discrete":
+        low = F.greatest(F.lit(0), F.ceil(F.col("n") * F.col("p")) - 1).cast("bigint")
+        wanted = wanted.select("*", low.alias("low"), low.alias("high"), F.lit(0.0).alias("part"))
+    else:
+        at = (F.col("n") - 1) * F.col("p")
+        low = F.floor(at).cast("bigint")
+        wanted = wanted.select(
+            "*", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"), (at - low).alias("part")
+        )
+    wanted = settle(wanted)
+    ranks = wanted.select("__g", F.col("low").alias("rank"), "lo", "hi", "n").union(
+        wanted.select("__g", "high", "lo", "hi", "n")
     )
-    if len(summary) > EXACT_GROUPS:
-        raise ValueError(f"More than {EXACT_GROUPS} groups: use method='approx'")
-    groups = [tuple(r[k] for k in keys) for r in summary]
-    sizes = [r["n"] for r in summary]
-
-    # (group number, rank) -> (lowest value, highest value, rows below, rows inside)
-    brackets: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for g, r in enumerate(summary):
-        for p in probs:
-            for rank in _wanted(r["n"], p, kind)[:2]:
-                brackets[g, rank] = (r["lo"], r["hi"], 0, r["n"])
-
-    found: dict[tuple[int, int], float] = {}
-    while True:
-        for at, (lo, hi, _, _) in list(brackets.items()):
-            if lo == hi:
-                found[at] = lo
-                del brackets[at]
-        wide = {at: b for at, b in brackets.items() if b[3] > SMALL_BRACKET}
-        if not wide:
-            break
-        narrowed = _narrow(data, keys, groups, wide)
-        if narrowed == wide:
-            break
-        brackets.update(narrowed)
-    if brackets:
-        found.update(_read_off(data, keys, groups, brackets))
-
-    rows = []
-    for g, n in enumerate(sizes):
-        values = []
-        for p in probs:
-            low, high, fraction = _wanted(n, p, kind)
-            a, b = found[g, low], found[g, high]
-            values.append(a if fraction == 0.0 or a == b else a + (b - a) * fraction)
-        rows.append((*groups[g], *values))
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField(name, T.DoubleType()) for name in labels]
+    # a bracket: values from lo to hi, with the rows below it and inside
+    brackets = settle(ranks.distinct().withColumn("below", F.lit(0).cast("bigint")))
+    open_ = (F.col("hi") / 2 - F.col("lo") / 2 > 0) & (F.col("n") > SMALL_BRACKET)
+    while not brackets.where(open_).isEmpty():
+        narrowed = _narrow(data, brackets.where(open_))
+        brackets = settle(brackets.where(~open_).unionByName(narrowed))
+    found = brackets.where("lo = hi").select("__g", "rank", F.col("lo").alias("value"))
+    found = settle(found.unionByName(_read_off(data, brackets.where("lo < hi"))))
+    a = found.select(F.col("__g").alias("__ga"), F.col("rank").alias("low"), F.col("value").alias("a"))
+    b = found.select(F.col("__g").alias("__gb"), F.col("rank").alias("high"), F.col("value").alias("b"))
+    both = wanted.join(a, F.col("__g").eqNullSafe(F.col("__ga")) & (wanted["low"] == a["low"]))
+    both = both.join(b, F.col("__g").eqNullSafe(F.col("__gb")) & (wanted["high"] == b["high"]))
+    value = F.when((F.col("part") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     )
-    if not keys and not rows:
-        rows = [tuple(None for _ in labels)]
-    return df.sparkSession.createDataFrame(rows, schema)
+    table = both.groupBy("__g").agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(labels)])
+    if not keys:
+        # one row even without values
+        return table.agg(*[F.max(n).alias(n) for n in labels])
+    return table.select(*[F.col("__g")[k].alias(k) for k in keys], *labels)
 
 
-def _inside(data: DataFrame, keys, groups, brackets: Mapping) -> tuple[DataFrame, dict]:
-    """Rows of each bracket, tagged with the bracket's number and bounds.
+def _inside(data: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Rows that lie in a bracket of their group, with its bounds.
 
-    The brackets of one group never overlap. Without groups they become one ``CASE`` over
-    literals; with groups they are a table of at most two rows per group and probability,
-    broadcast within the group limit.
+    A group has at most two brackets per probability; they come to the rows as one list.
     """
-    spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _, _) in brackets.items()})
-    number = {span: i for i, span in enumerate(spans)}
-    if not keys:
-        span = F.lit(None).cast(_SPAN)
-        for _, lo, hi in spans:
-            here = F.struct(F.lit(number[0, lo, hi]).alias("__b"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi"))
-            span = F.when(F.col("__v").between(lo, hi), here).otherwise(span)
-        return data.select("__v", span.alias("s")).where("s IS NOT NULL").select("__v", "s.*"), number
-    schema = T.StructType(
-        [T.StructField(f"__k{i}", data.schema[k].dataType) for i, k in enumerate(keys)] + _SPAN.fields
-    )
-    table = data.sparkSession.createDataFrame([(*groups[g], i, lo, hi) for i, (g, lo, hi) in enumerate(spans)], schema)
-    match = F.col("__v").between(F.col("__lo"), F.col("__hi"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return data.join(F.broadcast(table), match).select("__v", "__b", "__lo", "__hi"), number
+    spans = brackets.groupBy("__g").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
+    held = attach_aggregate(data, spans, "__g", how="inner")
+    each = held.select("__g", "__v", F.explode("__spans").alias("s"))
+    return each.where(F.col("__v").between(F.col("s.lo"), F.col("s.hi"))).select("__g", "__v", "s.lo", "s.hi")
 
 
-def _narrow(data, keys, groups, brackets) -> dict:
-    rows, number = _inside(data, keys, groups, brackets)
+def _narrow(data: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Each bracket becomes the slice of it that holds its rank."""
     # halves keep the difference finite for the widest doubles
-    place = (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+    place = (F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
     piece = F.least(F.floor(place * SLICES), F.lit(SLICES - 1))
     slices = (
-        rows.groupBy("__b", piece.alias("piece"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-        .collect()
-    )
-    by_bracket = defaultdict(list)
-    for s in slices:
-        by_bracket[s["__b"]].append((s["lo"], s["hi"], s["n"]))
-    for pieces in by_bracket.values():
-        pieces.sort()
-    out = {}
-    for (g, rank), (lo, hi, below, _) in brackets.items():
-        for a, b, n in by_bracket[number[g, lo, hi]]:
-            if rank < below + n:
-                out[g, rank] = (a, b, below, n)
-                break
-            below += n
-    return out
-
-
-def _read_off(data, keys, groups, brackets) -> dict:
-    rows, number = _inside(data, keys, groups, brackets)
-    ranks = defaultdict(set)
-    for (g, rank), (lo, hi, below, _) in brackets.items():
-        ranks[number[g, lo, hi]].add((rank - below, g, rank))
-    wanted = data.sparkSession.createDataFrame(
-        [(b, r) for b, rs in ranks.items() for r, _, _ in rs], "__wb int, wanted long"
+        _inside(data, brackets)
+        .groupBy("__g", "lo", "hi", piece.alias("piece"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("first"), F.max("__v").alias("last"))
     )
-    order = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("__g", "lo", "hi").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumn("upto", F.sum("n").over(order)).select(
+        F.col("__g").alias("__sg"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), "first", "last",
+        F.col("n").alias("sn"), "upto",
+    )
+    same = F.col("__g").eqNullSafe(F.col("__sg")) & (F.col("lo") == F.col("slo")) & (F.col("hi") == F.col("shi"))
+    inside = (F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("sn"))
+    return brackets.join(slices, same & inside).select(
+        "__g", "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("sn").alias("n"),
+        (F.col("below") + F.col("upto") - F.col("sn")).alias("below"),
+    )
+
+
+def _read_off(data: DataFrame, brackets: DataFrame) -> DataFrame:
+    """The value at each rank of brackets that hold few rows, from counts of distinct values."""
+    order = Window.partitionBy("__g", "lo", "hi").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        rows.groupBy("__b", "__v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(order))
+        _inside(data, brackets)
+        .groupBy("__g", "lo", "hi", "__v")
+        .agg(F.count(F.lit(1)).alias("m"))
+        .withColumn("upto", F.sum("m").over(order))
+    ).select(F.col("__g").alias("__sg"), F.col("lo").alias("slo"), F.col("hi").alias("shi"), "__v", "m", "upto")
+    same = F.col("__g").eqNullSafe(F.col("__sg")) & (F.col("lo") == F.col("slo")) & (F.col("hi") == F.col("shi"))
+    here = F.col("rank") - F.col("below")
+    return brackets.join(counted, same & (here < F.col("upto")) & (here >= F.col("upto") - F.col("m"))).select(
+        "__g", "rank", F.col("__v").alias("value")
     )
-    hits = counted.join(
-        F.broadcast(wanted),
-        (F.col("__b") == F.col("__wb"))
-        & (F.col("wanted") < F.col("upto"))
-        & (F.col("wanted") >= F.col("upto") - F.col("n")),
-    ).select("__b", "wanted", "__v")
-    at = {(b, r): (g, rank) for b, rs in ranks.items() for r, g, rank in rs}
-    return {at[h["__b"], h["wanted"]]: h["__v"] for h in hits.collect()}

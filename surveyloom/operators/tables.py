@@ -18,14 +18,17 @@ BAND_NAMES = {"low": "Low (< 482)", "middle": "Middle (482-606)", "high": "High
 def ordered_table(
     table: DataFrame, key: str, order: Sequence, names: Mapping | None = None
 ) -> DataFrame:
-    """Keep the listed keys, add their position and display name, and sort by position."""
+    """Add each key's position and display name, and sort by position.
+
+    Keys that are not listed, null too, come last with the next position and their own name.
+    """
     require_columns(table, [key])
-    shown = map_labels(key, names) if names else F.col(key).cast("string")
+    own = F.col(key).cast("string")
+    shown = F.coalesce(map_labels(key, names), own) if names else own
     return (
-        table.withColumn("position", position_of(key, order))
-        .where("position IS NOT NULL")
+        table.withColumn("position", F.coalesce(position_of(key, order), F.lit(len(order) + 1)))
         .withColumn("display_name", shown)
-        .orderBy("position")
+        .orderBy("position", key)
     )
 
 
@@ -42,8 +45,8 @@ def share_comparison(statistics: DataFrame, key: str) -> DataFrame:
     require_columns(statistics, [key, "sample_count", "weighted_count"])
     return statistics.select(
         key,
-        share_of_total("sample_count").alias("sample_percentage"),
-        share_of_total("weighted_count").alias("population_percentage"),
+        share_of_total(statistics, "sample_count").alias("sample_percentage"),
+        share_of_total(statistics, "weighted_count").alias("population_percentage"),
     )
 
 

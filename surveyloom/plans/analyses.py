@@ -215,7 +215,7 @@ def cross_analyses(
     rows = found.rows
     out.step("crosstab", lambda: tb.ordered_table(ct.crosstab(rows, "band", "segment", weight, columns), "band", tb.BAND_ORDER))
     out.step("crosstab_totals", lambda: ct.crosstab_with_totals(rows, "band", "segment", weight))
-    out.step("chi_square", lambda: ct.chi_square(rows, "band", "segment", weight, columns))
+    out.step("chi_square", lambda: ct.chi_square(rows, "band", "segment", weight))
     return out
 
 

@@ -430,6 +430,32 @@ ORDER BY n DESC, grp LIMIT 5"""
     heavy = lambda c: (
         f"{c} - SUM({c} * wt) OVER (PARTITION BY grp) / SUM(CASE WHEN {c} IS NOT NULL THEN wt END) OVER (PARTITION BY grp)"
     )
+    q["demean_nan"] = f"WITH {OBS} SELECT {KEYS}, grp, {r(plain('quantity'), 'quantity_within')} FROM obs"
+    q["band_stats_nan"] = q["band_stats_null_score"]
+    q["impute_mean_nan"] = q["impute_mean"]
+    q["zscore_nan"] = f"WITH {OBS} SELECT {KEYS}, {r(z('quantity'), 'quantity_z')}, {r(z('discount'), 'discount_z')} FROM obs"
+    q["composite_index_nan"] = f"WITH {IXD} SELECT {KEYS}, " + ", ".join(r(d, d) for d in DIMS) + f", {r('idx', 'idx')} FROM ixd"
+    q["reflect_nan"] = f"WITH {OBS} SELECT {KEYS}, MAX(quantity) OVER () + 1 - quantity AS quantity_reversed FROM obs"
+    q["percentiles_by_part"] = "SELECT l_partkey, " + ", ".join(
+        r(f"QUANTILE_CONT(l_extendedprice, {p})", f"q{p * 100:.0f}") for p in (0.25, 0.5, 0.75)
+    ) + " FROM lineitem GROUP BY l_partkey"
+    q["crosstab_long"] = f"""WITH s AS (SELECT COUNT(DISTINCT l_suppkey) AS n FROM lineitem)
+SELECT l_partkey, {ints('MAX(n)', 'cells')}, {ints('MAX(n) - COUNT(DISTINCT l_suppkey)', 'empty_cells')},
+       {r('SUM(l_quantity)', 'weighted_count')} FROM lineitem CROSS JOIN s GROUP BY l_partkey"""
+    q["chi_square_many"] = f"""WITH c AS (SELECT l_partkey, l_suppkey, SUM(l_quantity) AS o FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, SUM(o) OVER (PARTITION BY l_partkey) AS rt, SUM(o) OVER (PARTITION BY l_suppkey) AS ct, SUM(o) OVER () AS gt FROM c),
+t AS (SELECT SUM((o - rt * ct / gt) * (o - rt * ct / gt) / (rt * ct / gt)) + MAX(gt) - SUM(rt * ct / gt) AS x, MAX(gt) AS gt,
+             COUNT(DISTINCT l_partkey) AS r, COUNT(DISTINCT l_suppkey) AS c FROM m)
+SELECT {r('x', 'statistic', 4)}, CAST((r - 1) * (c - 1) AS INTEGER) AS dof, {r('gt', 'total_weight', 4)},
+       {r('SQRT(x / (gt * (LEAST(r, c) - 1)))', 'cramers_v', 4)} FROM t"""
+    q["ols_large_mean"] = f"""WITH {OBS}, m AS (SELECT SUM(wt * discount) / SUM(wt) AS mx, SUM(wt * score) / SUM(wt) AS my FROM obs),
+s AS (SELECT COUNT(*) AS n, SUM(wt) AS sw, SUM(wt * (discount - mx) * (discount - mx)) AS sxx,
+             SUM(wt * (discount - mx) * (score - my)) AS sxy, SUM(wt * (score - my) * (score - my)) AS syy FROM obs CROSS JOIN m)
+SELECT {ints('n', 'n')}, {r('sxy * sxy / sxx / syy', 'r2', 3)}, {r('SQRT((syy - sxy * sxy / sxx) / sw)', 'rmse', 3)},
+       {r('sxy / sxx', 'far', 3)}, 'ok' AS status FROM s"""
+    q["ols_collinear"] = f"""SELECT {ints('COUNT(*)', 'n')}, 'collinear predictors' AS status, CAST(NULL AS DOUBLE) AS far,
+       CAST(NULL AS DOUBLE) AS twin FROM lineitem"""
+    q["source_files"] = f"""SELECT 'lineitem.parquet' AS file, {ints('COUNT(l_orderkey)', 'n')} FROM lineitem"""
     q["within_group_demean"] = f"""WITH {OBS} SELECT {KEYS}, grp, {r('score', 'score')}, {r('quantity', 'quantity')},
        {r(plain('score'), 'score_within')}, {r(plain('quantity'), 'quantity_within')} FROM obs"""
     q["within_group_demean_weighted"] = f"""WITH {OBS} SELECT {KEYS}, grp, {r('score', 'score')}, {r('quantity', 'quantity')},

@@ -38,18 +38,18 @@ SCHOOL_COLUMNS = (SITE_KEY, *SCHOOL_SHORTAGE_ITEMS, SCHOOL_LOCATION_ITEM)
 
 STUDENT_INDEX = IndexSpec(
     (
-        Dimension("dim_access_resources", RESOURCE_ITEMS + SCHOOL_SHORTAGE_ITEMS, 0.25, reverse=True),
-        Dimension("dim_internet_access", INTERNET_ITEMS, 0.25, reverse=True),
-        Dimension("dim_learning_disabilities", LEARNING_ITEMS, 0.25),
-        Dimension("dim_geographic_isolation", (SCHOOL_LOCATION_ITEM,), 0.25, reverse=True),
+        Dimension("dim_means", RESOURCE_ITEMS + SCHOOL_SHORTAGE_ITEMS, 0.25, reverse=True),
+        Dimension("dim_connection", INTERNET_ITEMS, 0.25, reverse=True),
+        Dimension("dim_study_strain", LEARNING_ITEMS, 0.25),
+        Dimension("dim_remoteness", (SCHOOL_LOCATION_ITEM,), 0.25, reverse=True),
     ),
     missing="impute_mean",
-    output="barrier_index",
+    output="need_index",
 )
 
 STUDENT_INTERACTION = InteractionSpec(
     score=SCORE,
-    index="barrier_index",
+    index="need_index",
     attitude_items=ATTITUDE_ITEMS,
     group=GROUP,
     weight=WEIGHT,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from surveyloom.operators import checks, crosstab as ct, grouped as gr, models as md, normalize as nm
 from surveyloom.operators import ols, prep, profile as pf, segments as sg, tables as tb
 from surveyloom.operators.forest import forest_importance
-from surveyloom.operators.lookup import add_site_columns, checkpoint_home, settle
+from surveyloom.operators.lookup import add_site_columns, scratch_folder, settle
 from surveyloom.operators.quantiles import quantiles
 from surveyloom.plans.standin import (
     CONTROL,
@@ -407,12 +407,12 @@ def expected_cells(spark, sf):
 
 @query
 def chi_square(spark, sf):
-    return tidy(ct.chi_square(_bands_by_flag(spark, sf), "band", FLAG, WEIGHT, FLAGS))
+    return tidy(ct.chi_square(_bands_by_flag(spark, sf), "band", FLAG, WEIGHT))
 
 
 @query
 def chi_square_rescaled(spark, sf):
-    return tidy(ct.chi_square(_bands_by_flag(spark, sf), "band", FLAG, WEIGHT, FLAGS, rescale=True))
+    return tidy(ct.chi_square(_bands_by_flag(spark, sf), "band", FLAG, WEIGHT, rescale=True))
 
 
 @query
@@ -519,7 +519,7 @@ def importance_topn(spark, sf):
 @query
 def importance_forest(spark, sf):
     df = observations(spark, sf, *FEATURES, SCORE)
-    return forest_importance(df, FEATURES, SCORE, num_trees=20, max_depth=6)
+    return forest_importance(df, FEATURES, SCORE)
 
 
 # -- interaction ------------------------------------------------------------------------------
@@ -662,6 +662,92 @@ def silhouette(spark, sf):
 # -- sources --------------------------------------------------------------------------------------
 
 
+# -- missing values that arrive as NaN, many groups, large means ---------------------------
+
+
+def _with_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """Nulls turned to NaN, which counts as missing too."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns})
+
+
+@query
+def zscore_nan(spark, sf):
+    df = _with_nan(observations(spark, sf, "quantity", "discount", keys=True), "quantity")
+    return tidy(nm.zscore(df, ["quantity", "discount"]).drop("quantity", "discount"))
+
+
+@query
+def composite_index_nan(spark, sf):
+    df = _with_nan(observations(spark, sf, *INDEX_SPEC.columns, keys=True), "quantity", "psize")
+    return tidy(nm.composite_index(df, INDEX_SPEC).select(*KEYS, *DIMENSIONS, INDEX))
+
+
+@query
+def band_stats_nan(spark, sf):
+    df = prep.add_score_band(_with_nan(_some_null_scores(spark, sf), SCORE), SCORE)
+    return tidy(gr.band_statistics(df, SCORE, WEIGHT, "band"))
+
+
+@query
+def impute_mean_nan(spark, sf):
+    df = _with_nan(observations(spark, sf, "quantity", "effort", keys=True), "quantity", "effort")
+    return tidy(prep.impute(df, ["quantity", "effort"], "mean"))
+
+
+@query
+def reflect_nan(spark, sf):
+    df = _with_nan(observations(spark, sf, "quantity", keys=True), "quantity")
+    return prep.reverse_item(df, "quantity").drop("quantity")
+
+
+@query
+def demean_nan(spark, sf):
+    df = _with_nan(observations(spark, sf, GROUP, "quantity", keys=True), "quantity")
+    return tidy(gr.demean(df, ["quantity"], GROUP).drop("quantity"))
+
+
+@query
+def percentiles_by_part(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return tidy(quantiles(lines, "l_extendedprice", [0.25, 0.5, 0.75], "l_partkey", "exact"))
+
+
+@query
+def crosstab_long(spark, sf):
+    """Every part with every supplier, empty cells too, summed up per part."""
+    lines = table(spark, sf, "lineitem")
+    cells = ct.filled_cells(lines, "l_partkey", "l_suppkey", "l_quantity")
+    empty = F.count_if(F.col("weighted_count") == 0)
+    return tidy(
+        cells.groupBy("l_partkey").agg(
+            F.count(F.lit(1)).alias("cells"), empty.alias("empty_cells"), F.sum("weighted_count").alias("weighted_count")
+        )
+    )
+
+
+@query
+def chi_square_many(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    found = ct.chi_square(lines, "l_partkey", "l_suppkey", "l_quantity")
+    return tidy(found.select("statistic", "dof", "total_weight", "cramers_v"), 4)
+
+
+@query
+def ols_large_mean(spark, sf):
+    """A predictor whose mean is a million times its spread."""
+    df = observations(spark, sf, SCORE, WEIGHT, "discount").withColumn("far", F.col("discount") + 1e6)
+    fits = ols.fit_ols(df, SCORE, ["far"], WEIGHT)
+    return tidy(fits.select("n", "r2", "rmse", ols.term_value("far").alias("far"), "status"), 3)
+
+
+@query
+def ols_collinear(spark, sf):
+    """A predictor that repeats another one beside a large mean is told, not fitted."""
+    df = observations(spark, sf, SCORE, WEIGHT, "discount").withColumn("far", F.col("discount") + 5e4)
+    fits = ols.fit_ols(df.withColumn("twin", 2 * F.col("far") + 3), SCORE, ["far", "twin"], WEIGHT)
+    return fits.select("n", "status", ols.term_value("far").alias("far"), ols.term_value("twin").alias("twin"))
+
+
 @query
 def codebook_profile(spark, sf):
     return ig.codebook(table(spark, sf, "orders")).select("position", "column", "type", F.size("samples").alias("samples"))
@@ -669,15 +755,15 @@ def codebook_profile(spark, sf):
 
 @query
 def source_files(spark, sf):
-    """Size and name of the data files of a dataset; contents are not read."""
-    files = ig.list_files(spark, f"{sf}/lineitem.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size")
+    """Rows that each data file of a dataset holds."""
+    lines = table(spark, sf, "lineitem").select(F.col("_metadata.file_name").alias("file"), "l_orderkey")
+    return lines.groupBy("file").agg(F.count("l_orderkey").alias("n"))
 
 
 @query
 def ingest_roundtrip(spark, sf):
     """Ingest a table to fresh Parquet, then compare rows, columns and schema."""
-    home = f"{checkpoint_home(spark)}/ingest-{uuid.uuid4().hex}"
+    home = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
     source = ig.Source("orders", f"{sf}/orders.parquet", f"{home}/orders", format="parquet")
     ig.ingest(spark, source, f"{home}/manifest")
     return ig.validate_ingest(source.read(spark), spark.read.parquet(source.target), "orders")
@@ -686,7 +772,7 @@ def ingest_roundtrip(spark, sf):
 @query
 def manifest_diff(spark, sf):
     """Files still to do after an ingest: none."""
-    home = f"{checkpoint_home(spark)}/ingest-{uuid.uuid4().hex}"
+    home = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
     source = ig.Source("orders", f"{sf}/orders.parquet", f"{home}/orders", format="parquet")
     ig.ingest(spark, source, f"{home}/manifest")
     manifest = ig.read_manifest(spark, f"{home}/manifest")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from surveyloom.operators.checks import non_empty
-from surveyloom.operators.lookup import settle
+from surveyloom.operators.lookup import delete_folder, file_system, settle
 
 READERS = ("csv", "json", "parquet", "orc", "text")
 MANIFEST_SCHEMA = (
@@ -48,8 +51,26 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        spark.read.format("binaryFile").load(path).schema
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def replace_folder(new: str, target: str) -> None:
+    """Put a finished folder in the place of an older one, which is only deleted after the swap."""
+    system, own = file_system(target.rstrip("/"))
+    _, made = file_system(new)
+    old = f"{own}.old-{uuid.uuid4().hex}"
+    there = system.get_file_info(own).type != fs.FileType.NotFound
+    if there:
+        system.move(own, old)
+    system.move(made, own)
+    if there:
+        system.delete_dir(old)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +125,8 @@ def ingest(
     """Write a dataset as Parquet and record its files; skip it when nothing changed.
 
     Spark splits the input and commits the output as a whole, so small and large files
-    take the same road. The listing is taken before reading: a file that changes meanwhile
+    take the same road. The output is written beside the target and swapped in when it is
+    whole, so a failed run leaves the old table. The listing is taken before reading: a file that changes meanwhile
     is picked up by the next run.
     """
     if not force and not needs_ingest(spark, source, manifest_path):
@@ -113,13 +135,21 @@ def ingest(
     data = source.read(spark)
     if not non_empty(data):
         raise ValueError(f"Source '{source.name}' has no rows or no columns")
-    writer = data.write.mode("overwrite").option("compression", compression)
+    # written aside: until it is whole and counted, the old table stays where it is
+    aside = f"{source.target.rstrip('/')}.new-{uuid.uuid4().hex}"
+    writer = data.write.option("compression", compression)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if source.partition_by:
         writer = writer.partitionBy(*source.partition_by)
-    writer.parquet(source.target)
-    rows, columns = spark.read.parquet(source.target).count(), len(data.columns)
+    try:
+        writer.parquet(aside)
+        rows, columns = spark.read.parquet(aside).count(), len(data.columns)
+    except Exception:
+        delete_folder(aside)
+        raise
+    replace_folder(aside, source.target)
+    spark.catalog.refreshByPath(source.target)
     records = files.select(
         F.lit(source.name).alias("dataset"),
         "path",

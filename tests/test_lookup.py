@@ -96,3 +96,23 @@ def test_settled_frames_keep_schema_and_can_be_cleared(spark):
     assert held.schema == df.schema and held.collect() == df.collect()
     assert lk.scratch_folder(spark).startswith(lk.checkpoint_home(spark))
     assert lk.clear_scratch(spark)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        def __init__(self, **known):
+            self.known = known
+
+        def get(self, key, default=None):
+            return self.known.get(key.replace(".", "_"), default)
+
+    class Session:
+        def __init__(self, **known):
+            self.conf = Conf(**known)
+
+    local = Session(spark_sql_warehouse_dir="file:/x/wh", spark_master="local[2]")
+    assert lk.checkpoint_home(local) == "file:/x/wh/scratch"
+    with pytest.raises(ValueError):
+        lk.checkpoint_home(Session(spark_sql_warehouse_dir="file:/x/wh", spark_master="spark://h:7077"))
+    shared = Session(spark_sql_warehouse_dir="file:/x/wh", spark_master="spark://h:7077", spark_checkpoint_dir="hdfs://n/c")
+    assert lk.checkpoint_home(shared) == "hdfs://n/c"

@@ -93,13 +93,42 @@ def test_unusable_strata_report_a_reason(spark):
     assert fits["flat"]["r2"] is None and fits["flat"]["terms"][0]["estimate"] == pytest.approx(0.0)
 
 
-def test_large_offsets_are_refused_or_centred(spark):
+@pytest.mark.parametrize("mean", [1e4, 1e5, 1e7, 1e9])
+def test_large_offsets_are_centred(spark, mean):
     rng = np.random.default_rng(2)
-    x = 1e9 + rng.normal(0, 1, 500)
-    pdf = pd.DataFrame({"x": x, "y": 3.0 * (x - 1e9) + 1.0})
-    df = spark.createDataFrame(pdf)
-    assert ols.fit_ols(df, "y", ["x"]).first()["status"].startswith("no usable variation")
-    assert terms(ols.fit_ols(df, "y", ["x"], centre="mean"))["x"] == pytest.approx(3.0, rel=1e-6)
+    x = mean + rng.normal(0, 1, 500)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": rng.normal(0, 1, 500), "y": 3.0 * (x - mean) + 1.0, "g": "a", "h": x * 0 + mean}))
+    fit = ols.fit_ols(df, "y", ["x", "z"])
+    assert fit.first()["status"] == "ok" and fit.first()["r2"] == pytest.approx(1.0)
+    assert terms(fit)["x"] == pytest.approx(3.0, rel=1e-6)
+    assert terms(ols.fit_ols(df, "y", ["x"], absorb="g"))["x"] == pytest.approx(3.0, rel=1e-6)
+    assert ols.fit_ols(df, "y", ["x", "h"]).first()["status"] == "no usable variation: h"
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e4, 5e4, 1e7])
+def test_exact_collinearity_is_told(spark, mean):
+    rng = np.random.default_rng(4)
+    x = mean + rng.normal(0, 0.3, 800)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "x2": 2 * x + 3, "y": rng.normal(0, 1, 800), "g": rng.choice(list("ab"), 800)}))
+    assert ols.fit_ols(df, "y", ["x", "x2"]).first()["status"] == "collinear predictors"
+    assert {r["status"] for r in ols.fit_ols(df, "y", ["x", "x2"], by="g").collect()} == {"collinear predictors"}
+
+
+def test_small_spread_beside_a_large_mean_is_used(spark):
+    rng = np.random.default_rng(6)
+    x = 1e6 + rng.uniform(0, 0.1, 900)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": 3.0 * (x - 1e6) + rng.normal(0, 0.001, 900)}))
+    fit = ols.fit_ols(df, "y", ["x"]).first()
+    assert fit["status"] == "ok" and fit["r2"] > 0.99 and fit["terms"][0]["estimate"] == pytest.approx(3.0, rel=1e-2)
+
+
+def test_any_number_of_predictors_from_one_entry(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (400, 45))
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(45)])
+    pdf["y"] = x @ np.arange(45) + 2.0
+    fit = terms(ols.fit_ols(spark.createDataFrame(pdf), "y", [f"x{i}" for i in range(45)]))
+    assert [fit[f"x{i}"] for i in range(45)] == pytest.approx(list(range(45)), abs=1e-6)
 
 
 def test_comparison_and_residuals(data):

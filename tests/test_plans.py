@@ -101,5 +101,5 @@ def test_interaction_presets(survey):
     fit = md.interaction_model(data, pr.STUDENT_INTERACTION).first()
     assert fit["status"] == "ok" and fit["n"] == 882
     assert [t["term"] for t in fit["terms"]] == [
-        "barrier_index", "attitude", "barrier_index_x_attitude", "ESCS", "intercept"
+        "need_index", "attitude", "need_index_x_attitude", "ESCS", "intercept"
     ]

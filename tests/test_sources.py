@@ -111,3 +111,21 @@ def test_missing_value_table(spark):
     assert rows[0] == ("Item A", "a", 3.0, 2.0, 1.0, 33.33)
     assert rows[2] == ("Sample loss (weighted)", "all", 4.0, 3.0, 1.0, 25.0)
     assert isinstance(table.schema["total"].dataType, T.DoubleType)
+
+
+def test_failed_ingest_keeps_the_old_table(spark, folder):
+    path, target = f"{folder}/in.csv", f"{folder}/out"
+    with open(path, "w") as f:
+        f.write("a,b\n1,2\n3,4\n")
+    source = ig.Source("t", path, target, options={"header": "true", "mode": "FAILFAST"}, schema="a int, b int")
+    assert ig.ingest(spark, source, f"{folder}/manifest")["rows"] == 2
+    with open(path, "w") as f:
+        f.write("a,b\n1,2\nbad,record\n5,6\n")
+    with pytest.raises(Exception):
+        ig.ingest(spark, source, f"{folder}/manifest")
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, 2), (3, 4)]
+    assert sorted(os.listdir(folder)) == ["in.csv", "manifest", "out"]
+    with open(path, "w") as f:
+        f.write("a,b\n7,8\n")
+    assert ig.ingest(spark, source, f"{folder}/manifest")["rows"] == 1
+    assert spark.read.parquet(target).first() == (7, 8)
