@@ -26,7 +26,7 @@ from surveyloom.operators import tables as tb
 from surveyloom.operators.checks import complete_rows, missing_columns, require_columns
 from surveyloom.operators.forest import forest_importance
 from surveyloom.operators.lookup import add_site_columns
-from surveyloom.operators.prep import add_score_band
+from surveyloom.operators.prep import add_score_band, recode_from_codebook
 from surveyloom.sources.catalog import Catalog
 from surveyloom.sources.ingest import Source, ingest_all
 from surveyloom.sources.sinks import missing_value_table, write_tables
@@ -232,6 +232,11 @@ class Study:
     site_key: str | None = None
 
 
+def without_missing_codes(df: DataFrame, codebook: DataFrame) -> DataFrame:
+    """Null out the codes that the codebook marks as missing, in the columns the table has."""
+    return recode_from_codebook(df, codebook, df.columns)
+
+
 def run_study(
     observations: DataFrame,
     sites: DataFrame | None,
@@ -241,8 +246,16 @@ def run_study(
     with_interaction: bool = True,
     method: str = "approx",
     trees: int = 100,
+    codebook: DataFrame | None = None,
 ) -> Result:
-    """Bands, index and interaction analyses, written below ``folder`` as they are built."""
+    """Bands, index and interaction analyses, written below ``folder`` as they are built.
+
+    With a ``(column, code, is_missing)`` codebook, codes that stand for a missing answer become
+    null before anything is computed, in observations and sites.
+    """
+    if codebook is not None:
+        observations = without_missing_codes(observations, codebook)
+        sites = without_missing_codes(sites, codebook) if sites is not None else None
     total = score_bands(observations, study.score, study.weight)
     total.write(folder)
     if not with_index:

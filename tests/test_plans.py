@@ -103,3 +103,22 @@ def test_interaction_presets(survey):
     assert [t["term"] for t in fit["terms"]] == [
         "need_index", "attitude", "need_index_x_attitude", "ESCS", "intercept"
     ]
+
+
+def test_missing_codes_are_recoded_before_the_study(spark, survey, folder):
+    from pyspark.sql import functions as F
+
+    pupils, schools = survey
+    codes = spark.createDataFrame(
+        [(pr.SCORE, 9999.0, True), ("HOMEPOS", 99.0, True), ("HOMEPOS", 1.0, False)], "column string, code double, is_missing boolean"
+    )
+    some = F.pmod(F.col(pr.SITE_KEY), F.lit(5)) == 0
+    coded = pupils.withColumn("HOMEPOS", F.when(some, 99.0).otherwise(F.col("HOMEPOS")))
+    coded = coded.withColumn(pr.SCORE, F.when(some, 9999.0).otherwise(F.col(pr.SCORE)))
+    result = an.run_study(coded, schools, STUDY, folder, with_index=False, codebook=codes)
+    assert result.errors == {}
+    bands = spark.read.option("header", True).csv(f"{folder}/band_statistics").collect()
+    assert max(float(r["max_score"]) for r in bands if r["max_score"]) < 9999
+    assert sum(int(r["sample_count"]) for r in bands) == pupils.where(~some).count()
+    # rows without a score keep their share
+    assert sum(float(r["population_percentage"]) for r in bands) == pytest.approx(100.0)
