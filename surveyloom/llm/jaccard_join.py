@@ -96,12 +96,19 @@ def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, text: str, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: ``n`` shingles, the set's ``node``, its ``meeting`` of minima, and its first shingles in the common order."""
+    """Per row: ``n`` shingles, the set's ``node``, its ``meeting`` of minima, and its first shingles in the common order.
+
+    ``row`` numbers the rows; the result is to be written before it is used twice.
+    """
 
     def described(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            numbers = np.arange(row, row + len(batch))
+            row += len(batch)
             n, nodes, meetings, firsts = [], [], [], []
             for tokens in shingle_sets(batch.column(batch.schema.get_field_index("__text")), width):
                 n.append(len(tokens))
@@ -122,17 +129,18 @@ def describe_sets(docs: DataFrame, text: str, width: int, percent: int, levels:
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(batch.schema.get_field_index(c)) for c in names],
+                    pa.array(numbers),
                     pa.array(n, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(meetings, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=[*names, "n", "node", "meeting", "firsts"],
+                names=[*names, "row", "n", "node", "meeting", "firsts"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(whole_text(text)).alias("content"), whole_text(text).alias("__text"))
-    return rows.mapInArrow(described, f"doc_id {kind}, content long, n long, node long, meeting long, firsts array<long>")
+    return rows.mapInArrow(described, f"doc_id {kind}, content long, row long, n long, node long, meeting long, firsts array<long>")
 
 
 def with_tokens(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -218,9 +226,12 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups, ``a`` below ``b``, that share a first shingle and whose sizes and places leave room for a link."""
     n = shuffle_partitions(nodes.sparkSession)
     rows = nodes.select("unit", "n", F.posexplode("firsts").alias("at", "token"))
-    rows = rows.select("token", "unit", "n", (F.col("n") - F.col("at")).alias("room")).repartition(n, "token")
+    # size and room in one number, as this is the largest exchange
+    sizes = F.shiftleft(F.col("n"), 32) + (F.col("n") - F.col("at"))
+    rows = rows.select("token", "unit", sizes.alias("sizes")).repartition(n, "token")
+    size, room = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
     # the matrix: one row per shingle and group, with the sizes of its members
-    matrix = rows.groupBy("token", "unit").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"))
+    matrix = rows.groupBy("token", "unit").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.max(room).alias("room"))
     # most shingles are of one group alone
     shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     matrix = settle(matrix.join(shared.select("token"), "token", "left_semi"))
@@ -251,33 +262,47 @@ def _compare_leaders(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFr
 
 
 def _open_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups, of which no leaders are linked, that have a link between members."""
-    chunked = members.withColumn(
-        "chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK).cast("int")).cast("int")
-    ).select("unit", "chunk", "tokens")
-    chunks = settle(chunked.select("unit", "chunk").distinct())
-    met = pairs.join(chunks.select(F.col("unit").alias("a"), F.col("chunk").alias("chunk_a")), "a").join(
-        chunks.select(F.col("unit").alias("b"), F.col("chunk").alias("chunk_b")), "b"
-    )
-    sides = [
-        met.join(chunked.select(F.col("unit").alias(s), F.col("chunk").alias(f"chunk_{s}"), "tokens"), [s, f"chunk_{s}"]).select(
-            "a", "b", "chunk_a", "chunk_b", F.lit(s).alias("side"), "tokens"
-        )
-        for s in ("a", "b")
-    ]
+    """The pairs of groups, of which no leaders are linked, that have a link between members.
 
-    def opened(part: pd.DataFrame) -> pd.DataFrame:
-        own, other = ([np.frombuffer(t, np.uint64) for t in part.loc[part["side"] == s, "tokens"]] for s in ("a", "b"))
-        union = np.unique(np.concatenate(other))
-        for x in own:
-            # a bound for all members of the other group at once
-            if np.isin(x, union, assume_unique=True).sum() >= needed(len(x), percent):
-                if any(linked(x, y, percent) for y in other):
-                    return part[["a", "b"]].iloc[:1]
-        return part[["a", "b"]].iloc[:0]
+    ``pairs`` has the numbers of members. The members of the smaller group are the queries, and
+    go to each chunk of the larger one, whose members are there once for all queries (or once
+    for so many of them, where very many groups ask).
+    """
+    asks = F.col("members_a") <= F.col("members_b")
+    pairs = pairs.select(
+        "a", "b", F.when(asks, F.col("a")).otherwise(F.col("b")).alias("query"),
+        F.when(asks, F.col("b")).otherwise(F.col("a")).alias("group"), F.least("members_a", "members_b").alias("n"),
+    )
+    load = pairs.groupBy("group").agg(F.ceil(F.sum("n") / (4 * CHUNK)).cast("int").alias("salts"))
+    own = members.select(F.col("unit").alias("group"), "node", "members", "tokens").join(load, "group")
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    held = own.select(
+        "group", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("query"), "tokens",
+    )
+    counts = own.groupBy("group").agg(F.max(chunks).alias("chunks"), F.max("salts").alias("salts"))
+    asked = pairs.join(counts, "group").join(members.select(F.col("unit").alias("query"), "node", "tokens"), "query")
+    asked = asked.select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "query", "tokens",
+    )
 
-    both = sides[0].unionByName(sides[1]).groupBy("a", "b", "chunk_a", "chunk_b")
-    return both.applyInPandas(opened, "a long, b long").distinct()
+    def opened(part: pd.DataFrame) -> pd.DataFrame:
+        inside = part["query"].isna()
+        sets = [np.frombuffer(t, np.uint64) for t in part.loc[inside, "tokens"]]
+        found = set()
+        if sets:
+            union = np.unique(np.concatenate(sets))
+            for query, tokens in zip(part.loc[~inside, "query"].astype("int64"), part.loc[~inside, "tokens"]):
+                x = np.frombuffer(tokens, np.uint64)
+                # a bound for all members at once, then each of them
+                if query not in found and np.isin(x, union, assume_unique=True).sum() >= needed(len(x), percent):
+                    if any(linked(x, y, percent) for y in sets):
+                        found.add(query)
+        return pd.DataFrame({"a": part["group"].iloc[0], "b": np.array(sorted(found), np.int64)})
+
+    both = held.unionByName(asked).withColumn("query", F.col("query").cast("string"))
+    return both.groupBy("group", "chunk", "salt").applyInPandas(opened, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -295,12 +320,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     docs = docs.select("doc_id", F.col(text).alias("text"))
     levels = shingle_levels(docs, "text", width)
     rows = settle(describe_sets(docs, "text", width, percent, levels))
-    # one row per set: copies of a text, a third of all rows or more, meet here once per task
-    nodes = settle(rows.filter("n > 0").select("node", "content", "n", "meeting", "firsts").dropDuplicates(["node"]))
-    units = _first_groups(docs, "text", width, percent, nodes)
-    nodes = settle(
-        nodes.drop("meeting").join(units, "node", "left").withColumn("unit", F.coalesce("unit", "node"))
+    # one row per set: copies of a text, a third of all rows or more, meet once per task
+    chosen = rows.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
+    nodes = attach(
+        rows.select("row", "content", "n", "meeting", "firsts"), settle(chosen), "row", how="inner"
     )
+    units = _first_groups(docs, "text", width, percent, nodes)
+    nodes = attach(nodes.drop("row", "meeting"), units, "node").withColumn("unit", F.coalesce("unit", "node"))
     pairs = _candidates(nodes, percent)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     leads = with_tokens(docs, "text", width, nodes.select("node", "content").join(asked, "node", "left_semi"))
@@ -316,7 +342,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     left = left.filter(
         (F.coalesce("in_a", "a") != F.coalesce("in_b", "b")) & (F.coalesce("members_a", "members_b").isNotNull())
     )
-    left = settle(left.select("a", "b"))
+    one = [F.coalesce(f"members_{s}", F.lit(1)).alias(f"members_{s}") for s in ("a", "b")]
+    left = settle(left.select("a", "b", *one))
     if not left.isEmpty():
         open_units = left.select(F.col("a").alias("unit")).union(left.select("b")).distinct()
         inside = nodes.select("node", "content", "unit").join(open_units, "unit", "left_semi")
@@ -324,7 +351,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
         members = with_tokens(docs, "text", width, inside)
         links = settle(links.union(_open_groups(left, members, percent)))
         found = components(links)
-    of_node = nodes.select("node", "unit").join(found.select(F.col("node").alias("unit"), "component"), "unit", "left")
+    nodes = nodes.select("node", "unit")
+    of_node = nodes.join(found.select(F.col("node").alias("unit"), "component"), "unit", "left")
     of_node = of_node.select("node", F.coalesce("component", "unit").alias("component"))
     smallest = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(of_node, "node")
     named = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
