@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from surveyloom.llm.common import shuffle_partitions, whole_text
 from surveyloom.llm.components import components
@@ -143,24 +143,19 @@ def describe_sets(docs: DataFrame, text: str, width: int, percent: int, levels:
     return rows.mapInArrow(described, f"doc_id {kind}, content long, row long, n long, node long, meeting long, firsts array<long>")
 
 
-def with_tokens(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (unique ``content``, other columns) with the ``tokens`` of the text of that content."""
-    rows = docs.select(F.xxhash64(whole_text(text)).alias("content"), whole_text(text).alias("__text"))
-    held = attach(rows, settle(wanted), "content", how="inner").dropDuplicates(["content"])
+def with_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (unique ``content``, other columns) with the text of that content, as ``said``.
 
-    def tokens_of(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    Texts move rather than sets: compressed they are half as large, and sets are made in no time.
+    """
+    rows = docs.select(F.xxhash64(whole_text(text)).alias("content"), whole_text(text).alias("said"))
+    return settle(attach(rows, settle(wanted), "content", how="inner").dropDuplicates(["content"]))
 
-        for batch in batches:
-            names = [c for c in batch.schema.names if c != "__text"]
-            made = [t.tobytes() for t in shingle_sets(batch.column(batch.schema.get_field_index("__text")), width)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(made, pa.binary())],
-                names=[*names, "tokens"],
-            )
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields if f.name != "__text"]
-    return settle(held.mapInArrow(tokens_of, ", ".join([*fields, "tokens binary"])))
+def _sets_of(texts: pd.Series, width: int) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    return list(shingle_sets(pa.array(texts.tolist(), pa.large_string()), width))
 
 
 def _grouped(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -203,7 +198,7 @@ def _first_groups(docs: DataFrame, text: str, width: int, percent: int, nodes: D
         F.count(F.lit(1)).alias("members"), F.min_by("content", "node").alias("lead")
     ).filter("members > 1")
     met = attach(nodes.select("node", "content", "meeting"), settle(sizes), "meeting", how="inner")
-    held = with_tokens(docs, text, width, met)
+    held = with_texts(docs, text, met)
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     leads = F.col("content") == F.col("lead")
     # the lead goes to every chunk, so that what is linked to it is one group across chunks
@@ -214,11 +209,11 @@ def _first_groups(docs: DataFrame, text: str, width: int, percent: int, nodes: D
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["follows", "node"])
-        found = _grouped([np.frombuffer(t, np.uint64) for t in part["tokens"]], percent)
+        found = _grouped(_sets_of(part["said"], width), percent)
         nodes_in = part["node"].to_numpy()
         return pd.DataFrame({"node": nodes_in, "unit": nodes_in[found]})
 
-    parts = dealt.select("meeting", "chunk", "follows", "node", "tokens").groupBy("meeting", "chunk")
+    parts = dealt.select("meeting", "chunk", "follows", "node", "said").groupBy("meeting", "chunk")
     return settle(parts.applyInPandas(group, "node long, unit long").distinct())
 
 
@@ -233,8 +228,8 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     # the matrix: one row per shingle and group, with the sizes of its members
     matrix = rows.groupBy("token", "unit").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.max(room).alias("room"))
     # most shingles are of one group alone
-    shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    matrix = settle(matrix.join(shared.select("token"), "token", "left_semi"))
+    groups = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    matrix = settle(matrix.withColumn("groups", groups).filter("groups > 1").drop("groups"))
     a = matrix.select("token", *[F.col(c).alias(f"{c}_a") for c in ("unit", "low", "high", "room")])
     b = matrix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("unit", "low", "high", "room")])
     fits = (
@@ -247,21 +242,19 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return settle(pairs.distinct())
 
 
-def _compare_leaders(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+def _compare_leaders(pairs: DataFrame, leads: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose leaders are linked."""
 
     @F.pandas_udf("boolean")
     def are_linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(
-            [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x, y)], dtype=bool
-        )
+        return pd.Series([linked(a, b, percent) for a, b in zip(_sets_of(x, width), _sets_of(y, width))], dtype=bool)
 
-    first = pairs.join(leads.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = first.join(leads.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    first = pairs.join(leads.select(F.col("node").alias("a"), F.col("said").alias("x")), "a")
+    both = first.join(leads.select(F.col("node").alias("b"), F.col("said").alias("y")), "b")
     return both.filter(are_linked("x", "y")).select("a", "b")
 
 
-def _open_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _open_groups(pairs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs of groups, of which no leaders are linked, that have a link between members.
 
     ``pairs`` has the numbers of members. The members of the smaller group are the queries, and
@@ -274,27 +267,27 @@ def _open_groups(pairs: DataFrame, members: DataFrame, percent: int) -> DataFram
         F.when(asks, F.col("b")).otherwise(F.col("a")).alias("group"), F.least("members_a", "members_b").alias("n"),
     )
     load = pairs.groupBy("group").agg(F.ceil(F.sum("n") / (4 * CHUNK)).cast("int").alias("salts"))
-    own = members.select(F.col("unit").alias("group"), "node", "members", "tokens").join(load, "group")
+    own = members.select(F.col("unit").alias("group"), "node", "members", "said").join(load, "group")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     held = own.select(
         "group", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("query"), "tokens",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("query"), "said",
     )
     counts = own.groupBy("group").agg(F.max(chunks).alias("chunks"), F.max("salts").alias("salts"))
-    asked = pairs.join(counts, "group").join(members.select(F.col("unit").alias("query"), "node", "tokens"), "query")
+    asked = pairs.join(counts, "group").join(members.select(F.col("unit").alias("query"), "node", "said"), "query")
     asked = asked.select(
         "group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "query", "tokens",
+        F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "query", "said",
     )
 
     def opened(part: pd.DataFrame) -> pd.DataFrame:
         inside = part["query"].isna()
-        sets = [np.frombuffer(t, np.uint64) for t in part.loc[inside, "tokens"]]
+        sets = _sets_of(part.loc[inside, "said"], width)
         found = set()
         if sets:
             union = np.unique(np.concatenate(sets))
-            for query, tokens in zip(part.loc[~inside, "query"].astype("int64"), part.loc[~inside, "tokens"]):
-                x = np.frombuffer(tokens, np.uint64)
+            asked = part.loc[~inside]
+            for query, x in zip(asked["query"].astype("int64"), _sets_of(asked["said"], width)):
                 # a bound for all members at once, then each of them
                 if query not in found and np.isin(x, union, assume_unique=True).sum() >= needed(len(x), percent):
                     if any(linked(x, y, percent) for y in sets):
@@ -329,8 +322,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     nodes = attach(nodes.drop("row", "meeting"), units, "node").withColumn("unit", F.coalesce("unit", "node"))
     pairs = _candidates(nodes, percent)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    leads = with_tokens(docs, "text", width, nodes.select("node", "content").join(asked, "node", "left_semi"))
-    links = settle(_compare_leaders(pairs, leads, percent))
+    leads = with_texts(docs, "text", nodes.select("node", "content").join(asked, "node", "left_semi"))
+    links = settle(_compare_leaders(pairs, leads, percent, width))
     found = components(links)
     # groups of several members that are not connected yet are opened
     sizes = nodes.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -348,8 +341,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
         open_units = left.select(F.col("a").alias("unit")).union(left.select("b")).distinct()
         inside = nodes.select("node", "content", "unit").join(open_units, "unit", "left_semi")
         inside = inside.join(sizes, "unit", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-        members = with_tokens(docs, "text", width, inside)
-        links = settle(links.union(_open_groups(left, members, percent)))
+        members = with_texts(docs, "text", inside)
+        links = settle(links.union(_open_groups(left, members, percent, width)))
         found = components(links)
     nodes = nodes.select("node", "unit")
     of_node = nodes.join(found.select(F.col("node").alias("unit"), "component"), "unit", "left")
