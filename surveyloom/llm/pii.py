@@ -11,15 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _LOCAL = "A-Za-z0-9._%+-"
+# Codes of the countries that have IBANs, by the length of theirs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_IBANS = "|".join(
+    [f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    # codes without a known length
+    + [f"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"]
+)
 # What proposes a span of each kind, in the order in which kinds are listed.
 PROPOSE = {
     "email": f"(?:\\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?:\\G|(?<![0-9]))[0-9]++(?:\\.[0-9]++){3}",
     "card": "[0-9](?:[ -]?[0-9])++",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # what is proposed is only looked at, so that one that fails hides none that starts inside it
+    "iban": f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBANS})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters that a match takes where that is not all of what it proposes as its first group.
+TAKEN = {"iban": 4}
 #: Kinds that stay whatever their score is.
 BASE = ("email", "ip", "card", "phone")
 # The score of a confirmed span, and words nearby that raise it.
@@ -103,7 +119,7 @@ def _proposed(docs: DataFrame, kind: str, text: Column, name: str) -> DataFrame:
     none = F.array().cast("array<string>")
     out = docs.withColumn(
         f"{name}_found",
-        F.when(_possible(kind, text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
+        F.when(_possible(kind, text), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind in TAKEN)))).otherwise(none),
     )
     return out.withColumn(
         f"{name}_around", F.when(F.size(f"{name}_found") > 0, F.split(text, pattern, -1)).otherwise(none)
@@ -118,6 +134,8 @@ def _kept(kind: str, found: Column, before: Column, after: Column) -> Column:
 def _describe(kind: str, rank: int, around: Column, place: Column):
     def span(x: Column, i: Column) -> Column:
         start, before, after = F.element_at(place, i + 1), F.element_at(around, i + 1), F.element_at(around, i + 2)
+        if kind in TAKEN:
+            after = F.substring(after, F.char_length(x) - TAKEN[kind] + 1, F.lit(NEARBY))
         return F.struct(
             start.alias("start"),
             F.lit(rank).alias("rank"),
@@ -135,7 +153,8 @@ def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFr
 
     Places are code points from 0; spans are sorted by start, then by kind as listed. Proposals
     of a kind are leftmost and do not overlap; one that fails its check is dropped and nothing
-    is tried in its place. Kinds beyond the base ones need a score of at least ``ENOUGH``. A null
+    is tried in its place. An IBAN is proposed wherever one can start, and is as long as its
+    country's are, whatever words follow. Kinds beyond the base ones need a score of at least ``ENOUGH``. A null
     or empty text has an empty array. Rows are kept one by one with their other columns, and no
     row moves between tasks.
     """
@@ -147,7 +166,9 @@ def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFr
         name = f"__{kind}"
         out = _proposed(out, kind, F.col("__text"), name)
         found, around = F.col(f"{name}_found"), F.col(f"{name}_around")
-        pieces = F.zip_with(found, around, lambda x, y: F.struct(F.char_length(y).alias("skip"), F.char_length(x).alias("take")))
+        # null beside the last piece, which no match follows
+        taken = lambda x: F.when(x.isNotNull(), F.lit(TAKEN[kind])) if kind in TAKEN else F.char_length(x)
+        pieces = F.zip_with(found, around, lambda x, y: F.struct(F.char_length(y).alias("skip"), taken(x).alias("take")))
         # where each match starts: all that came before it
         starts = F.aggregate(
             F.filter(pieces, lambda p: p["take"].isNotNull()),

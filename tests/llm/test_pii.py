@@ -114,3 +114,25 @@ def test_query_equals_a_plain_scan(spark):
         assert r.base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest()
         found += len(spans)
     assert found > 30
+
+
+IBAN = "DE89370400440532013000"
+
+
+@pytest.mark.parametrize(
+    "text, start, end",
+    [
+        (f"IBAN {IBAN} BIC COBADEFF", 5, 27), ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", 0, 27), (f"{IBAN} 2024-01-01", 0, 22),
+        ("GB82WEST12345698765432 I said", 0, 22), ("é AT12 DE89 3704 0044 0532 0130 00", 7, 34), ("NO93 8601 1117 947 BE 1", 0, 18),
+        (f"{IBAN} {IBAN}", 0, 22), (f"{IBAN}1 x", None, None), (f"x{IBAN}", None, None),
+    ],
+)
+def test_words_after_an_iban_do_not_join_it(spark, text, start, end):
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    got = [(s.start, s.end) for s in pi.find_pii(df).first().pii if s.kind == "iban"]
+    want = [] if start is None else [(start, end)]
+    if text == f"{IBAN} {IBAN}":
+        want.append((23, 45))
+    assert got == want
+    redacted = pi.redact_pii(df).first().text
+    assert redacted.count("[IBAN]") == len(want) and all(text[s:e] not in redacted for s, e in want)
