@@ -34,20 +34,27 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Where ids repeat, one row per id stays; documents without an id all stay.
+    Rows are told apart by a number of their own, which is written before it is used. Where ids
+    repeat in a group one of their rows stays; a document without an id stays only if no member
+    has one. Texts without shingles are in no group and all stay.
     """
-    groups = near_duplicates(docs)
-    kept = settle(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    some = attach(docs, kept, "doc_id", how="inner").select(*docs.columns).dropDuplicates(["doc_id"])
-    return some.unionByName(docs.filter("doc_id IS NULL"))
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    # in the order in which members of a group are preferred
+    key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    groups = near_duplicates(rows.select(key.alias("doc_id"), "text"))
+    kept = settle(groups.filter("doc_id = component_id").select(F.col("doc_id.row").alias("__row")))
+    return attach(rows, kept, "__row", how="inner").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    found = settle(leaks.select("doc_id").distinct().withColumn("__leak", F.lit(True)))
-    kept = attach(docs, found, "doc_id", how="left", null_safe=True).filter("__leak IS NULL")
-    return kept.select(*docs.columns)
+    """Documents without a copy of a benchmark item.
+
+    That follows from the text alone, so texts are looked up by their digests, whatever the ids are.
+    """
+    rows = docs.withColumn("__content", F.sha2("text", 256))
+    leaks = find_leaks(rows, read_table(spark, sf_dir, "benchmark"), id_column="__content")
+    found = settle(leaks.select("__content").distinct().withColumn("__leak", F.lit(True)))
+    return attach(rows, found, "__content", how="left").filter("__leak IS NULL").select(*docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline against what its stages should keep, on a small fixture."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -78,3 +79,23 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert cpl.keep_languages(spark, docs, folder).count() == docs.filter("text rlike '[A-Za-z]'").count()
     assert tokenizer_path().endswith(".json")
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, tmp_path):
+    text = [" ".join(vocabulary(60 + i, 40)) for i in range(7)]
+    item = " ".join(text[5].split()[:30])
+    rows = [
+        (None, text[0]), (None, text[0]), (3, text[1]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[3]), (7, text[4]),
+        (5, text[4]), (7, text[5]), (None, text[5]), (None, text[6]), (8, ""), (8, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t) if t else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    kept = cpl.keep_one_of_each_group(spark, docs.repartition(3), str(tmp_path))
+    assert kept.dtypes == docs.dtypes
+    assert count(kept) == Counter([
+        (None, text[0]), (3, text[1]), (None, text[2]), (7, text[3]), (5, text[4]), (7, text[5]), (None, text[6]), (8, ""), (8, ""), (None, None),
+    ])
+    clean = cpl.drop_leaks(spark, docs.repartition(3), str(tmp_path))
+    assert clean.dtypes == docs.dtypes
+    assert count(clean) == Counter((i, t) for i, t in rows if t != text[5])
