@@ -1,12 +1,14 @@
-"""Benchmark decontamination: SimHash windows of an item's size, checked exactly.
+"""Benchmark decontamination: windows of an item's size, checked exactly.
 
 Texts are words of letters and digits in lower case. A window is as many words of a document as
 a benchmark item has, placed where the document has a shingle at the same place as the item; a
-window without any shared shingle cannot be similar. Each window and each item gets a 64-bit
-SimHash over its weighted shingles. Four blocks of 16 bits index the items under every value
-within three flipped bits, which finds all fingerprints within 15 bits, as one of four blocks
-then differs in at most three. Pairs within that radius are verified by the exact
-weighted-shingle similarity; a shingle weighs as much as it has characters.
+window without any shared shingle cannot be similar. Pairs of windows and items are verified by
+the exact weighted-shingle similarity; a shingle weighs as much as it has characters.
+
+No similar pair is lost before that: a window of similarity s has at least s of an item's weight,
+so it has one of any shingles of the item that weigh more than 1 - s of it. Items are indexed
+under such shingles, the rarest among items. ``simhash`` and ``within_radius`` are an index by
+64-bit fingerprints for other uses, in which four blocks of 16 bits find all within 15 bits.
 
 Everything is built-in column functions and joins on hashes.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.operators.lookup import attach, fits_broadcast, settle
 
@@ -88,16 +90,38 @@ def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     return near.drop("block", "value", "item_bits").distinct()
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weight of the common shingles over the weight of all, for distinct weighted shingles."""
+def weight(x: Column) -> Column:
+    """Sum of the weights of weighted shingles."""
+    return F.aggregate(x, F.lit(0).cast("long"), lambda n, s: n + s["w"])
 
-    def weight(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda n, s: n + s["w"])
 
+def similarity(a: Column, b: Column) -> Column:
+    """Weight of the common shingles over the weight of all, for distinct weighted shingles."""
     both = weight(F.array_intersect(a, b))
     return both / (weight(a) + weight(b) - both)
 
 
+def candidates(windows: DataFrame, items: DataFrame, similar: float) -> DataFrame:
+    """Pairs of ``window`` and ``item_id`` that may be similar: all that are, and few others.
+
+    ``windows`` has ``shingles`` and ``items`` has ``item_shingles``, weighted and distinct.
+    """
+    each = items.dropDuplicates(["item_id"]).select(
+        "item_id", weight(F.col("item_shingles")).alias("all"), F.explode("item_shingles").alias("s")
+    )
+    each = settle(each.select("item_id", "all", "s.h", "s.w"))
+    each = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    before = Window.partitionBy("item_id").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    # rounding only ever adds a shingle or a pair
+    slack = 1e-9
+    index = settle(each.filter(F.col("before") <= F.col("all") * (1 - similar + slack)).select("item_id", "all", "h"))
+    own = windows.select("window", weight(F.col("shingles")).alias("own"), F.explode("shingles.h").alias("h"))
+    found = own.join(F.broadcast(index) if fits_broadcast(index) else index, "h")
+    alike = F.least("own", "all") >= F.greatest("own", "all") * (similar - slack)
+    return found.filter(alike).select("window", "item_id").distinct()
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -115,7 +139,7 @@ def find_leaks(
     count together, and so do rows of an item id, null ids too; other columns are left out. An
     empty table gives no rows.
 
-    The documents' texts stay where they are: what moves are the shingles that an item has too.
+    No window is lost: all that are similar enough are found. The documents' texts stay where they are: what moves are the shingles that an item has too.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("size", F.size("words"))
@@ -164,8 +188,7 @@ def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, similar: flo
     kinds = own.groupBy("window").agg(F.min("shingles").alias("shingles"))
     sides = items.select("item_id", weighted_shingles(F.col("words"), width).alias("item_shingles"))
     item_kinds = sides.withColumn("item_id", F.struct("item_id", F.xxhash64("item_shingles").alias("kind")))
-    item_bits = simhash(item_kinds, ["item_id"], "item_shingles").withColumnRenamed("bits", "item_bits")
-    pairs = within_radius(simhash(kinds, ["window"]), item_bits).select("window", "item_id")
+    pairs = candidates(kinds, item_kinds, similar)
     checked = pairs.join(kinds, "window").join(item_kinds, pairs["item_id"].eqNullSafe(item_kinds["item_id"]))
     good = checked.select(
         "window", pairs["item_id"]["item_id"].alias("item_id"), similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")

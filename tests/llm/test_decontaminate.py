@@ -110,3 +110,20 @@ def test_query_equals_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontamination"](spark, FOLDER).collect()}
     assert got == set(brute(docs, items)) and got
+
+
+def test_no_borderline_window_is_lost(spark):
+    """Items with one or two changed words, similar by 0.80 to 0.85."""
+    items, docs = [], []
+    for i in range(500):
+        own = vocabulary(1000 + i, 50 + i % 5 if i % 2 else 96 + i % 5)
+        changed = list(own)
+        for at in [25] if i % 2 else [30, 60]:
+            changed[at] = "changed"
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join(changed)))
+    want = {(i, i) for i, (a, b) in enumerate(zip(items, docs)) if 0.8 <= similarity(weighted(words(a[1]), 5), weighted(words(b[1]), 5)) < 0.85}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()}
+    assert want <= got and len(want) > 300
