@@ -3,14 +3,15 @@
 A text in canonical form has lower case, equivalent spellings made one, no copyright lines and
 no punctuation, and single spaces. Two texts are the same licence if the digests of their
 canonical forms are equal. Each document is looked up as a whole, and so is each of its
-paragraphs (between blank lines) and lines: a licence or a notice inside a longer file has to
-match entirely as well, never by parts.
+paragraphs (between blank lines), runs of consecutive paragraphs, and lines: a licence or a
+notice inside a longer file has to match entirely as well, never by parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from surveyloom.llm.license_texts import full_texts
 from surveyloom.operators.lookup import attach
 
 # The wording of licences and of the notices that name them.
@@ -70,6 +71,14 @@ SPELLINGS = (
     ("whilst", "while"),
 )
 COPYRIGHT_LINE = "^[ \\t]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# comment marks before such a line, and wrapped lines of licences that only begin like one
+_MARKS = "(?m)^[ \\t#*/;%!<|-]+(?=copyright|\\(c\\)|©|all rights reserved)"
+_WRAPPED = (
+    "(?m)^(?=copyright (?:holders?|notices?|licenses?|laws?|statements?|disclaimers?|on the program|and related)\\b"
+    "|\\(c\\) (?:you must|under patent))"
+)
+#: Characters of a run's first paragraph that have to be those of a known text.
+OPENING = 8
 
 
 def canonical(text: Column) -> Column:
@@ -77,6 +86,8 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), "\\r\\n?", "\n")
     for found, made in SPELLINGS:
         out = F.replace(out, F.lit(found), F.lit(made))
+    # a full stop keeps the line, and goes with the other punctuation
+    out = F.regexp_replace(F.regexp_replace(out, _MARKS, ""), _WRAPPED, ". ")
     # the ranges are those of ASCII letters and digits, and all characters beyond ASCII
     out = F.regexp_replace(out, f"(?m){COPYRIGHT_LINE}", "")
     out = F.regexp_replace(out, "[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")
@@ -88,11 +99,49 @@ def joined(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\n]+", " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``digest`` and ``license`` of known texts; the first name of a text counts."""
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """``digest``, ``license``, ``length`` and ``opening`` of known texts; the first name of a text counts.
+
+    By default these are ``KNOWN`` and the full texts and headers of ``license_texts``.
+    """
+    known = [*KNOWN, *full_texts(KNOWN[-2:])] if known is None else known
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(known)], "n int, license string, text string")
-    made = rows.select("n", "license", F.sha2(joined(canonical(F.col("text"))), 256).alias("digest"))
-    return made.groupBy("digest").agg(F.min_by("license", "n").alias("license"))
+    made = rows.select("n", "license", joined(canonical(F.col("text"))).alias("form"))
+    made = made.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min_by("license", "n").alias("license"), F.min("form").alias("form"))
+    return made.select("digest", "license", F.char_length("form").alias("length"), F.left("form", F.lit(OPENING)).alias("opening"))
+
+
+def _runs(paragraphs: Column, lengths: list[int], openings: list[str]) -> Column:
+    """Runs of two or more paragraphs that begin like a known text and are as long as one."""
+    most = max(lengths, default=0) // 2 + 1
+    first = F.filter(
+        F.transform(paragraphs, lambda p, i: F.struct((i + 1).alias("at"), p["line"].alias("line"), p["form"].alias("form"))),
+        lambda p: F.left(p["form"], F.lit(OPENING)).isin(openings),
+    )
+
+    def of_start(p: Column) -> Column:
+        own = F.transform(F.slice(paragraphs, p["at"], most), lambda q: q["form"])
+        # how many paragraphs a run may have, from a running sum of their lengths
+        ends = F.aggregate(
+            own,
+            F.struct(F.lit(-1).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")),
+            lambda acc, x: F.struct(
+                (acc["sum"] + F.char_length(x) + 1).alias("sum"),
+                (acc["n"] + 1).alias("n"),
+                F.when(
+                    (acc["n"] > 0) & (acc["sum"] + F.char_length(x) + 1).isin(lengths), F.concat(acc["ends"], F.array(acc["n"] + 1))
+                ).otherwise(acc["ends"]).alias("ends"),
+            ),
+            lambda acc: acc["ends"],
+        )
+        return F.transform(
+            ends,
+            lambda n: F.struct(
+                F.lit("n_paragraphs").alias("unit"), p["line"].alias("line"), F.array_join(F.slice(own, F.lit(1), n), " ").alias("form")
+            ),
+        )
+
+    return F.flatten(F.transform(first, of_start))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +149,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
 
     One row per id and licence with ``n_whole``, ``n_paragraphs`` and ``n_lines``, the numbers of
     units that match, and ``first_line`` (from 1) of the first one. A text of one line counts as
-    whole, paragraph and line. Null and empty texts have no units; repeated rows and ids add up,
+    whole, paragraph and line. A run of consecutive paragraphs that is a known text counts among
+    the paragraphs, unless it is all of the document. Null and empty texts have no units; repeated rows and ids add up,
     null ids too; other columns are left out; an empty table gives no rows. Without known
     licences nothing is found.
 
@@ -140,7 +190,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
             F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("form"),
         )
     )
-    units = lines.select(id_column, F.explode(F.concat(whole, paragraphs, numbered)).alias("u"))
+    told = known.select("length", "opening").distinct().collect()  # a few for each known licence
+    lengths, openings = sorted({r["length"] for r in told}), sorted({r["opening"] for r in told})
+    lines = lines.withColumn("paragraphs", paragraphs)
+    runs = F.filter(_runs(F.col("paragraphs"), lengths, openings), lambda u: u["form"] != whole[0]["form"])
+    units = lines.select(id_column, F.explode(F.concat(whole, F.col("paragraphs"), runs, numbered)).alias("u"))
     digests = units.filter("u.form != ''").select(
         id_column, "u.unit", "u.line", F.sha2("u.form", 256).alias("digest")
     )

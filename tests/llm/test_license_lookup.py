@@ -3,6 +3,7 @@
 import re
 
 from surveyloom.llm import license_lookup as ll
+from surveyloom.llm.license_texts import FOLDER as FULL
 from surveyloom.llm.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -77,3 +78,21 @@ def test_query_equals_plain_python(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     got = rows(QUERIES["op2_license_scan"](spark, FOLDER))
     assert got == expected(docs) and len(got) > 10
+
+
+def test_licences_as_they_are_distributed(spark):
+    mit = ll.KNOWN[21][1].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    apache = (FULL / "Apache-2.0.txt").read_text()
+    header = apache[apache.index("   Licensed under the Apache License") :]
+    titled = f"MIT License\n\nCopyright (c) 2020 X\n\n{mit}"
+    commented = "\n".join(f"# {x}" for x in titled.split("\n"))
+    docs = [
+        (1, titled), (2, commented), (3, f"/*\n * Copyright 2020 X\n *\n * {header.strip()}\n */\nint x;"), (4, apache),
+        (5, f"Readme\n\n{titled}\n\nmore words"), (6, mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")), (7, f"{mit} more"),
+        *[(10 + i, (FULL / f"{n}.txt").read_text()) for i, n in enumerate(("GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"))],
+    ]
+    got = rows(ll.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), ll.known_digests(spark)))
+    whole = {k: v["n_whole"] for k, v in got.items()}
+    assert {k for k in whole} >= {(i, "MIT") for i in (1, 2, 5, 6)} | {(3, "Apache-2.0"), (4, "Apache-2.0"), (10, "GPL-2.0"), (11, "GPL-3.0"), (12, "MPL-2.0"), (13, "CC0-1.0")}
+    assert all(whole[k] == 1 for k in ((1, "MIT"), (2, "MIT"), (4, "Apache-2.0"), (10, "GPL-2.0"), (11, "GPL-3.0"), (12, "MPL-2.0"), (13, "CC0-1.0")))
+    assert got[(5, "MIT")]["n_whole"] == 0 and got[(5, "MIT")]["n_paragraphs"] >= 1 and (7, "MIT") not in got
