@@ -11,11 +11,14 @@ from surveyloom.llm.decontaminate import find_leaks
 from surveyloom.llm.jaccard_join import near_duplicates
 from surveyloom.llm.language import fit_languages, identify_languages
 from surveyloom.llm.license_lookup import known_digests, scan_licenses
+from surveyloom.llm.main_text import extract_main_text
 from surveyloom.llm.packing import pack
 from surveyloom.llm.pii import BASE, find_pii, joined_spans
+from surveyloom.llm.ranked_search import search
 from surveyloom.llm.sketches import compare_with_edits
 from surveyloom.llm.token_counts import count_tokens
 from surveyloom.llm.training_order import materialise, shard_folder
+from surveyloom.llm.word_runs import listed, periodic_runs, strongest, with_planted_periods
 
 LIMIT = 512
 #: The key of the training order.
@@ -108,6 +111,29 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_periods(read_table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages").select("page_id", "url", "html")
+    found = extract_main_text(pages, name="text")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -119,10 +145,14 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_word_runs": op12_word_runs,
+    "op13_main_text": op13_main_text,
 }
-#: The others have no SQL: tokenizers, sketches, models, windows and runs of matches.
+#: The others have no SQL: tokenizers, sketches, models, windows, runs of matches and parsers.
 ORACLE: dict[str, str] = {
     "op2_license_scan": sql.licenses(),
     "op8_jaccard_join": sql.jaccard(),
     "op9_chat": sql.chat(HOSTILE),
+    "op11_ranked_search": sql.ranked(),
 }

@@ -78,3 +78,33 @@ l AS MATERIALIZED (
 ),
 r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
 SELECT n.doc_id, ANY_VALUE(n) AS n_shingles, MIN(reached) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id"""
+
+
+def ranked() -> str:
+    """Scores of all documents that hold a term of an item, and the best ten."""
+
+    def terms(column: str) -> str:
+        lower = f"translate({column}, '{ascii_uppercase}', '{ascii_lowercase}')"
+        return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+    return f"""WITH docs AS (SELECT doc_id, ROW_NUMBER() OVER () AS row, {terms('text')} AS t FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, ROW_NUMBER() OVER () AS item, {terms('text')} AS t FROM benchmark WHERE text IS NOT NULL),
+total AS (SELECT COUNT(*) FILTER (len(t) > 0) AS documents, CAST(SUM(len(t)) AS BIGINT) AS length FROM docs),
+asked AS (SELECT item, item_id, term, COUNT(*) AS times FROM (SELECT item, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+found AS (
+  SELECT row, doc_id, n, term, COUNT(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, COUNT(*) AS df FROM found GROUP BY term), total
+),
+impacts AS (
+  SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // length)) AS impact FROM found, total
+),
+scores AS (
+  SELECT item, item_id, row, doc_id, CAST(SUM(times * w * impact) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
