@@ -73,7 +73,7 @@ def align(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    store = worker_store()
+    store = worker_store("chat")
     if ("chat", path) not in store:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text

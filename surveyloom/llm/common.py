@@ -19,14 +19,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def worker_store() -> dict:
-    """A dictionary that lives as long as the Python worker.
+def worker_store(owner: str) -> dict:
+    """A dictionary that a Python worker keeps until another owner asks for one.
 
     Functions of this package travel by value, so globals of their own modules are new in
-    every task; a tokenizer or a memo kept here serves all tasks of a worker.
+    every task; a tokenizer or a memo kept here serves all tasks of a worker. What a stage left
+    behind goes when the next one, with another owner, begins in the same worker.
     """
     name = "surveyloom_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["objects"] = owner, {}
+    return held["objects"]
 
 
 def object_strings(frame):

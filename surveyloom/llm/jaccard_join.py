@@ -6,7 +6,7 @@ matrix stores, per group, the union of the shingles by which its members can be
 that are similar enough share one of their first shingles in a common order (rarest first, as
 far as a sketch of fixed size knows), so a group is looked up only by those, and what their
 places leave to share bounds the overlap. Groups that pass are opened: first their leaders are
-compared exactly, then, where no link was found, each member is bounded against the other
+bounded by small counts of their shingles per hash bucket, and compared exactly where that leaves room, then, where no link was found, each member is bounded against the other
 group's whole union, and compared with its members if it passes.
 
 Links inside a group are never listed in pairs, and a group that turns out to be connected counts
@@ -27,12 +27,14 @@ from surveyloom.llm.common import shuffle_partitions, whole_text
 from surveyloom.llm.components import components
 from surveyloom.llm.shingle_sets import WIDTH, shingle_sets
 from surveyloom.llm.sketches import mix
-from surveyloom.operators.lookup import attach, settle
+from surveyloom.operators.lookup import attach, fits_broadcast, settle
 
 #: Two sets are linked if ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
 #: Counters of the frequency sketch (a power of two) and the parts in which they are added up.
 SKETCH_BITS, SKETCH_PARTS = 20, 16
+#: Counters of a set's profile: at least so many, one for about four shingles, at most so many.
+PROFILE_LOW, PROFILE_HIGH = 32, 1 << 14
 #: Members that meet in one task.
 CHUNK = 256
 
@@ -54,6 +56,23 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many shingles fall into each of some hash buckets, up to 255; a power of two of them."""
+    size = min(PROFILE_HIGH, max(PROFILE_LOW, 1 << max(0, (len(tokens) // 4).bit_length())))
+    held = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def may_be_linked(a: bytes, size_a: int, b: bytes, size_b: int, percent: int = PERCENT) -> bool:
+    """False only if the profiles leave too little to share: no bucket gives more than its smaller count."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.minimum(v.reshape(-1, n).sum(axis=0, dtype=np.int64), 255) for v in (x, y))
+    if ((x == 255) & (y == 255)).any():
+        return True
+    return (100 + percent) * int(np.minimum(x, y).sum()) >= percent * (size_a + size_b)
+
+
 def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Binary logarithm of how often shingles of each hash bucket occur, over all documents.
 
@@ -96,30 +115,36 @@ def shingle_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, text: str, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: ``n`` shingles, the set's ``node``, its ``meeting`` of minima, and its first shingles in the common order.
+    """Per row: ``n`` shingles, the set's ``node``, its ``meeting`` of minima, its ``profile``, and its ``firsts`` in the common order.
 
-    ``row`` numbers the rows; the result is to be written before it is used twice.
+    Profiles and first shingles come with the first row of a set in a task only, so that copies meet once per
+    task. The result is to be written before it is used twice.
     """
 
     def described(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
+        told: set[int] = set()
         for batch in batches:
-            numbers = np.arange(row, row + len(batch))
-            row += len(batch)
-            n, nodes, meetings, firsts = [], [], [], []
+            n, nodes, meetings, firsts, profiles = [], [], [], [], []
             for tokens in shingle_sets(batch.column(batch.schema.get_field_index("__text")), width):
                 n.append(len(tokens))
                 if not len(tokens):
                     nodes.append(None)
                     meetings.append(None)
+                    profiles.append(None)
                     firsts.append(np.empty(0, np.int64))
                     continue
-                nodes.append(node_of(tokens))
+                node = node_of(tokens)
+                nodes.append(node)
                 pair = np.array([tokens[0], mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).min()])
                 meetings.append(int(mix(pair * np.array([3, 5], np.uint64)).sum() >> np.uint64(1)))
+                if node in told:
+                    profiles.append(None)
+                    firsts.append(np.empty(0, np.int64))
+                    continue
+                told.add(node)
+                profiles.append(profile(tokens))
                 own = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 keep = len(tokens) - needed(len(tokens), percent) + 1
                 firsts.append(tokens[np.argsort(own, kind="stable")[:keep]].view(np.int64))
@@ -129,18 +154,18 @@ def describe_sets(docs: DataFrame, text: str, width: int, percent: int, levels:
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(batch.schema.get_field_index(c)) for c in names],
-                    pa.array(numbers),
                     pa.array(n, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(meetings, pa.int64()),
+                    pa.array(profiles, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=[*names, "row", "n", "node", "meeting", "firsts"],
+                names=[*names, "n", "node", "meeting", "profile", "firsts"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(whole_text(text)).alias("content"), whole_text(text).alias("__text"))
-    return rows.mapInArrow(described, f"doc_id {kind}, content long, row long, n long, node long, meeting long, firsts array<long>")
+    return rows.mapInArrow(described, f"doc_id {kind}, content long, n long, node long, meeting long, profile binary, firsts array<long>")
 
 
 def with_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -217,17 +242,24 @@ def _first_groups(docs: DataFrame, text: str, width: int, percent: int, nodes: D
     return settle(parts.applyInPandas(group, "node long, unit long").distinct())
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+def _candidates(rows: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups, ``a`` below ``b``, that share a first shingle and whose sizes and places leave room for a link."""
-    n = shuffle_partitions(nodes.sparkSession)
-    rows = nodes.select("unit", "n", F.posexplode("firsts").alias("at", "token"))
+    n = shuffle_partitions(rows.sparkSession)
+    rows = rows.select("node", "n", F.posexplode("firsts").alias("at", "token"))
     # size and room in one number, as this is the largest exchange
     sizes = F.shiftleft(F.col("n"), 32) + (F.col("n") - F.col("at"))
-    rows = rows.select("token", "unit", sizes.alias("sizes")).repartition(n, "token")
+    rows = rows.select("token", "node", sizes.alias("sizes")).repartition(n, "token")
+    small = fits_broadcast(units)
+    # most shingles are of one set alone, and go before the groups of sets are looked up
+    shared = rows.groupBy("token", "node").agg(F.max("sizes").alias("sizes"))
+    sets = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    shared = shared.withColumn("sets", sets).filter("sets > 1").drop("sets")
+    # rows stay where they are if the groups can be broadcast
+    shared = attach(shared if small else settle(shared), units, "node", small=small).withColumn("unit", F.coalesce("unit", "node"))
+    shared = shared if small else shared.repartition(n, "token")
     size, room = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
     # the matrix: one row per shingle and group, with the sizes of its members
-    matrix = rows.groupBy("token", "unit").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.max(room).alias("room"))
-    # most shingles are of one group alone
+    matrix = shared.groupBy("token", "unit").agg(F.min(size).alias("low"), F.max(size).alias("high"), F.max(room).alias("room"))
     groups = F.count(F.lit(1)).over(Window.partitionBy("token"))
     matrix = settle(matrix.withColumn("groups", groups).filter("groups > 1").drop("groups"))
     a = matrix.select("token", *[F.col(c).alias(f"{c}_a") for c in ("unit", "low", "high", "room")])
@@ -242,6 +274,22 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return settle(pairs.distinct())
 
 
+def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose leaders' profiles leave room for a link."""
+
+    @F.pandas_udf("boolean")
+    def leave_room(a: pd.Series, size_a: pd.Series, b: pd.Series, size_b: pd.Series) -> pd.Series:
+        return pd.Series([may_be_linked(*x, percent) for x in zip(a, size_a, b, size_b)], dtype=bool)
+
+    asked = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    held = attach(rows.filter("profile IS NOT NULL").select("node", "n", "profile"), asked, "node", how="inner")
+    held = settle(held.groupBy("node").agg(F.first("n").alias("n"), F.first("profile").alias("profile")))
+    both = pairs
+    for s in ("a", "b"):
+        both = both.join(held.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("profile").alias(f"of_{s}")), s)
+    return settle(both.filter(leave_room("of_a", "n_a", "of_b", "n_b")).select("a", "b"))
+
+
 def _compare_leaders(pairs: DataFrame, leads: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs whose leaders are linked."""
 
@@ -313,17 +361,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     docs = docs.select("doc_id", F.col(text).alias("text"))
     levels = shingle_levels(docs, "text", width)
     rows = settle(describe_sets(docs, "text", width, percent, levels))
-    # one row per set: copies of a text, a third of all rows or more, meet once per task
-    chosen = rows.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"))
-    nodes = attach(
-        rows.select("row", "content", "n", "meeting", "firsts"), settle(chosen), "row", how="inner"
-    )
+    # one row per set: copies of a text, a third of all rows or more, are one before rows move
+    nodes = settle(rows.filter("n > 0").groupBy("node").agg(F.min("content").alias("content"), F.max("meeting").alias("meeting")))
     units = _first_groups(docs, "text", width, percent, nodes)
-    nodes = attach(nodes.drop("row", "meeting"), units, "node").withColumn("unit", F.coalesce("unit", "node"))
-    pairs = _candidates(nodes, percent)
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = settle(attach(nodes.drop("meeting"), units, "node").withColumn("unit", F.coalesce("unit", "node")))
+    pairs = _candidates(rows, units, percent)
+    close = _within_bounds(pairs, rows, percent)
+    asked = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     leads = with_texts(docs, "text", nodes.select("node", "content").join(asked, "node", "left_semi"))
-    links = settle(_compare_leaders(pairs, leads, percent, width))
+    links = settle(_compare_leaders(close, leads, percent, width))
     found = components(links)
     # groups of several members that are not connected yet are opened
     sizes = nodes.groupBy("unit").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")

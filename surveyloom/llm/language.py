@@ -58,7 +58,7 @@ def codewords(n: int, rng_seed: int = 7) -> np.ndarray:
 
 def _letters() -> np.ndarray:
     """Which code points are letters."""
-    store = worker_store()
+    store = worker_store("letters")
     if "letters" not in store:
         store["letters"] = np.array([chr(i).isalpha() for i in range(0x110000)])
     return store["letters"]
@@ -137,7 +137,8 @@ def fit_languages(
                 counts = ngram_counts(content)
                 if counts is not None:
                     held[language] = held.get(language, 0) + counts
-        yield pd.DataFrame({"label": list(held), "counts": [v.astype("<i8").tobytes() for v in held.values()]})
+        if held:  # a task may have no text at all
+            yield pd.DataFrame({"label": list(held), "counts": [v.astype("<i8").tobytes() for v in held.values()]})
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         counts = sum(np.frombuffer(x, "<i8") for x in group["counts"])

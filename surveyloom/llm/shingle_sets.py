@@ -23,7 +23,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 def _tables(n: int) -> tuple[np.ndarray, ...]:
     """Byte values, the white space bytes, and powers of an odd base with their inverses."""
-    store = worker_store()
+    store = worker_store("sets")
     if "shingle_bytes" not in store:
         lower = np.arange(256)
         lower[65:91] += 32

@@ -14,6 +14,7 @@ import functools
 import json
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.llm.common import whole_text, worker_store
 
-#: Words remembered by a worker, and the longest one that is; results do not depend on them.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
+#: Bytes (about) of each memo of words in a worker, and the longest word kept; results do not depend on them.
+MEMO_BYTES, MEMO_LENGTH = 32 << 20, 48
 #: Longer texts are read in slices that end at a safe space.
 SLICE = 1 << 20
 _UNSAFE = 1 << 50
@@ -59,13 +60,15 @@ class _Memo(dict):
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.bytes = make, 0
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
+            self.bytes += getsizeof(word) + getsizeof(value) + 100  # and its slot
+            if self.bytes > MEMO_BYTES:
                 self.clear()
+                self.bytes = 0
             self[word] = value
         return value
 
@@ -166,7 +169,7 @@ class WordTokens:
 
 def word_tokens(path: str, whole: dict[str, int]) -> WordTokens:
     """This worker's reader of texts."""
-    store = worker_store()
+    store = worker_store("tokens")
     key = ("word_tokens", path)
     if key not in store:
         store[key] = WordTokens(path, whole)

@@ -82,7 +82,7 @@ def proofs(path: str) -> tuple[str, dict[str, int], bool]:
 
 def token_ids(proved: tuple[str, dict[str, int], bool]) -> TokenIds:
     """This worker's reader of texts."""
-    store = worker_store()
+    store = worker_store("tokens")
     key = ("token_ids", proved[0])
     if key not in store:
         store[key] = TokenIds(*proved)

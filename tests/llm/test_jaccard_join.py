@@ -136,3 +136,22 @@ def test_components(spark):
 def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert result(QUERIES["op8_jaccard_join"](spark, FOLDER)) == brute(docs)
+
+
+def test_profiles_never_lose_a_link():
+    rng = np.random.default_rng(4)
+    told = 0
+    for _ in range(600):
+        n = int(rng.choice([1, 3, 20, 130, 700, 9000]))
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        keep = rng.random(len(own)) < rng.choice([0.2, 0.7, 0.85, 0.95])
+        more = rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 3) + 1)), dtype=np.uint64)
+        other = np.unique(np.concatenate([own[keep], more]))
+        if not len(other):
+            continue
+        may = jj.may_be_linked(jj.profile(own), len(own), jj.profile(other), len(other))
+        assert may or not jj.linked(own, other)
+        told += not may
+    assert told > 150
+    many = np.arange(1 << 20, dtype=np.uint64) << np.uint64(14)  # all in one bucket
+    assert jj.may_be_linked(jj.profile(many), len(many), jj.profile(many), len(many))

@@ -71,3 +71,13 @@ def test_sample_bound_is_kept(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = lg.fit_languages(df, training_documents=100)
     assert model.languages == ("de", "en")
+
+
+def test_more_tasks_than_training_texts(spark):
+    """Some tasks of the sample have no text at all."""
+    rows = [(i, f"{'the of and' if i % 2 else 'der die das'} {i}", "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(32)
+    model = lg.fit_languages(docs, training_documents=3)
+    assert set(model.languages) <= {"de", "en"}
+    five = lg.fit_languages(docs.limit(5).repartition(32), training_documents=5)
+    assert set(five.languages) <= {"de", "en"} and five.languages
