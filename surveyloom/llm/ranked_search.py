@@ -27,7 +27,9 @@ from surveyloom.llm.common import whole_text
 from surveyloom.operators.lookup import attach_aggregate, one_row, scratch_folder, settle, settle_measured
 
 #: Documents of a shard, and cells of its matrix of documents and terms at most.
-SHARD, CELLS = 2048, 1 << 25
+SHARD, CELLS = 512, 1 << 23
+#: Shards of a row group and of a file of the index.
+GROUP, FILE = 8, 64
 #: Documents of a block as intended; lists of so few are their own summary.
 BLOCK, FEW = 32, 16
 #: Dimensions of the projection by which documents are alike.
@@ -109,7 +111,9 @@ def _blocks(matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray, seed: int =
 
     ``matrix`` has impacts as rounded up bytes, by document and term; ``rows`` and ``cols`` are its cells.
     """
-    place = matrix.astype(np.float32) @ np.random.default_rng(seed).standard_normal((matrix.shape[1], DIMENSIONS), np.float32)
+    axes = np.random.default_rng(seed).standard_normal((matrix.shape[1], DIMENSIONS), np.float32)
+    place = np.zeros((len(matrix), DIMENSIONS), np.float32)
+    np.add.at(place, rows, axes[cols] * matrix[rows, cols, None])
     order = np.lexsort((rows, cols))
     rows, cols = rows[order], cols[order]
     terms, first = np.unique(cols, return_index=True)
@@ -149,7 +153,7 @@ def build_index(counted: DataFrame, statistics: Statistics) -> DataFrame:
     ``probe`` marks a sixteenth of the shards. The index is written to shared storage.
     """
     width = len(statistics.weights)
-    shard = max(64, min(SHARD, CELLS // max(width, 1)))
+    shard = max(16, min(SHARD, CELLS // max(width, 1)))
 
     def indexed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,7 +199,9 @@ def build_index(counted: DataFrame, statistics: Statistics) -> DataFrame:
     # documents without a known term are in no list; they counted for the statistics
     rows = counted.filter(F.size("terms") > 0).mapInArrow(indexed, schema)
     path = f"{scratch_folder(counted.sparkSession)}/{uuid.uuid4().hex}"
-    rows.write.partitionBy("probe").parquet(path)
+    # a reader holds a row group, and rows are large
+    by_size = {"parquet.block.row.count.limit": GROUP, "maxRecordsPerFile": FILE}
+    rows.write.partitionBy("probe").options(**by_size).parquet(path)
     return counted.sparkSession.read.schema(rows.schema).parquet(path)
 
 
