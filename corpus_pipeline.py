@@ -26,8 +26,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is one of the learned ones; texts without letters go."""
     model = fit_languages(docs.filter(~held_out()))
     found = identify_languages(docs.withColumnRenamed("lang", "__lang"), model)
-    # without any labelled text nothing can be told, and nothing is rejected but texts without letters
-    kept = found.filter(F.col("lang_pred") != UNKNOWN) if model.languages else found
+    # without any labelled text nothing can be told, and only texts without letters are rejected
+    kept = found.filter(F.col("lang_pred") != UNKNOWN) if model.languages else found.filter(F.col("text").rlike("\\p{L}"))
     return kept.withColumnRenamed("__lang", "lang").select(*docs.columns)
 
 
