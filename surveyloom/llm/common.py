@@ -29,7 +29,10 @@ def worker_store(owner: str) -> dict:
     name = "surveyloom_worker_store"
     held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
     if held.get("owner") != owner:
+        import pyarrow as pa
+
         held["owner"], held["objects"] = owner, {}
+        pa.default_memory_pool().release_unused()
     return held["objects"]
 
 

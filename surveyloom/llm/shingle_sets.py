@@ -16,7 +16,7 @@ from surveyloom.llm.sketches import mix
 
 WIDTH = 5
 #: Bytes of text that are hashed in one go (a longer text is one go by itself).
-GO = 1 << 20
+GO = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
