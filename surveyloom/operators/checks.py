@@ -32,12 +32,11 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     require_columns(df, columns)
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    keep = F.lit(True)
-    for c in dict.fromkeys(columns):
-        keep = keep & F.col(c).isNotNull()
-        if c in floating:
-            keep = keep & ~F.isnan(c)
-    return df.where(keep)
+    tests = [F.col(c).isNotNull() & ~F.isnan(c) if c in floating else F.col(c).isNotNull() for c in dict.fromkeys(columns)]
+    # joined in pairs: a chain of hundreds of tests is too deep for the optimizer
+    while len(tests) > 1:
+        tests = [a & b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) - len(tests) % 2 :]
+    return df.where(tests[0]) if tests else df
 
 
 def non_empty(df: DataFrame) -> bool:

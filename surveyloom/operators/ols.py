@@ -4,7 +4,8 @@ The normal equations need only sums of products. Those are ordinary aggregates,
 ``groupBy`` fits every stratum at once, with map-side combining and without moving rows;
 the solve then runs on one small row per stratum inside Arrow batches. Fixed effects are
 absorbed by aggregating per group first and adding up the within-group products, which
-equals a regression with one dummy per group.
+equals a regression with one dummy per group. Where there are too many products for an aggregate
+of columns, tasks add up whole matrices instead; what is solved is the same.
 """
 
 from __future__ import annotations
@@ -14,18 +15,18 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from surveyloom.functions.tails import student_t_two_sided
 from surveyloom.operators.checks import complete_rows, require_columns
-from surveyloom.operators.lookup import one_row
+from surveyloom.operators.lookup import attach_aggregate, one_row, settle
 from surveyloom.operators.grouped import demean
 
 INTERCEPT = "intercept"
-#: Beyond this many predictors a single fit takes MLlib's solver, whose sums stay in arrays.
-WIDE = 40
+#: Beyond this many products they are added up as matrices in tasks, not as columns of an aggregate.
+PRODUCTS_AS_COLUMNS = 400
+#: Bytes of matrices that a task holds before it hands them on, and the parts in which they are added up first.
+HELD_BYTES, PARTS = 64 * 1024 * 1024, 32
 # Columns are centred before anything is summed. What is left of a constant column is rounding,
 # relative to its mean and to what a stratum's own mean leaves of the sums.
 ROUNDING, USABLE_VARIATION = 1e-13, 1e-13
@@ -72,6 +73,132 @@ def _centred(i: int, j: int) -> str:
     return f"p{i}_{j} - s{i} * s{j} / sw"
 
 
+def _means(data: DataFrame, k: int) -> list[float]:
+    """The mean of each place of the arrays ``v``; 0 without rows."""
+
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n, total = 0, np.zeros(k)
+        for batch in batches:
+            n += len(batch)
+            total += batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total), pa.array([n] * k)], names=["at", "s", "n"])
+
+    sums = data.select("v").mapInArrow(summed, "at int, s double, n long").groupBy("at").agg((F.sum("s") / F.sum("n")).alias("m"))
+    means = {r["at"]: r["m"] for r in sums.where("m IS NOT NULL").collect()}
+    return [means.get(i, 0.0) for i in range(k)]
+
+
+def _matrix_sums(
+    df: DataFrame, columns: list[str], weight: str | None, keys: list[str], absorb: str | None, min_rows: int
+) -> tuple[DataFrame, list[float]]:
+    """Per stratum ``n``, ``sw``, ``groups``, ``sums``, ``squares``, centred ``products`` and ``total``, and the means taken off.
+
+    A task adds up one matrix per stratum that it meets and hands them on when they fill its
+    bound; they are then added up in parts, and the parts per stratum, so that no task gets the
+    matrices of all others. Columns of absorbed groups lose the means of their group first. The
+    columns travel as one array, since hundreds of expressions take the optimizer longer than the rows.
+    """
+    k = len(columns)
+    require_columns(df, columns)
+    others = [*([weight] if weight else []), *keys, *([absorb] if absorb else [])]
+    own, group = [f"k{i}" for i in range(len(keys))], "g" if absorb else None
+    rows = complete_rows(df, others) if others else df
+    rows = rows.select(
+        *[F.col(c).alias(o) for c, o in zip(keys, own)],
+        *([F.col(absorb).alias("g")] if absorb else []),
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("v"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
+    ).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    shift = _means(rows, k)
+    data, counts = rows, None
+    if group:
+        means = rows.groupBy(*own, group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.sum(F.col("w") * (F.get("v", i) - F.lit(m))) / F.sum("w") for i, m in enumerate(shift)]).alias("m"),
+        )
+        means = settle(means.where(F.col("n") >= int(min_rows)).drop("n"))
+        data = attach_aggregate(data, means, [*own, group], how="inner").drop(group)
+        counts = means.groupBy(*own).agg(F.count(F.lit(1)).alias("groups"))
+    named = own or ["k0"]
+    if not own:
+        data = data.withColumn("k0", F.lit(0))
+    kinds = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in named)
+    centred = group is not None
+
+    def multiplied(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, held, types = TaskContext.get().partitionId() % PARTS, {}, None
+
+        def handed_on():
+            cols = list(zip(*held))
+            sums = list(zip(*held.values()))
+            made = [pa.array(c, t) for c, t in zip(cols, types)]
+            made += [pa.array([part] * len(held), pa.int32()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64())]
+            made += [pa.array([x.tobytes() for x in s], pa.binary()) for s in sums[2:]]
+            return pa.RecordBatch.from_arrays(made, names=[*named, "part", "n", "sw", "s", "q", "g"])
+
+        for batch in batches:
+            at = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            types = [at[c].type for c in named]
+            raw = at["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - np.array(shift)
+            w = at["w"].to_numpy(zero_copy_only=False)
+            inside = raw - at["m"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) if centred else raw
+            keys = list(zip(*[at[c].to_pylist() for c in named]))
+            number: dict = {}
+            code = np.array([number.setdefault(x, len(number)) for x in keys], np.int64)
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(number) + 1))
+            for key, i in number.items():
+                mine = order[cuts[i] : cuts[i + 1]]
+                x, v, u = inside[mine], raw[mine], w[mine]
+                own_sums = (len(mine), float(u.sum()), u @ v, u @ (v * v), (x * u[:, None]).T @ x)
+                old = held.get(key)
+                held[key] = own_sums if old is None else tuple(a + b for a, b in zip(old, own_sums))
+            if len(held) * 8 * k * (k + 2) > HELD_BYTES:
+                yield handed_on()
+                held = {}
+        if held:
+            yield handed_on()
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        out = parts.iloc[:1].copy()
+        out["n"], out["sw"] = parts["n"].sum(), parts["sw"].sum()
+        for c in ("s", "q", "g"):
+            out[c] = [sum(np.frombuffer(x) for x in parts[c]).tobytes()]
+        return out
+
+    def finished(parts: pd.DataFrame) -> pd.DataFrame:
+        out = added(parts)
+        s, q, g = (np.frombuffer(out[c].iloc[0]) for c in ("s", "q", "g"))
+        sw = out["sw"].iloc[0]
+        products = g if centred else (g.reshape(k, k) - np.outer(s, s) / sw).ravel()
+        out = out[[*named, "n", "sw"]]
+        out["sums"], out["squares"], out["products"] = [s.tolist()], [q.tolist()], [products.tolist()]
+        out["total"] = q[k - 1] - s[k - 1] * s[k - 1] / sw
+        return out
+
+    blocks = f"{kinds}, part int, n long, sw double, s binary, q binary, g binary"
+    some = data.mapInArrow(multiplied, blocks).groupBy(*named, "part").applyInPandas(added, blocks)
+    arrays = "sums array<double>, squares array<double>, products array<double>, total double"
+    table = some.groupBy(*named).applyInPandas(finished, f"{kinds}, n long, sw double, {arrays}")
+    if not own:
+        # without any row there is still one fit, which says so
+        one = df.sparkSession.range(1).select(F.lit(0).alias("k0"))
+        table = one.join(table, "k0", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    if counts is None:
+        table = table.withColumn("groups", F.lit(1).cast("long"))
+    elif own:
+        table = attach_aggregate(table, counts, own, how="inner")
+    else:
+        table = table.withColumn("groups", F.lit(one_row(counts)["groups"]).cast("long"))
+    named = [F.col(o).alias(c) for o, c in zip(own, keys)]
+    return table.select(*named, "n", "sw", "groups", "sums", "squares", "products", "total"), shift
+
+
 def fit_ols(
     df: DataFrame,
     outcome: str,
@@ -80,7 +207,6 @@ def fit_ols(
     by: Sequence[str] | str | None = None,
     absorb: str | None = None,
     min_rows: int = 0,
-    centre: str = "mean",
     model: str = "ols",
 ) -> DataFrame:
     """One row per stratum: fit statistics and an array of terms.
@@ -95,10 +221,9 @@ def fit_ols(
     xs, keys = list(predictors), _list(by)
     if not xs:
         raise ValueError("No predictors given")
-    if centre != "mean":
-        raise ValueError("centre must be 'mean'")
-    if len(xs) > WIDE and not keys and not absorb:
-        return fit_ols_mllib(df, outcome, xs, weight, model)
+    if len(_pairs(len(xs) + 1)) > PRODUCTS_AS_COLUMNS:
+        table, shift = _matrix_sums(df, [*xs, outcome], weight, keys, absorb, min_rows)
+        return _solved(table, keys, xs, shift, absorb is not None, model)
     used = [outcome, *xs, *([weight] if weight else []), *keys, *([absorb] if absorb else [])]
     data = complete_rows(df, used).select(*dict.fromkeys(used))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -136,8 +261,14 @@ def fit_ols(
             ],
         ),
     )
+    return _solved(table, keys, xs, shift, absorb is not None, model)
+
+
+def _solved(
+    table: DataFrame, keys: list[str], xs: list[str], shift: list[float], absorbed: bool, model: str
+) -> DataFrame:
+    """One row per stratum from its sums."""
     schema = T.StructType([table.schema[c] for c in keys] + _FIT)
-    absorbed = absorb is not None
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,35 +340,6 @@ def _solve(r: Mapping, names: Sequence[str], shift: Sequence[float], absorbed: b
     return fit
 
 
-def fit_ols_mllib(
-    df: DataFrame, outcome: str, predictors: Sequence[str], weight: str | None = None, model: str = "ols"
-) -> DataFrame:
-    """The same tidy row from MLlib's solver, for hundreds of predictors."""
-    used = [outcome, *predictors, *([weight] if weight else [])]
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    data = complete_rows(df, used).withColumn("__w", w)
-    frame = VectorAssembler(inputCols=list(predictors), outputCol="features").transform(data)
-    y = F.col(outcome).cast("double").alias("label")
-    frame = frame.select("features", y, "__w")
-    lr = LinearRegression(weightCol="__w", regParam=0.0, solver="normal").fit(frame)
-    s = lr.summary
-    mean = F.sum(F.col(outcome) * F.col("__w")) / F.sum("__w")
-    centre = one_row(data.agg(mean.alias("m"), F.sum("__w").alias("sw"), F.count(F.lit(1)).alias("n")))
-    sst = one_row(data.agg(F.sum(F.col("__w") * F.pow(F.col(outcome) - F.lit(centre["m"]), 2)).alias("sst")))["sst"]
-    p, n = len(predictors), centre["n"]
-    r2 = 1.0 - s.meanSquaredError * centre["sw"] / sst if sst else None
-    adjusted = r2 if r2 is None or n <= p + 1 else 1 - (1 - r2) * (n - 1) / (n - p - 1)
-    values = [*lr.coefficients.toArray().tolist(), lr.intercept]
-    terms = [
-        (t, float(b), float(se), float(tv), float(pv))
-        for t, b, se, tv, pv in zip(
-            [*predictors, INTERCEPT], values, s.coefficientStandardErrors, s.tValues, s.pValues
-        )
-    ]
-    row = (model, n, centre["sw"], 1, r2, adjusted, s.rootMeanSquaredError, "ok", terms)
-    return df.sparkSession.createDataFrame([row], T.StructType(_FIT))
-
-
 def coefficients(fits: DataFrame) -> DataFrame:
     """One row per term."""
     keys = [c for c in fits.columns if c not in {f.name for f in _FIT}]

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from surveyloom.functions.columns import map_labels
 from surveyloom.operators.checks import complete_rows, require_columns
+from surveyloom.operators.lookup import one_row
 from surveyloom.operators.prep import reverse_item
 
 FEATURES = "features"
+#: Starts that are scored, different rows that they are drawn from at most, and the move that ends the passes.
+STARTS, START_ROWS, SETTLED = 4, 2000, 1e-4
 # Names of segments in order of engagement.
 NAMES_BY_COUNT = {
     2: ("Proactive Learners", "Disengaged Learners"),
@@ -115,6 +119,72 @@ def attitude_features(df: DataFrame, columns: Sequence[str], reverse: Sequence[s
     return standard_features(data, names), names
 
 
+def _nearest(features: str, centres: Sequence[Sequence[float]]) -> Column:
+    """Squared distance and number of the nearest centre; ties go to the first one."""
+    beside = lambda i, v: F.get(F.col(features), i) - F.lit(float(v))
+    away = [sum((beside(i, v) * beside(i, v) for i, v in enumerate(c)), F.lit(0.0)) for c in centres]
+    return F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).alias("number")) for i, d in enumerate(away)]))
+
+
+def _rounded(values: Iterable[float]) -> tuple[float, ...]:
+    return tuple(round(float(v), 9) + 0.0 for v in values)
+
+
+def _start(points: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[float, ...]]:
+    """Centres among the points, each far from the earlier ones, moved a few times."""
+    chosen = [points[rng.integers(len(points))]]
+    while len(chosen) < k:
+        away = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        if not away.sum() > 0:
+            break
+        chosen.append(points[np.searchsorted(np.cumsum(away), rng.random() * away.sum())])
+    centres = np.array(chosen)
+    for _ in range(20):
+        own = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([points[own == i].mean(axis=0) if (own == i).any() else c for i, c in enumerate(centres)])
+    return [_rounded(c) for c in centres]
+
+
+def _best_start(held: DataFrame, k: int, width: int, seed: int) -> list[tuple[float, ...]]:
+    """Of several starts the one with the least cost over all rows."""
+    # without the digits that depend on how sums were split
+    held_x = held.select(F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
+    drawn = F.xxhash64("x")
+    n = one_row(held.agg(F.count(F.lit(1)).alias("n")))["n"]
+    # different rows only; a part by hash first, so that not all of them have to be told apart
+    for part in (max(1, n // (8 * START_ROWS)), 1):
+        some = held_x.filter(F.pmod(drawn, F.lit(part)) == 0).distinct()
+        points = [r["x"] for r in some.orderBy(drawn, "x").limit(START_ROWS).collect()]
+        if part == 1 or len(points) >= START_ROWS // 2:
+            break
+    if not points:
+        raise ValueError("No row has all columns")
+    points = np.array(points, float).reshape(-1, width)
+    starts = [_start(points, k, np.random.default_rng([seed, i])) for i in range(STARTS)]
+    costs = one_row(held.agg(*[F.sum(F.col("w") * _nearest("x", c)["distance"]).alias(f"c{i}") for i, c in enumerate(starts)]))
+    return starts[min(range(STARTS), key=lambda i: (round(costs[i], 6), i))]
+
+
+def _centres_of_members(held: DataFrame, centres: Sequence[Sequence[float]]) -> list[tuple[float, ...]]:
+    """The weighted means of the rows nearest to each centre; a centre without rows stays."""
+    own = held.select(_nearest("x", centres)["number"].alias("number"), "x", "w")
+    sums = [F.sum(F.col("w") * F.get(F.col("x"), i)).alias(f"s{i}") for i in range(len(centres[0]))]
+    means = {r["number"]: r for r in own.groupBy("number").agg(F.sum("w").alias("w"), *sums).collect()}
+    return [
+        _rounded(means[i][f"s{j}"] / means[i]["w"] for j in range(len(c))) if i in means and means[i]["w"] > 0 else tuple(c)
+        for i, c in enumerate(centres)
+    ]
+
+
+def assign_to_centres(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], cluster: str = "cluster") -> DataFrame:
+    """Rows that have every column, with the number of the nearest of given centres and the squared distance to it."""
+    require_columns(df, columns)
+    rows = complete_rows(df, columns)
+    near = _nearest("__x", centres)
+    rows = rows.withColumn("__x", F.array(*[F.col(c).cast("double") for c in columns])).withColumn("__near", near)
+    return rows.select(*df.columns, F.col("__near.number").alias(cluster), F.col("__near.distance").alias("distance"))
+
+
 def kmeans_segments(
     df: DataFrame,
     columns: Sequence[str],
@@ -128,8 +198,12 @@ def kmeans_segments(
 ) -> Segmentation:
     """Cluster rows that have every column.
 
-    Cluster numbers depend on how the table is split, so rely on labels and profiles. The
-    feature vectors are held on the executors only while the model iterates.
+    The same rows give the same clusters however they are split: starts are drawn from rows with
+    the smallest hashes of their features, all starts are scored by their cost over all rows, and
+    centres are rounded to nine digits in each pass. Clusters are numbered by the sum of their
+    centre, highest first. Fewer different rows than ``k`` give as many clusters. The features are
+    held on the executors only while passes go over them; the driver holds centres and the rows
+    that starts are drawn from (at most ``START_ROWS``).
     """
     if scale:
         data, names = attitude_features(df, columns, reverse)
@@ -139,14 +213,21 @@ def kmeans_segments(
         data = VectorAssembler(inputCols=names, outputCol=FEATURES).transform(complete_rows(df, names))
     if weight:
         data = complete_rows(data, [weight])
-    with held_for_training(data.select(FEATURES, *([weight] if weight else []))) as model_input:
-        kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||", featuresCol=FEATURES, predictionCol=cluster)
-        model = (kmeans.setWeightCol(weight) if weight else kmeans).fit(model_input)
-        cost = float(model.summary.trainingCost)
-    centres = tuple(tuple(float(v) for v in c) for c in model.clusterCenters())
-    rows = model.transform(data)
-    rows = rows.withColumn(cluster, F.col(cluster).cast(T.IntegerType()))
-    return Segmentation(rows, centres, tuple(names), cost, rank_labels(centres), cluster)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    narrow = data.select(vector_to_array(FEATURES).alias("x"), w.alias("w"))
+    with held_for_training(narrow) as held:
+        centres = _best_start(held, k, len(names), seed)
+        for _ in range(max_iter):
+            moved = _centres_of_members(held, centres)
+            step = max((a - b) ** 2 for c, d in zip(centres, moved) for a, b in zip(c, d))
+            centres = moved
+            if step <= SETTLED**2:
+                break
+        centres = sorted(centres, key=lambda c: (-sum(c), c))
+        cost = float(one_row(held.agg(F.sum(F.col("w") * _nearest("x", centres)["distance"])))[0])
+    found = _nearest("__x", centres)["number"].cast(T.IntegerType())
+    rows = data.withColumn("__x", vector_to_array(FEATURES)).withColumn(cluster, found).drop("__x")
+    return Segmentation(rows, tuple(centres), tuple(names), cost, rank_labels(centres), cluster)
 
 
 def attitude_segments(

@@ -455,6 +455,11 @@ SELECT {ints('n', 'n')}, {r('sxy * sxy / sxx / syy', 'r2', 3)}, {r('SQRT((syy -
        {r('sxy / sxx', 'far', 3)}, 'ok' AS status FROM s"""
     q["ols_collinear"] = f"""SELECT {ints('COUNT(*)', 'n')}, 'collinear predictors' AS status, CAST(NULL AS DOUBLE) AS far,
        CAST(NULL AS DOUBLE) AS twin FROM lineitem"""
+    known = "CASE i WHEN 0 THEN 2.0 WHEN 1 THEN -3.0 ELSE 0.0 END"
+    q["ols_wide"] = f"""SELECT 'x' || i AS term, CAST({known} AS DOUBLE) AS estimate FROM range(60) t(i)
+UNION ALL SELECT 'intercept', CAST(5 AS DOUBLE)"""
+    q["ols_wide_collinear"] = f"""SELECT model, {ints('COUNT(*)', 'n')}, status FROM lineitem
+CROSS JOIN (VALUES ('constant', 'no usable variation: flat'), ('twin', 'collinear predictors')) m(model, status) GROUP BY model, status"""
     q["source_files"] = f"""SELECT 'lineitem.parquet' AS file, {ints('COUNT(l_orderkey)', 'n')} FROM lineitem"""
     q["within_group_demean"] = f"""WITH {OBS} SELECT {KEYS}, grp, {r('score', 'score')}, {r('quantity', 'quantity')},
        {r(plain('score'), 'score_within')}, {r(plain('quantity'), 'quantity_within')} FROM obs"""
@@ -547,6 +552,17 @@ FROM grid GROUP BY index_group"""
 
     q["ingest_roundtrip"] = """SELECT 'orders' AS dataset, CAST(COUNT(*) AS BIGINT) AS source_rows, CAST(COUNT(*) AS BIGINT) AS target_rows,
        6 AS source_columns, 6 AS target_columns, TRUE AS same_schema, TRUE AS valid FROM orders"""
+    away = {i: f"((quantity - {a}) * (quantity - {a}) + (discount - {b}) * (discount - {b}))" for i, (a, b) in enumerate([(10.0, 0.02), (25.0, 0.05), (40.0, 0.08)])}
+    least = f"LEAST({', '.join(away.values())})"
+    q["segments_given_centres"] = f"""WITH {OBS}, near AS (
+  SELECT wt, quantity, {least} AS d, CASE WHEN {away[0]} = {least} THEN 0 WHEN {away[1]} = {least} THEN 1 ELSE 2 END AS cluster
+  FROM obs WHERE quantity IS NOT NULL AND discount IS NOT NULL AND wt IS NOT NULL
+)
+SELECT cluster, {ints('COUNT(*)', 'n')}, {r('SUM(wt)', 'weight', 4)}, {r('SUM(d)', 'inertia', 4)}, {r('AVG(quantity)', 'mean_quantity', 4)}
+FROM near GROUP BY cluster"""
+    q["ingest_incremental"] = f"""SELECT o_orderstatus, {ints('COUNT(*)', 'n')},
+       CAST(SUM(CASE WHEN o_orderkey % 3 = 2 THEN -o_orderkey ELSE o_orderkey END) AS BIGINT) AS keys,
+       {r('SUM(o_totalprice + CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END)', 'price', 2)} FROM orders GROUP BY o_orderstatus"""
     q["manifest_diff"] = "SELECT 'orders' AS dataset, CAST(0 AS BIGINT) AS changed_files"
     return q
 

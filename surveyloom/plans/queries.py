@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from surveyloom.operators import checks, crosstab as ct, grouped as gr, models as md, normalize as nm
 from surveyloom.operators import ols, prep, profile as pf, segments as sg, tables as tb
 from surveyloom.operators.forest import forest_importance
-from surveyloom.operators.lookup import add_site_columns, scratch_folder, settle
+from surveyloom.operators.lookup import add_site_columns, delete_folder, scratch_folder, settle
 from surveyloom.operators.quantiles import quantiles
 from surveyloom.plans.standin import (
     CONTROL,
@@ -30,7 +30,7 @@ from surveyloom.plans.standin import (
     observations,
     table,
 )
-from surveyloom.sources import ingest as ig
+from surveyloom.sources import ingest as ig, versions as vs
 from surveyloom.sources.sinks import missing_value_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,6 +623,15 @@ def segments(spark, sf):
     return _segments(spark, sf).summary()
 
 
+@query
+def segments_given_centres(spark, sf):
+    """Sizes and spreads of the clusters around given centres."""
+    df = observations(spark, sf, WEIGHT, "quantity", "discount")
+    near = sg.assign_to_centres(df, ["quantity", "discount"], [(10.0, 0.02), (25.0, 0.05), (40.0, 0.08)])
+    sums = [F.sum(WEIGHT).alias("weight"), F.sum("distance").alias("inertia"), F.avg("quantity").alias("mean_quantity")]
+    return tidy(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums), 4)
+
+
 @query
 def segment_stats(spark, sf):
     return gr.segment_statistics(_segments(spark, sf).rows, WEIGHT, ["cluster", "segment"])
@@ -748,6 +757,29 @@ def ols_collinear(spark, sf):
     return fits.select("n", "status", ols.term_value("far").alias("far"), ols.term_value("twin").alias("twin"))
 
 
+def _waves(spark, sf, n: int):
+    """The observations with n columns that repeat at different rates, and one that follows from two of them."""
+    df = observations(spark, sf, WEIGHT, "l_orderkey", "l_partkey")
+    waves = [F.sin(F.col("l_orderkey") * (0.37 + i) + F.col("l_partkey") * (0.11 * i)).alias(f"x{i}") for i in range(n)]
+    return settle(df.select(WEIGHT, *waves)).withColumn("y", 2 * F.col("x0") - 3 * F.col("x1") + 5), [f"x{i}" for i in range(n)]
+
+
+@query
+def ols_wide(spark, sf):
+    """60 predictors in one fit."""
+    df, xs = _waves(spark, sf, 60)
+    return tidy(ols.coefficients(ols.fit_ols(df, "y", xs, WEIGHT)).select("term", "estimate"), 5)
+
+
+@query
+def ols_wide_collinear(spark, sf):
+    """60 predictors, of which one is constant, or repeats another."""
+    df, xs = _waves(spark, sf, 59)
+    flat = ols.fit_ols(df.withColumn("flat", F.lit(7.0)), "y", [*xs, "flat"], WEIGHT, model="constant")
+    twin = ols.fit_ols(df.withColumn("twin", 2 * F.col("x9")), "y", [*xs, "twin"], WEIGHT, model="twin")
+    return flat.unionByName(twin).select("model", "n", "status")
+
+
 @query
 def codebook_profile(spark, sf):
     return ig.codebook(table(spark, sf, "orders")).select("position", "column", "type", F.size("samples").alias("samples"))
@@ -769,6 +801,28 @@ def ingest_roundtrip(spark, sf):
     return ig.validate_ingest(source.read(spark), spark.read.parquet(source.target), "orders")
 
 
+@query
+def ingest_incremental(spark, sf):
+    """A store per source file after one part of the orders was changed, one removed and one added."""
+    home = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    part = lambda i: orders.filter(F.col("o_orderkey") % 3 == i)
+    source = ig.Source("orders", f"{home}/in", f"{home}/out", format="parquet", options={"recursiveFileLookup": "true"})
+    for i in range(3):
+        part(i).write.parquet(f"{home}/in/part-{i}")
+    vs.ingest_incremental(spark, source)
+    part(1).withColumn("o_totalprice", F.col("o_totalprice") + 1).write.mode("overwrite").parquet(f"{home}/in/part-1")
+    delete_folder(f"{home}/in/part-2")
+    part(2).withColumn("o_orderkey", -F.col("o_orderkey")).write.parquet(f"{home}/in/part-3")
+    vs.ingest_incremental(spark, source)
+    return tidy(
+        vs.read_version(spark, source.target)
+        .groupBy("o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.sum("o_totalprice").alias("price")),
+        2,
+    )
+
+
 @query
 def manifest_diff(spark, sf):
     """Files still to do after an ingest: none."""

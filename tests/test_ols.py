@@ -42,19 +42,25 @@ def test_weighted_fit_matches_least_squares(data):
     assert list(terms(fit).values()) == pytest.approx(list(beta), rel=1e-8)
     assert (row["r2"], row["rmse"], row["n"], row["status"]) == (pytest.approx(r2), pytest.approx(rmse), 4000, "ok")
     assert row["adjusted_r2"] == pytest.approx(1 - (1 - r2) * 3999 / 3997)
-    centred = ols.fit_ols(df, "y", ["x1", "x2"], "w", centre="mean")
-    assert list(terms(centred).values()) == pytest.approx(list(beta), rel=1e-10)
 
 
 def test_errors_match_mllib(data):
     _, df = data
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
     ours = ols.fit_ols(df, "y", ["x1", "x2"], "w")
-    theirs = ols.fit_ols_mllib(df, "y", ["x1", "x2"], "w")
-    for part in ("estimate", "std_error", "t_value", "p_value"):
-        a, b = terms(ours, part), terms(theirs, part)
-        assert list(a) == list(b) and list(a.values()) == pytest.approx(list(b.values()), rel=1e-6, abs=1e-12)
-    for c in ("r2", "adjusted_r2", "rmse", "n"):
-        assert ours.first()[c] == pytest.approx(theirs.first()[c], rel=1e-8)
+    frame = VectorAssembler(inputCols=["x1", "x2"], outputCol="x").transform(df.dropna())
+    lr = LinearRegression(featuresCol="x", labelCol="y", weightCol="w", solver="normal").fit(frame)
+    s = lr.summary
+    for part, theirs in {
+        "estimate": [*lr.coefficients, lr.intercept],
+        "std_error": s.coefficientStandardErrors,
+        "t_value": s.tValues,
+        "p_value": s.pValues,
+    }.items():
+        assert list(terms(ours, part).values()) == pytest.approx(list(theirs), rel=1e-6, abs=1e-12)
+    assert ours.first()["rmse"] == pytest.approx(s.rootMeanSquaredError, rel=1e-8)
 
 
 def test_absorbed_groups_equal_dummies(data):
@@ -169,3 +175,54 @@ def test_importance_ranks_planted_effects(data):
     assert md.regression_importance(df, ["x1", "x2"], "y", "w", top_n=1).count() == 1
     with pytest.raises(ValueError):
         md.regression_importance(df, ["absent"], "y", "w")
+
+
+def wide(spark, p, n=1500, **more):
+    """p predictors, the first with coefficient 1; ``more`` replaces columns."""
+    rng = np.random.default_rng(p)
+    pdf = pd.DataFrame(rng.normal(size=(n, p)), columns=[f"x{i}" for i in range(p)])
+    pdf["y"] = pdf["x0"] + rng.normal(0, 0.1, n)
+    pdf["g"], pdf["w"] = rng.integers(0, 20, n), rng.random(n) + 0.5
+    for c, make in more.items():
+        pdf[c] = make(pdf)
+    return spark.createDataFrame(pdf), [f"x{i}" for i in range(p)]
+
+
+@pytest.mark.parametrize("p", [26, 27, 40, 41, 300])
+def test_constants_and_twins_are_told_at_any_width(spark, p):
+    df, xs = wide(spark, p, x5=lambda d: 3.0)
+    fit = ols.fit_ols(df, "y", xs, "w").first()
+    found = {t["term"]: t["estimate"] for t in fit["terms"]}
+    assert fit["status"] == "no usable variation: x5" and found["x5"] is None
+    assert found["x0"] == pytest.approx(1.0, abs=0.03) and len(found) == p + 1
+    df, xs = wide(spark, p, x5=lambda d: 2 * d["x0"])
+    fit = ols.fit_ols(df, "y", xs, "w").first()
+    assert fit["status"] == "collinear predictors" and all(t["estimate"] is None for t in fit["terms"])
+
+
+@pytest.mark.parametrize("options", [{}, {"by": "b"}, {"absorb": "g"}, {"by": "b", "absorb": "g", "min_rows": 20}])
+def test_matrices_and_columns_give_the_same_fit(spark, options, monkeypatch):
+    df, xs = wide(spark, 6, x1=lambda d: d["x1"] + d["g"] + 1000, b=lambda d: (d["g"] % 3).where(d["g"] > 0))
+    df = df.repartition(5)
+    narrow = {r.asDict().get("b"): r for r in ols.fit_ols(df, "y", xs, "w", **options).collect()}
+    monkeypatch.setattr(ols, "PRODUCTS_AS_COLUMNS", 0)
+    monkeypatch.setattr(ols, "HELD_BYTES", 100)
+    matrices = {r.asDict().get("b"): r for r in ols.fit_ols(df, "y", xs, "w", **options).collect()}
+    assert narrow.keys() == matrices.keys()
+    for key, a in narrow.items():
+        b = matrices[key]
+        assert (a["n"], a["groups"], a["status"]) == (b["n"], b["groups"], b["status"])
+        for c in ("sum_weight", "r2", "adjusted_r2", "rmse"):
+            assert a[c] == pytest.approx(b[c], rel=1e-9)
+        for x, y in zip(a["terms"], b["terms"]):
+            assert x["term"] == y["term"]
+            for c in ("estimate", "std_error", "t_value", "p_value"):
+                assert x[c] == pytest.approx(y[c], rel=1e-6, abs=1e-9)
+
+
+def test_wide_fit_without_rows(spark):
+    df, xs = wide(spark, 40)
+    for absorb in (None, "g"):
+        row = ols.fit_ols(df.filter("false"), "y", xs, "w", absorb=absorb).first()
+        assert (row["n"], row["status"]) == (0, "too few rows")
+    assert ols.fit_ols(df.filter("false"), "y", xs, "w", by="g").count() == 0

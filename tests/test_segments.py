@@ -71,3 +71,43 @@ def test_forest_finds_the_planted_feature(spark):
     assert forest_importance(df, ["a", "b", "c"], "y", 5, 3, top_n=1).count() == 1
     with pytest.raises(ValueError):
         forest_importance(df, ["gone"], "y")
+
+
+def test_the_same_clusters_however_rows_are_split(spark):
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame(rng.normal(size=(3000, 3)) * [1, 5, 0.2] + 7, columns=["a", "b", "c"]).assign(w=rng.random(3000))
+    rows = pd.concat([rows, rows.iloc[[0] * 1500]])  # a third of all rows is one row
+    fits = []
+    for parts in (1, 3, 8):
+        s = sg.kmeans_segments(spark.createDataFrame(rows).repartition(parts), ["a", "b", "c"], k=4, weight="w")
+        sizes = {r["cluster"]: r["n"] for r in s.rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+        fits.append((s.centres, sizes, s.labels))
+    assert fits[0][1:] == fits[1][1:] == fits[2][1:]
+    assert np.allclose(fits[0][0], fits[1][0], atol=1e-8) and np.allclose(fits[0][0], fits[2][0], atol=1e-8)
+    assert [sum(c) for c in fits[0][0]] == sorted((sum(c) for c in fits[0][0]), reverse=True)
+
+
+def test_as_good_as_the_library(blobs, spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame(pd.DataFrame(rng.normal(size=(2000, 2)), columns=["a", "b"]))
+    s = sg.kmeans_segments(rows, ["a", "b"], k=3, max_iter=100, scale=False)
+    theirs = min(
+        KMeans(k=3, seed=i, maxIter=100, featuresCol="features").fit(s.rows.select("features")).summary.trainingCost for i in range(3)
+    )
+    assert s.cost <= theirs * 1.05
+
+
+def test_few_different_rows_and_none(spark):
+    same = spark.createDataFrame([(1.0, 2.0)] * 50 + [(3.0, 4.0)], "a double, b double")
+    s = sg.kmeans_segments(same, ["a", "b"], k=3, scale=False)
+    assert s.centres == ((3.0, 4.0), (1.0, 2.0)) and s.cost == 0
+    with pytest.raises(ValueError):
+        sg.kmeans_segments(same.filter("false"), ["a", "b"], scale=False)
+
+
+def test_given_centres(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (None,)], "a double")
+    got = sg.assign_to_centres(rows, ["a"], [(0.0,), (2.0,)]).collect()
+    assert [(r["a"], r["cluster"], r["distance"]) for r in got] == [(0.0, 0, 0.0), (1.0, 0, 1.0), (2.0, 1, 0.0)]
