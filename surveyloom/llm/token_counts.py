@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.llm.common import whole_text, worker_store
 
-#: Bytes (about) of each memo of words in a worker, and the longest word kept; results do not depend on them.
-MEMO_BYTES, MEMO_LENGTH = 32 << 20, 48
+#: Words of each memo in a worker, its bytes (about), and the longest word kept; results do not depend on them.
+MEMO_WORDS, MEMO_BYTES, MEMO_LENGTH = 400_000, 32 << 20, 48
 #: Longer texts are read in slices that end at a safe space.
 SLICE = 1 << 20
 _UNSAFE = 1 << 50
@@ -66,7 +66,7 @@ class _Memo(dict):
         value = self.make(word)
         if len(word) <= MEMO_LENGTH:
             self.bytes += getsizeof(word) + getsizeof(value) + 100  # and its slot
-            if self.bytes > MEMO_BYTES:
+            if self.bytes > MEMO_BYTES or len(self) >= MEMO_WORDS:
                 self.clear()
                 self.bytes = 0
             self[word] = value
