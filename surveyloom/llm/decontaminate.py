@@ -1,14 +1,15 @@
-"""Benchmark decontamination: windows of an item's size, checked exactly.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
 Texts are words of letters and digits in lower case. A window is as many words of a document as
 a benchmark item has, placed where the document has a shingle at the same place as the item; a
-window without any shared shingle cannot be similar. Pairs of windows and items are verified by
-the exact weighted-shingle similarity; a shingle weighs as much as it has characters.
+window without any shared shingle cannot be similar. Windows and items have 64-bit SimHashes of
+their weighted shingles; a shingle weighs as much as it has characters. Pairs of one size whose
+SimHashes differ in at most ``RADIUS`` bits are verified by the exact weighted similarity.
 
-No similar pair is lost before that: a window of similarity s has at least s of an item's weight,
-so it has one of any shingles of the item that weigh more than 1 - s of it. Items are indexed
-under such shingles, the rarest among items. ``simhash`` and ``within_radius`` are an index by
-64-bit fingerprints for other uses, in which four blocks of 16 bits find all within 15 bits.
+Eight blocks of eight bits find all pairs within the radius: of 23 different bits at most two
+fall into one of the blocks, and items are indexed under every value within two bits of theirs.
+At a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3, so a window that lies
+beyond the radius is some four deviations off.
 
 Everything is built-in column functions and joins on hashes.
 """
@@ -17,13 +18,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.operators.lookup import attach, fits_broadcast, settle
 
 SHINGLE, SIMILAR = 5, 0.8
-BLOCKS, BLOCK_BITS, FLIPPED = 4, 16, 3
+BLOCKS, BLOCK_BITS, FLIPPED = 8, 8, 2
 RADIUS = BLOCKS * (FLIPPED + 1) - 1
+#: Rows and bytes up to which the index of the items' blocks is broadcast (296 rows an item).
+INDEX_ROWS, INDEX_BYTES = 4_000_000, 128 * 1024 * 1024
+_HASH_DIGITS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -42,57 +46,27 @@ def shingles_of(words: Column, width: int) -> Column:
 
 
 def weighted_shingles(words: Column, width: int) -> Column:
-    """Distinct shingles as hash and weight, the weight being the number of characters."""
+    """Distinct shingles as strings of 16 hash digits and the number of characters, which is the weight.
+
+    Strings are told apart by hash sets, so long texts take linear time; structs would be compared in pairs.
+    """
 
     def weighed(i: Column) -> Column:
         own = [F.get(words, i + j) for j in range(width)]
-        return F.struct(F.xxhash64(*own).alias("h"), F.char_length(F.concat(*own)).alias("w"))
+        return F.concat(F.lpad(F.hex(F.xxhash64(*own)), _HASH_DIGITS, "0"), F.char_length(F.concat(*own)).cast("string"))
 
     last = F.size(words) - width
     made = F.transform(F.sequence(F.lit(0), last), weighed)
-    return F.when(last >= 0, F.array_distinct(made)).otherwise(F.array().cast("array<struct<h:bigint,w:int>>"))
+    return F.when(last >= 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def simhash(rows: DataFrame, keys: list[str], shingles: str = "shingles") -> DataFrame:
-    """64-bit SimHash of each row's weighted shingles, as ``bits``; one row per ``keys``."""
-    each = rows.select(*keys, F.explode(shingles).alias("s"))
-    sums = [
-        F.sum(F.when(F.expr(f"shiftrightunsigned(s.h, {b}) & 1") == 1, F.col("s.w")).otherwise(-F.col("s.w"))).alias(f"b{b}")
-        for b in range(64)
-    ]
-    counted = each.groupBy(*keys).agg(*sums)
-    bits = F.lit(0).cast("long")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(-(1 << 63) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("long"))
-    return counted.select(*keys, bits.alias("bits"))
-
-
-def _blocks(bits: Column) -> Column:
-    return F.array(
-        *[F.shiftrightunsigned(bits, i * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
-    )
-
-
-def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """All pairs of windows and items whose SimHashes differ in at most ``RADIUS`` bits.
-
-    ``windows`` has ``bits``; ``items`` has ``item_id`` and ``item_bits``. The items are indexed
-    under each value of each block within ``FLIPPED`` bits.
-    """
-    masks = [sum(1 << b for b in bits) for n in range(FLIPPED + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    indexed = items.select("item_id", "item_bits", F.posexplode(_blocks(F.col("item_bits"))).alias("block", "own")).select(
-        "item_id", "item_bits", "block", F.explode(F.lit(masks)).alias("mask"), "own"
-    )
-    indexed = indexed.select("item_id", "item_bits", "block", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
-    probes = windows.select("*", F.posexplode(_blocks(F.col("bits"))).alias("block", "value"))
-    found = probes.join(indexed, ["block", "value"])
-    near = found.filter(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= RADIUS)
-    return near.drop("block", "value", "item_bits").distinct()
+def _weight_of(shingle: Column) -> Column:
+    return F.substring(shingle, _HASH_DIGITS + 1, 20).cast("long")
 
 
 def weight(x: Column) -> Column:
     """Sum of the weights of weighted shingles."""
-    return F.aggregate(x, F.lit(0).cast("long"), lambda n, s: n + s["w"])
+    return F.aggregate(x, F.lit(0).cast("long"), lambda n, s: n + _weight_of(s))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -101,25 +75,46 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (weight(a) + weight(b) - both)
 
 
-def candidates(windows: DataFrame, items: DataFrame, similar: float) -> DataFrame:
-    """Pairs of ``window`` and ``item_id`` that may be similar: all that are, and few others.
+def simhash(shingles: Column) -> Column:
+    """64-bit SimHash of weighted shingles: a bit is set if more than half of the weight has it.
 
-    ``windows`` has ``shingles`` and ``items`` has ``item_shingles``, weighted and distinct.
+    Two bits, 32 places apart, are counted in the halves of one sum.
     """
-    each = items.dropDuplicates(["item_id"]).select(
-        "item_id", weight(F.col("item_shingles")).alias("all"), F.explode("item_shingles").alias("s")
-    )
-    each = settle(each.select("item_id", "all", "s.h", "s.w"))
-    each = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
-    before = Window.partitionBy("item_id").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    # rounding only ever adds a shingle or a pair
-    slack = 1e-9
-    index = settle(each.filter(F.col("before") <= F.col("all") * (1 - similar + slack)).select("item_id", "all", "h"))
-    own = windows.select("window", weight(F.col("shingles")).alias("own"), F.explode("shingles.h").alias("h"))
-    found = own.join(F.broadcast(index) if fits_broadcast(index) else index, "h")
-    alike = F.least("own", "all") >= F.greatest("own", "all") * (similar - slack)
-    return found.filter(alike).select("window", "item_id").distinct()
+    half, total = (1 << 32) - 1, weight(shingles)
+    hashed = F.transform(shingles, lambda s: F.struct(F.xxhash64(s).alias("h"), _weight_of(s).alias("w")))
+    pair = F.lit((1 << 32) + 1)
+    bits = F.lit(0).cast("long")
+    for b in range(32):
+        counted = F.aggregate(
+            hashed, F.lit(0).cast("long"), lambda n, s: n + s["w"] * F.shiftrightunsigned(s["h"], b).bitwiseAND(pair)
+        )
+        for at, own in ((b, counted.bitwiseAND(half)), (b + 32, F.shiftrightunsigned(counted, 32))):
+            one = F.lit(-(1 << 63) if at == 63 else 1 << at)
+            bits = bits.bitwiseOR(F.when(own * 2 > total, one).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
+def _blocks(bits: Column) -> list[Column]:
+    return [F.shiftrightunsigned(bits, i * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
+
+
+def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """All pairs of windows and items of one size whose SimHashes differ in at most ``RADIUS`` bits.
+
+    ``windows`` has ``window``, ``size`` and ``bits``; ``items`` has ``item``, ``size`` and
+    ``item_bits``. The items are indexed under each value of each block within ``FLIPPED`` bits.
+    A pair comes once, from the first block that finds it.
+    """
+    masks = [sum(1 << b for b in bits) for n in range(FLIPPED + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    each = items.select("item", "size", "item_bits", F.posexplode(F.array(*_blocks(F.col("item_bits")))).alias("block", "own"))
+    each = each.select("item", "size", "item_bits", "block", "own", F.explode(F.lit(masks)).alias("mask"))
+    index = settle(each.select("item", "size", "item_bits", "block", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("value")))
+    probes = windows.select("window", "size", "bits", F.posexplode(F.array(*_blocks(F.col("bits")))).alias("block", "value"))
+    small = fits_broadcast(index, INDEX_ROWS, INDEX_BYTES)
+    found = probes.join(F.broadcast(index) if small else index.hint("merge"), ["size", "block", "value"])
+    other = F.col("bits").bitwiseXOR(F.col("item_bits"))
+    first = F.coalesce(*[F.when(F.bit_count(x) <= FLIPPED, F.lit(i)) for i, x in enumerate(_blocks(other))])
+    return found.filter((F.bit_count(other) <= RADIUS) & (F.col("block") == first)).select("window", "item")
 
 
 def find_leaks(
@@ -139,7 +134,8 @@ def find_leaks(
     count together, and so do rows of an item id, null ids too; other columns are left out. An
     empty table gives no rows.
 
-    No window is lost: all that are similar enough are found. The documents' texts stay where they are: what moves are the shingles that an item has too.
+    All windows whose SimHash lies within ``RADIUS`` bits of an item's of their size are checked. The
+    documents' texts stay where they are: what moves are the shingles that an item has too.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("size", F.size("words"))
@@ -181,16 +177,27 @@ def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, similar: flo
     cut = held.select("doc_id", words_of(F.col("text")).alias("words"), "windows").select(
         "doc_id", "words", F.explode("windows").alias("w")
     )
-    own = cut.select("doc_id", F.col("w.start").alias("start"), F.slice("words", F.col("w.start") + 1, F.col("w.size")).alias("words"))
-    own = own.select("doc_id", "start", weighted_shingles(F.col("words"), width).alias("shingles"))
-    # equal windows are one: documents that share a passage share its fingerprint
-    own = settle(own.withColumn("window", F.xxhash64("shingles")))
-    kinds = own.groupBy("window").agg(F.min("shingles").alias("shingles"))
-    sides = items.select("item_id", weighted_shingles(F.col("words"), width).alias("item_shingles"))
-    item_kinds = sides.withColumn("item_id", F.struct("item_id", F.xxhash64("item_shingles").alias("kind")))
-    pairs = candidates(kinds, item_kinds, similar)
-    checked = pairs.join(kinds, "window").join(item_kinds, pairs["item_id"].eqNullSafe(item_kinds["item_id"]))
+    own = cut.select(
+        "doc_id", F.col("w.start").alias("start"), F.col("w.size").alias("size"), F.slice("words", F.col("w.start") + 1, F.col("w.size")).alias("words")
+    )
+    own = own.select("doc_id", "start", "size", weighted_shingles(F.col("words"), width).alias("shingles"))
+    # equal windows are one, and so are equal items: documents that share a passage share its fingerprint
+    own = settle(own.withColumn("window", F.xxhash64("size", "shingles")))
+    kinds = _with_bits(own.groupBy("window", "size").agg(F.min("shingles").alias("shingles")), "bits")
+    sides = items.select("item_id", "size", weighted_shingles(F.col("words"), width).alias("item_shingles"))
+    sides = settle(sides.withColumn("item", F.xxhash64("size", "item_shingles")))
+    item_kinds = sides.groupBy("item", "size").agg(F.min("item_shingles").alias("shingles"))
+    item_kinds = _with_bits(item_kinds, "item_bits").withColumnRenamed("shingles", "item_shingles")
+    pairs = within_radius(kinds, item_kinds)
+    checked = attach(pairs, item_kinds.select("item", "item_shingles"), "item", how="inner")
+    checked = checked.join(kinds.select("window", "shingles"), "window")
     good = checked.select(
-        "window", pairs["item_id"]["item_id"].alias("item_id"), similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")
+        "window", "item", similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")
     ).filter(F.col("similarity") >= similar)
+    good = settle(good).join(sides.select("item", "item_id"), "item")
     return own.select("doc_id", "start", "window").join(good, "window").select("doc_id", "item_id", "start", "similarity")
+
+
+def _with_bits(kinds: DataFrame, name: str) -> DataFrame:
+    """The shingles' SimHash beside them, written once; the first write keeps them from being made 64 times."""
+    return settle(settle(kinds).withColumn(name, simhash(F.col("shingles"))))

@@ -5,9 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from surveyloom.llm import decontaminate as dc
 from surveyloom.llm.registry import QUERIES
+from surveyloom.operators.lookup import settle
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -90,19 +92,44 @@ def test_every_fingerprint_within_the_radius_is_found(spark):
     base = rng.integers(-(2**63), 2**63 - 1, 12, dtype=np.int64)
     windows = []
     for i, bits in enumerate(base.tolist()):
-        for flips in (0, 5, 12, 15, 16, 30):
+        for flips in (0, 5, 12, 22, 23, 24, 30):
             x = bits & ((1 << 64) - 1)
             for b in rng.choice(64, flips, replace=False).tolist():
                 x ^= 1 << b
-            windows.append((i * 100 + flips, x - (1 << 64) if x >> 63 else x))
-    w = spark.createDataFrame(windows, "window long, bits long")
-    items = spark.createDataFrame(list(enumerate(base.tolist())), "item_id long, item_bits long")
-    got = {(r.window, r.item_id) for r in dc.within_radius(w, items).collect()}
+            windows.append((i * 100 + flips, 50 + i % 2, x - (1 << 64) if x >> 63 else x))
+    w = spark.createDataFrame(windows, "window long, size int, bits long")
+    rows = [(i, 50 + i % 2, x) for i, x in enumerate(base.tolist())]
+    items = spark.createDataFrame(rows, "item long, size int, item_bits long")
+    got = [(r.window, r.item) for r in dc.within_radius(w, items).collect()]
     want = {
-        (a, i) for (a, x), (i, y) in itertools.product(windows, enumerate(base.tolist()))
-        if bin((x ^ y) & ((1 << 64) - 1)).count("1") <= dc.RADIUS
+        (a, i) for (a, m, x), (i, n, y) in itertools.product(windows, rows)
+        if m == n and bin((x ^ y) & ((1 << 64) - 1)).count("1") <= dc.RADIUS
     }
-    assert got == want and len(want) >= 12 * 4
+    assert dc.RADIUS == 23 and set(got) == want and len(got) == len(want) >= 12 * 5
+
+
+def test_simhash_by_plain_counts(spark):
+    texts = [" ".join(vocabulary(i, n)) for i, n in enumerate([5, 6, 30, 200])]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    made = settle(df.select(dc.weighted_shingles(dc.words_of(F.col("text")), 5).alias("s")))
+    rows = made.select("s", F.transform("s", lambda x: F.xxhash64(x)).alias("h"), dc.simhash(F.col("s")).alias("bits")).collect()
+    for r in rows:
+        weights = [int(x[16:]) for x in r.s]
+        want = sum(1 << b for b in range(64) if 2 * sum(w for h, w in zip(r.h, weights) if h >> b & 1) > sum(weights))
+        assert r.bits & ((1 << 64) - 1) == want
+    assert len(rows) == 4
+
+
+def test_long_items_take_linear_time(spark):
+    """An item of 20,000 words, copied whole and with some words changed."""
+    own = vocabulary(77, 20_000)
+    changed = ["changed" if i % 200 == 0 else w for i, w in enumerate(own)]
+    docs = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(changed)), (3, " ".join(own[:9_000]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(own)), (6, " ".join(own))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.find_leaks(docs, bench).collect()}
+    assert set(got) == {(1, 5), (1, 6), (2, 5), (2, 6)} and got[1, 5] == 1.0
+    want = similarity(weighted(changed, 5), weighted(own, 5))
+    assert abs(got[2, 5] - want) < 1e-12
 
 
 def test_query_equals_brute_force(spark):
