@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -32,7 +34,10 @@ def worker_store(owner: str) -> dict:
         import pyarrow as pa
 
         held["owner"], held["objects"] = owner, {}
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        # what small objects leave free stays with the process unless the C library is asked
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)
     return held["objects"]
 
 
