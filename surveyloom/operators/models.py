@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.columns import band
 from surveyloom.functions.tails import chi2_tail
-from surveyloom.operators.checks import require_columns
+from surveyloom.operators.checks import complete_rows, require_columns
 from surveyloom.operators.grouped import cell_means, demean, repeatable_sample, top_groups
-from surveyloom.operators.lookup import attach_aggregate, one_row, settle
+from surveyloom.operators.lookup import attach, attach_aggregate, one_row, settle
 from surveyloom.operators.normalize import composite_score, zscore
-from surveyloom.operators.ols import fit_ols, term_value
+from surveyloom.operators.ols import add_residuals, fit_ols, term_value
 from surveyloom.operators.prep import add_strata
 from surveyloom.operators.quantiles import quantile_values
 
@@ -95,6 +95,83 @@ def residual_trend(residuals: DataFrame) -> DataFrame:
     )
 
 
+def residual_trends(residuals: DataFrame, by: str) -> DataFrame:
+    """``residual_trend`` of every model or stratum named in ``by``, all from the same aggregates.
+
+    A part whose fitted values are all alike, or that has too few rows, says so in ``status``.
+    Rows without a name take no part.
+    """
+    require_columns(residuals, [by, "fitted", "residual"])
+    # a name of its own, since fits have a column ``model`` too
+    rows = residuals.where(F.col(by).isNotNull()).select(F.col(by).alias("part"), "fitted", "residual")
+    spread = F.stddev_samp("fitted")
+    stats = settle(
+        rows.groupBy("part").agg(
+            F.avg("residual").alias("mean_residual"),
+            F.stddev_pop("residual").alias("std_residual"),
+            F.avg("fitted").alias("fitted_mean"),
+            F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("fitted_sd"),
+        )
+    )
+    t = (F.col("fitted") - F.col("fitted_mean")) / F.col("fitted_sd")
+    scaled = attach(rows, stats.select("part", "fitted_mean", "fitted_sd"), "part", how="inner")
+    powers = scaled.select("part", "residual", t.alias("t1"), (t * t).alias("t2"), (t * t * t).alias("t3"))
+    fits = fit_ols(powers, "residual", ["t1", "t2", "t3"], by="part", model="residual trend")
+    trends = fits.select(
+        "part",
+        "n",
+        term_value("intercept").alias("constant"),
+        *[term_value(f"t{i}").alias(name) for i, name in ((1, "linear"), (2, "quadratic"), (3, "cubic"))],
+        "status",
+    )
+    return attach_aggregate(stats, trends, "part", how="inner").withColumnRenamed("part", by)
+
+
+def model_residuals(
+    df: DataFrame,
+    score: str,
+    index: str,
+    control: str,
+    group: str,
+    weight: str,
+    keep: Sequence[str] = (),
+    min_rows: int = 0,
+    fits: Sequence[DataFrame] | None = None,
+) -> DataFrame:
+    """``model``, ``fitted`` and ``residual`` of the three index models, written once.
+
+    ``fits`` are those of ``baseline_model``, ``control_model`` and ``fixed_effects_model`` where
+    they are at hand. Rows of groups that ``min_rows`` leaves out have no residual.
+    """
+    rows = settle(df.select(*dict.fromkeys([*keep, score, index, control, group, weight])))
+    if fits is None:
+        fits = [
+            baseline_model(rows, score, index, weight),
+            control_model(rows, score, index, control, weight),
+            fixed_effects_model(rows, score, index, control, group, weight, min_rows),
+        ]
+    large = rows
+    if min_rows:
+        complete = complete_rows(rows, [score, index, control, group, weight])
+        sizes = complete.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= int(min_rows))
+        large = attach_aggregate(complete, sizes.select(group), group, how="inner")
+    designs = [(BASELINE, rows, [index], None), (CONTROL, rows, [index, control], None), (FIXED, large, [index, control], group)]
+    parts = [
+        add_residuals(own, fit, score, xs, weight, absorb=absorb).select(F.lit(name).alias("model"), *keep, "fitted", "residual")
+        for fit, (name, own, xs, absorb) in zip(fits, designs)
+    ]
+    return settle(reduce(DataFrame.unionByName, parts))
+
+
+def residual_samples(residuals: DataFrame, by: str, names: Sequence[str], n: int = 5000, seed: int = 42) -> DataFrame:
+    """A repeatable sample of residuals for each of a few named models or strata."""
+    parts = [
+        repeatable_sample(residuals.where(F.col(by) == name).select(by, "fitted", "residual"), ["fitted", "residual"], n, seed)
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rank_importance(table: DataFrame, top_n: int | None = None) -> DataFrame:
     """Rank ``(feature, importance)`` rows, one per feature, and keep the first ``top_n``."""
     order = Window.orderBy(F.desc("importance"), F.asc("feature"))
@@ -232,15 +309,15 @@ def read_interaction(fits: DataFrame, term: str) -> DataFrame:
 # -- strata ------------------------------------------------------------------------------
 
 
-def stratified_models(
+def stratified_frame(
     df: DataFrame,
     spec: InteractionSpec,
     stratify_by: str = "index",
     top_n: int = 3,
     restandardize: bool = True,
     method: str = "approx",
-) -> DataFrame:
-    """The interaction model per stratum, all strata from the same aggregate.
+) -> tuple[DataFrame, list[str]]:
+    """The model frame with its ``stratum``, and the predictor names.
 
     ``index`` and ``attitude`` cut the table at its 33rd and 67th percentile and fit within
     groups; ``group`` takes the largest groups and fits the pooled model in each.
@@ -268,11 +345,45 @@ def stratified_models(
         prepared = add_strata(scored, column, cuts, labels).where("stratum IS NOT NULL")
     else:
         prepared = with_attitude(data, spec, by=again, keep=["stratum"])
-    frame, names = interaction_frame(prepared, spec, within=stratify_by != "group", by="stratum")
+    return interaction_frame(prepared, spec, within=stratify_by != "group", by="stratum")
+
+
+def stratified_models(
+    df: DataFrame,
+    spec: InteractionSpec,
+    stratify_by: str = "index",
+    top_n: int = 3,
+    restandardize: bool = True,
+    method: str = "approx",
+) -> DataFrame:
+    """The interaction model per stratum of ``stratified_frame``, all strata from the same aggregate."""
+    frame, names = stratified_frame(df, spec, stratify_by, top_n, restandardize, method)
+    return _strata_fits(frame, names, spec, stratify_by)
+
+
+def _strata_fits(frame: DataFrame, names: Sequence[str], spec: InteractionSpec, stratify_by: str) -> DataFrame:
     fits = fit_ols(frame, "y", names, "w", by="stratum", model=f"stratified by {stratify_by}")
     return fits.where(F.col("n") >= F.lit(spec.min_rows))
 
 
+def stratified_residuals(
+    df: DataFrame,
+    spec: InteractionSpec,
+    stratify_by: str = "index",
+    top_n: int = 3,
+    restandardize: bool = True,
+    method: str = "approx",
+) -> DataFrame:
+    """``stratum``, ``fitted`` and ``residual`` of the interaction model in every stratum, written once.
+
+    Within groups both are those of the demeaned score.
+    """
+    frame, names = stratified_frame(df, spec, stratify_by, top_n, restandardize, method)
+    rows = settle(frame)
+    fits = _strata_fits(rows, names, spec, stratify_by)
+    return settle(add_residuals(rows, fits, "y", names, "w", by="stratum").select("stratum", "fitted", "residual"))
+
+
 def strata_table(fits: DataFrame, spec: InteractionSpec) -> DataFrame:
     """One row per stratum with the three coefficients of interest."""
     return fits.select(

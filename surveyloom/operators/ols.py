@@ -380,3 +380,43 @@ def with_residuals(
     for x in xs:
         fitted = fitted + F.lit(beta[x]) * F.col(x)
     return data.withColumn("fitted", fitted).withColumn("residual", F.col(outcome) - F.col("fitted"))
+
+
+def add_residuals(
+    df: DataFrame,
+    fits: DataFrame,
+    outcome: str,
+    predictors: Sequence[str],
+    weight: str | None = None,
+    by: Sequence[str] | str | None = None,
+    absorb: str | None = None,
+) -> DataFrame:
+    """Add ``fitted`` and ``residual`` from a table of fits, one per stratum, over the rows that were fitted.
+
+    Coefficients are a lookup table joined on the stratum, so any number of strata goes and
+    nothing of them reaches the driver. Rows that ``fit_ols`` leaves out, and those of strata
+    without a fit, are left out here too; a predictor without an estimate adds nothing.
+    """
+    keys, xs = _list(by), list(predictors)
+    clash = {"fitted", "residual"} & set(df.columns)
+    if clash:
+        raise ValueError(f"Columns exist: {', '.join(sorted(clash))}")
+    used = [outcome, *xs, *([weight] if weight else []), *keys, *([absorb] if absorb else [])]
+    data = complete_rows(df, used)
+    if absorb:
+        data = demean(data, [outcome, *xs], [*keys, absorb], "__w", weight)
+    # without strata all rows have the same key
+    on = keys or ["__all"]
+    extra = [] if keys else [F.lit(0).alias("__all")]
+    # absorbed groups stand in for the intercept
+    terms = xs if absorb else [*xs, INTERCEPT]
+    betas = fits.where("rmse IS NOT NULL").select(
+        *keys, *extra, *[F.coalesce(term_value(x), F.lit(0.0)).alias(f"__b{i}") for i, x in enumerate(terms)]
+    )
+    rows = attach_aggregate(data.select("*", *extra), betas, on, how="inner")
+    part = lambda c: F.col(f"{c}__w" if absorb else c)
+    said = F.lit(0.0) if absorb else F.col(f"__b{len(xs)}")
+    for i, x in enumerate(xs):
+        said = said + F.col(f"__b{i}") * part(x)
+    residual = part(outcome) - said
+    return rows.select(*df.columns, (F.col(outcome) - residual).alias("fitted"), residual.alias("residual"))

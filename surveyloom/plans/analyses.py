@@ -125,6 +125,16 @@ def index_analyses(
     fits = [f for f in (base, ctrl, fixed) if f is not None]
     if fits:
         out.step("model_comparison", lambda: md.compare_models(fits, index))
+    if len(fits) == 3:
+        residuals = out.step(
+            "residuals", lambda: md.model_residuals(df, score, index, control, group, weight, min_rows=min_rows, fits=fits)
+        )
+        if residuals is not None:
+            # rows of all models are an input of the tables, not a result
+            del out.tables["residuals"]
+            names = (md.BASELINE, md.CONTROL, md.FIXED)
+            out.step("residuals_by_model", lambda: md.residual_trends(residuals, "model"))
+            out.step("residual_sample", lambda: md.residual_samples(residuals, "model", names))
     out.step("index_by_band", lambda: gr.index_by_group(df, index, weight, band, dims, method))
     out.step("share_above_q75", lambda: gr.share_above(df, index, band, 0.75, method))
     out.step("index_histogram", lambda: gr.histogram(df, index, 0.0, 100.0, 50, weight))
@@ -163,6 +173,10 @@ def interaction_analyses(df: DataFrame, spec: md.InteractionSpec, method: str =
         if fits is not None:
             out.step(f"stratified_by_{kind}", lambda: md.strata_table(fits, spec))
             out.step(f"heterogeneity_by_{kind}", lambda: md.heterogeneity(fits, spec.attitude))
+            out.step(
+                f"residuals_by_{kind}_stratum",
+                lambda: md.residual_trends(md.stratified_residuals(df, spec, kind, method=method), "stratum"),
+            )
     grid = out.step("grid_rows", lambda: md.grid_frame(df, spec, method=method))
     if grid is not None:
         # rows of the grid are an input of the tables, not a result

@@ -318,6 +318,33 @@ pw AS (SELECT residual, (fitted - fm) / fsd AS t1, POW((fitted - fm) / fsd, 2) A
     + ols_ctes("pw", "residual", ["t1", "t2", "t3"], w="one", name="tr")
 )
 
+BY_MODEL = (
+    MODEL_ROWS
+    + """,
+pair AS (SELECT * FROM ixd WHERE score IS NOT NULL AND idx IS NOT NULL AND control IS NOT NULL AND wt IS NOT NULL),
+grouped AS (SELECT grp AS g, SUM(wt * score) / SUM(wt) AS gs, SUM(wt * idx) / SUM(wt) AS gi, SUM(wt * control) / SUM(wt) AS gc
+            FROM pair WHERE grp IS NOT NULL GROUP BY grp),
+res AS (
+SELECT 'Baseline' AS model, score AS y, score - intercept - b0 * idx AS residual FROM ixd CROSS JOIN m1
+WHERE score IS NOT NULL AND idx IS NOT NULL AND wt IS NOT NULL
+UNION ALL SELECT 'With Control', score, score - intercept - b0 * idx - b1 * control FROM pair CROSS JOIN m2
+UNION ALL SELECT 'With Fixed Effects', score, score - gs - b0 * (idx - gi) - b1 * (control - gc)
+FROM pair JOIN grouped ON grp = g CROSS JOIN m3)"""
+)
+
+
+def _residual_trends(by: str, ctes: str) -> str:
+    """From ``res`` with ``y`` and ``residual`` per model or stratum."""
+    return f"""WITH {ctes},
+rs AS (SELECT {by} AS part, AVG(residual) AS rm, STDDEV_POP(residual) AS rsd, AVG(y - residual) AS fm,
+              STDDEV_SAMP(y - residual) AS fsd FROM res GROUP BY {by}),
+pw AS (SELECT part, residual, (y - residual - fm) / fsd AS t1, POW((y - residual - fm) / fsd, 2) AS t2,
+              POW((y - residual - fm) / fsd, 3) AS t3, 1.0 AS one FROM res JOIN rs ON {by} = part),
+{ols_ctes("pw", "residual", ["t1", "t2", "t3"], w="one", by="part", name="tr")}
+SELECT part AS {by}, {ints('n', 'n')}, {r('rm', 'mean_residual', 4)}, {r('rsd', 'std_residual', 4)}, {r('fm', 'fitted_mean', 4)},
+       {r('fsd', 'fitted_sd', 4)}, {r('intercept', 'constant', 4)}, {r('b0', 'linear', 4)}, {r('b1', 'quadratic', 4)},
+       {r('b2', 'cubic', 4)}, 'ok' AS status FROM tr JOIN rs ON k = part"""
+
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
@@ -511,6 +538,12 @@ SELECT model, {r('r2', 'r2', 5)}, {r('rmse', 'rmse', 5)}, {r('b0', 'coefficient'
 SELECT {ints('n', 'n')}, {r('rm', 'mean_residual', 4)}, {r('rsd', 'std_residual', 4)}, {r('fm', 'fitted_mean', 4)},
        {r('fsd', 'fitted_sd', 4)}, {r('intercept', 'constant', 4)}, {r('b0', 'linear', 4)}, {r('b1', 'quadratic', 4)},
        {r('b2', 'cubic', 4)}, 'ok' AS status FROM tr CROSS JOIN rs"""
+    q["residuals_by_model"] = _residual_trends("model", BY_MODEL)
+    fitted = " - ".join(["y", "intercept", *[f"b{i} * {x}" for i, x in enumerate(X4)]])
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in ["y", *X4, "wt"])
+    q["residuals_by_stratum"] = _residual_trends(
+        "stratum", f"{_strata('group')},\nres AS (SELECT stratum, y, {fitted} AS residual FROM sw JOIN st ON stratum = k WHERE {complete})"
+    )
     q["importance_regression"] = f"""WITH {IMPORTANCE}
 SELECT feature, {r('imp', 'importance')}, {r('r2', 'model_accuracy')}, CAST(rk AS INTEGER) AS "rank" FROM shares"""
     q["importance_topn"] = f"""WITH {IMPORTANCE}

@@ -496,6 +496,18 @@ def residual_sample(spark, sf):
     return md.residual_sample(_baseline_residuals(spark, sf, keys=True), KEYS, 5000)
 
 
+@query
+def residuals_by_model(spark, sf):
+    rows = md.model_residuals(_model_input(spark, sf), SCORE, INDEX, CONTROL, GROUP, WEIGHT)
+    return tidy(md.residual_trends(rows, "model"), 4)
+
+
+@query
+def residuals_by_stratum(spark, sf):
+    rows = md.stratified_residuals(interaction_input(spark, sf), INTERACTION, "group", top_n=3)
+    return tidy(md.residual_trends(rows, "stratum"), 4)
+
+
 @query
 def residual_trend(spark, sf):
     return tidy(md.residual_trend(_baseline_residuals(spark, sf)), 4)

@@ -154,6 +154,42 @@ def test_comparison_and_residuals(data):
         assert r[0] == pytest.approx(0.0, abs=1e-6) and r[1] ** 0.5 == pytest.approx(fit.first()["rmse"], rel=1e-8)
 
 
+def test_residuals_of_strata_equal_fits_one_by_one(data):
+    _, df = data
+    fits = ols.fit_ols(df, "y", ["x1", "x2"], "w", by="g")
+    rows = ols.add_residuals(df, fits, "y", ["x1", "x2"], "w", by="g")
+    per = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("residual") ** 2).alias("sse"), F.sum("w").alias("sw")).collect()}
+    want = {r["g"]: r for r in fits.collect() if r["rmse"] is not None}
+    assert set(per) == set(want) and len(want) > 1
+    for g, r in per.items():
+        assert r["n"] == want[g]["n"] and (r["sse"] / r["sw"]) ** 0.5 == pytest.approx(want[g]["rmse"], rel=1e-8)
+    bad = fits.withColumn("rmse", F.when(F.col("g") != min(want), F.col("rmse")))
+    assert {r["g"] for r in ols.add_residuals(df, bad, "y", ["x1", "x2"], "w", by="g").select("g").distinct().collect()} == set(want) - {min(want)}
+    with pytest.raises(ValueError, match="fitted"):
+        ols.add_residuals(df.withColumn("fitted", F.lit(1)), fits, "y", ["x1"], by="g")
+
+
+def test_residuals_of_models_by_table_and_by_row(data):
+    _, df = data
+    df = df.withColumnRenamed("x1", "index")
+    rows = md.model_residuals(df, "y", "index", "x2", "g", "w")
+    trends = {r["model"]: r for r in md.residual_trends(rows, "model").collect()}
+    fit = md.fixed_effects_model(df, "y", "index", "x2", "g", "w").first()
+    designs = {md.CONTROL: (md.control_model(df, "y", "index", "x2", "w").first(), None), md.FIXED: (fit, "g")}
+    for name, (row, absorb) in designs.items():
+        one = md.residual_trend(ols.with_residuals(df, row, "y", ["index", "x2"], "w", absorb)).first()
+        assert all(trends[name][c] == pytest.approx(one[c], rel=1e-6, abs=1e-7) for c in one.asDict() if c != "status")
+    assert set(trends) == {md.BASELINE, md.CONTROL, md.FIXED}
+    sample = md.residual_samples(rows, "model", [md.BASELINE, md.FIXED], 7)
+    got = sorted(map(tuple, sample.collect()))
+    assert len(got) == 14 and got == sorted(map(tuple, md.residual_samples(rows.repartition(3), "model", [md.BASELINE, md.FIXED], 7).collect()))
+    # groups that are too small take no part in the fixed effects
+    small = df.groupBy("g").count().orderBy("count").first()["count"]
+    fewer = md.model_residuals(df, "y", "index", "x2", "g", "w", min_rows=small + 1)
+    assert fewer.where(F.col("model") == md.FIXED).count() < rows.where(F.col("model") == md.FIXED).count()
+    assert md.residual_trends(rows.limit(0), "model").count() == 0
+
+
 def test_residual_trend_finds_a_cubic(spark):
     t = np.linspace(-2, 2, 501)
     pdf = pd.DataFrame({"fitted": 450 + 30 * t, "residual": 1 + 2 * t - t**2 + 0.5 * t**3})
