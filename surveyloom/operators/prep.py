@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window, functions as F
 
 from surveyloom.functions.columns import (
     SCORE_BANDS,
@@ -21,7 +21,7 @@ from surveyloom.functions.columns import (
     reflect,
 )
 from surveyloom.operators.checks import complete_rows, require_columns
-from surveyloom.operators.lookup import attach, one_row
+from surveyloom.operators.lookup import attach, one_row, settle
 
 def add_score_band(
     df: DataFrame,
@@ -138,21 +138,40 @@ def add_dummies(df: DataFrame, column: str, prefix: str | None = None, levels: S
     return df.withColumns({f"{base}_{v}": (F.col(column) == F.lit(v)).cast("double") for v in known[1:]})
 
 
+def level_positions(df: DataFrame, column: str) -> DataFrame:
+    """Each distinct non-null value with its place in sorted order, as a table of any length.
+
+    Values are cut into sorted ranges; places inside a range are added to the sizes of those before it.
+    """
+    levels = df.select(F.col(column).alias("level")).where("level IS NOT NULL").distinct()
+    cut = settle(levels.repartitionByRange("level").withColumn("part", F.spark_partition_id()))
+    # one row per range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    bases = bases.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("level")) - 1
+    ranked = attach(cut.withColumn("inside", inside), settle(bases), "part", how="inner")
+    return ranked.select("level", (F.col("base") + F.col("inside")).alias("place"))
+
+
 def add_dummy_vector(df: DataFrame, column: str, output: str) -> DataFrame:
-    """The same as one sparse vector for any number of levels; a null group gets a null."""
+    """The same as one sparse vector for any number of levels; a null group gets a null.
+
+    Levels stay a table that is joined to the rows; none of them reaches the driver.
+    """
     require_columns(df, [column])
-    text = df.withColumn("__level", F.col(column).cast("string"))
-    index = StringIndexer(inputCol="__level", outputCol="__at", stringOrderType="alphabetAsc", handleInvalid="keep")
-    model = index.fit(text.where(F.col("__level").isNotNull()))
-    n = len(model.labels)
-    at = model.transform(text).withColumn("__at", F.when(F.col("__level").isNotNull(), F.col("__at")))
-
-    @F.udf(VectorUDT())
-    def sparse(i):
-        # the smallest level is the base: all zeros
-        return None if i is None else Vectors.sparse(max(n - 1, 0), [] if i < 1 else [(int(i) - 1, 1.0)])
-
-    return at.withColumn(output, sparse("__at")).select(*df.columns, output)
+    if output in df.columns:
+        raise ValueError(f"Column {output} exists")
+    places = settle(level_positions(df, column))
+    n = places.count()
+    if n == 0:
+        return df.withColumn(output, F.lit(None).cast(VectorUDT()))
+    # the smallest level is the base: the encoder leaves out the last place
+    places = places.select(F.col("level").alias(column), F.when(F.col("place") == 0, n - 1).otherwise(F.col("place") - 1).cast("double").alias("__at"))
+    rows = attach(df, places, column).withColumn("__seen", F.coalesce("__at", F.lit(n - 1.0)))
+    encoder = OneHotEncoder(inputCol="__seen", outputCol="__dummies", dropLast=True)
+    model = encoder.fit(df.sparkSession.createDataFrame([(n - 1.0,)], "__seen double"))
+    return model.transform(rows).select(*df.columns, F.when(F.col("__at").isNotNull(), F.col("__dummies")).alias(output))
 
 
 def add_strata(

@@ -396,6 +396,10 @@ FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"""
        CASE flag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'other' END AS flag_label FROM obs"""
     q["dummy_encode"] = f"""WITH {OBS} SELECT {KEYS}, flag, CAST(flag = 'N' AS DOUBLE) AS "flag_N",
        CAST(flag = 'R' AS DOUBLE) AS "flag_R" FROM obs"""
+    q["dummy_vector"] = f"""WITH {OBS}, lv AS (SELECT flag AS level, ROW_NUMBER() OVER (ORDER BY flag) - 1 AS place,
+       COUNT(*) OVER () AS n FROM (SELECT DISTINCT flag FROM obs WHERE flag IS NOT NULL))
+SELECT {KEYS}, flag, CAST(n - 1 AS INTEGER) AS n_dummies, CAST(place = 1 AS DOUBLE) AS first_dummy, CAST(place = 2 AS DOUBLE) AS second_dummy
+FROM obs LEFT JOIN lv ON flag = level"""
     q["interaction_term"] = f"""WITH {OBS} SELECT {KEYS}, {r('discount', 'discount')}, {r('quantity', 'quantity')},
        {r('discount * quantity', 'discount_x_quantity')} FROM obs"""
     q["impute_mean"] = f"""WITH {OBS} SELECT {KEYS}, {r('COALESCE(quantity, AVG(quantity) OVER ())', 'quantity')},

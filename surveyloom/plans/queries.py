@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from surveyloom.operators import checks, crosstab as ct, grouped as gr, models as md, normalize as nm
@@ -209,6 +210,13 @@ def dummy_encode(spark, sf):
     return prep.add_dummies(observations(spark, sf, FLAG, keys=True), FLAG)
 
 
+@query
+def dummy_vector(spark, sf):
+    df = prep.add_dummy_vector(observations(spark, sf, FLAG, keys=True), FLAG, "dummies")
+    own = vector_to_array("dummies")
+    return df.select(*KEYS, FLAG, F.size(own).alias("n_dummies"), own[0].alias("first_dummy"), own[1].alias("second_dummy"))
+
+
 @query
 def interaction_term(spark, sf):
     df = observations(spark, sf, "discount", "quantity", keys=True)

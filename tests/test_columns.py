@@ -118,3 +118,17 @@ def test_strata_are_half_open(spark):
     assert [r["stratum"] for r in rows] == ["l", "m", "m", "h", "h"]
     with pytest.raises(ValueError):
         prep.add_strata(df, "x", [None, 3.0], ["l", "m", "h"])
+
+
+def test_dummy_vector(spark):
+    values = [30, 4, None, 100, 4, 7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, g int").repartition(3)
+    got = {r["i"]: r["d"] for r in prep.add_dummy_vector(df, "g", "d").collect()}
+    want = {7: [1, 0, 0], 30: [0, 1, 0], 100: [0, 0, 1], 4: [0, 0, 0]}
+    assert {i: None if d is None else list(d.toArray()) for i, d in got.items()} == {i: want.get(v) for i, v in enumerate(values)}
+    places = {r["level"]: r["place"] for r in prep.level_positions(spark.range(5000).repartition(7), "id").collect()}
+    assert places == {i: i for i in range(5000)}
+    one = prep.add_dummy_vector(df.where("g = 4"), "g", "d").first()["d"]
+    assert one.size == 0
+    assert [r["d"] for r in prep.add_dummy_vector(df.where("g IS NULL"), "g", "d").collect()] == [None]
+    assert prep.add_dummy_vector(df.limit(0), "g", "d").count() == 0
