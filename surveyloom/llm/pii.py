@@ -2,14 +2,16 @@
 
 All of it is built-in column functions. For each kind the proposed strings and the text between
 them come from two passes of the same expression, and the places are running sums of their
-lengths. Expressions are written so that a text of one endless word takes linear time: they
-start only where a run of their characters starts (or where the last match ended).
+lengths, added up in chunks, so that many matches take linear time. So does a text of one endless
+word: expressions start only where a run of their characters starts (or where the last match ended).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from surveyloom.llm.arrays import blocks, cut, let, running_max, running_sum
+
 _LOCAL = "A-Za-z0-9._%+-"
 # Codes of the countries that have IBANs, by the length of theirs.
 IBAN_LENGTHS = {
@@ -131,21 +133,31 @@ def _kept(kind: str, found: Column, before: Column, after: Column) -> Column:
     return passed if kind in BASE else passed & (score(kind, before, after) >= ENOUGH)
 
 
-def _describe(kind: str, rank: int, around: Column, place: Column):
-    def span(x: Column, i: Column) -> Column:
-        start, before, after = F.element_at(place, i + 1), F.element_at(around, i + 1), F.element_at(around, i + 2)
+def _spans(kind: str, rank: int, found: Column, around: Column) -> Column:
+    """The kept spans of one kind, from the proposed strings and the pieces of text around them."""
+    n = F.size(found)
+    before, after = F.slice(around, F.lit(1), n), F.slice(around, F.lit(2), n)
+    skipped = F.transform(before, lambda y: F.char_length(y))
+    taken = F.transform(found, lambda x: F.lit(TAKEN[kind]) if kind in TAKEN else F.char_length(x))
+    moved = F.zip_with(skipped, taken, lambda a, b: a + b)
+    starts = F.zip_with(running_sum(moved), skipped, lambda a, b: a + b)
+    placed = F.zip_with(found, starts, lambda x, at: F.struct(x.alias("text"), at.alias("start")))
+    near = F.zip_with(before, after, lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+
+    def span(x: Column, y: Column) -> Column:
+        following = y["after"]
         if kind in TAKEN:
-            after = F.substring(after, F.char_length(x) - TAKEN[kind] + 1, F.lit(NEARBY))
+            following = F.substring(following, F.char_length(x["text"]) - TAKEN[kind] + 1, F.lit(NEARBY))
         return F.struct(
-            start.alias("start"),
+            x["start"].alias("start"),
             F.lit(rank).alias("rank"),
-            (start + F.char_length(x)).alias("end"),
+            (x["start"] + F.char_length(x["text"])).alias("end"),
             F.lit(kind).alias("kind"),
-            score(kind, before, after).alias("score"),
-            _kept(kind, x, before, after).alias("kept"),
+            score(kind, y["before"], following).alias("score"),
+            _kept(kind, x["text"], y["before"], following).alias("kept"),
         )
 
-    return span
+    return F.filter(F.zip_with(placed, near, span), lambda s: s["kept"])
 
 
 def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFrame:
@@ -165,25 +177,7 @@ def find_pii(docs: DataFrame, text: str = "text", output: str = "pii") -> DataFr
     for rank, kind in enumerate(PROPOSE):
         name = f"__{kind}"
         out = _proposed(out, kind, F.col("__text"), name)
-        found, around = F.col(f"{name}_found"), F.col(f"{name}_around")
-        # null beside the last piece, which no match follows
-        taken = lambda x: F.when(x.isNotNull(), F.lit(TAKEN[kind])) if kind in TAKEN else F.char_length(x)
-        pieces = F.zip_with(found, around, lambda x, y: F.struct(F.char_length(y).alias("skip"), taken(x).alias("take")))
-        # where each match starts: all that came before it
-        starts = F.aggregate(
-            F.filter(pieces, lambda p: p["take"].isNotNull()),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, p: F.struct(
-                (acc["at"] + p["skip"] + p["take"]).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + p["skip"])).alias("starts"),
-            ),
-            lambda acc: acc["starts"],
-        )
-        out = out.withColumn(
-            f"{name}_starts", F.when(F.size(found) > 0, starts).otherwise(F.array().cast("array<int>"))
-        )
-        place = F.col(f"{name}_starts")
-        spans.append(F.filter(F.transform(found, _describe(kind, rank, around, place)), lambda s: s["kept"]))
+        spans.append(_spans(kind, rank, F.col(f"{name}_found"), F.col(f"{name}_around")))
     every = F.array_sort(F.concat(*spans))
     return out.select(
         *docs.columns,
@@ -202,27 +196,19 @@ def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = find_pii(docs, text, "__pii")
     content = F.coalesce(F.col(text), F.lit(""))
-    # what is said so far, and the place up to which the text is done
-    said = F.aggregate(
-        "__pii",
-        F.struct(F.array().cast("array<string>").alias("said"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                F.concat(
-                    acc["said"],
-                    F.array(
-                        F.substring(content, acc["at"] + 1, s["start"] - acc["at"]),
-                        F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
-                    ),
-                ).alias("said"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(acc["said"].alias("said"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(
-            F.array_join(acc["said"], ""), F.substring(content, acc["at"] + 1, F.char_length(content))
-        ),
-    )
+    # with each span the place up to which the spans before it reach
+    reached = running_max(F.transform("__pii", lambda s: s["end"]))
+    placed = F.zip_with("__pii", reached, lambda s, at: F.struct(s.alias("span"), at.alias("at")))
+
+    def named(pieces: Column) -> Column:
+        said = F.transform(
+            F.filter(placed, lambda p: p["span"]["start"] >= p["at"]),
+            lambda p: F.concat(cut(pieces, p["at"], p["span"]["start"]), F.lit("["), F.upper(p["span"]["kind"]), F.lit("]")),
+        )
+        last = F.array_max(F.transform("__pii", lambda s: s["end"]))
+        return F.concat(F.array_join(said, ""), F.substring(content, last + 1, F.char_length(content)))
+
+    said = let(blocks(content), named)
     changed = found.withColumn(text, F.when(F.size("__pii") > 0, said).otherwise(F.col(text)))
     return changed.select(*docs.columns)
 

@@ -1,11 +1,13 @@
 """Personal data against a plain scan with Python's expressions."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from surveyloom.llm import pii as pi
+from surveyloom.llm import arrays, pii as pi
 from surveyloom.llm.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -136,3 +138,32 @@ def test_words_after_an_iban_do_not_join_it(spark, text, start, end):
     assert got == want
     redacted = pi.redact_pii(df).first().text
     assert redacted.count("[IBAN]") == len(want) and all(text[s:e] not in redacted for s, e in want)
+
+
+def test_many_matches_take_linear_time(spark):
+    """A million addresses in one text, with places and redaction; pieces cross blocks of characters."""
+    n = 1_000_000
+    df = spark.createDataFrame([(0, "é1.2.3.4 " * n), (1, "a@b.co, " * 3000)], "doc_id long, text string")
+    spans = F.col("pii")
+    got = {r.doc_id: r for r in pi.find_pii(df).select(
+        "doc_id", F.size(spans).alias("n"), F.aggregate(F.transform(spans, lambda s: s["start"].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("sum"),
+        F.element_at(spans, -1).alias("last")).collect()}
+    assert (got[0].n, got[0].sum, got[0].last.start, got[0].last.end) == (n, sum(range(1, 9 * n, 9)), 9 * n - 8, 9 * n - 1)
+    assert (got[1].n, got[1].last.start) == (3000, 8 * 2999)
+    clean = {r.doc_id: r.text for r in pi.redact_pii(df).collect()}
+    assert clean[0] == "é[IP] " * n and clean[1] == "[EMAIL], " * 3000
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 513, 65_536, 70_000])
+def test_running_sums_and_cuts(spark, n):
+    values = [(i * 7919) % 11 for i in range(n)]
+    text = "".join(chr(97 + v) if v else "é" for v in values)
+    df = spark.createDataFrame([(values, text)], "v array<int>, text string")
+    got = df.select(
+        arrays.running_sum(F.col("v")).alias("s"), arrays.running_max(F.col("v")).alias("m"),
+        arrays.let(arrays.blocks(F.col("text")), lambda b: F.transform(F.array(*map(F.lit, (0, 5, 1020, 1024, 2047))),
+                   lambda a: F.concat(arrays.cut(b, a, a + 9), F.lit("|"), arrays.cut(b, a, a + 2500), arrays.cut(b, a, a)))).alias("c"),
+    ).first()
+    assert got.s == [0, *itertools.accumulate(values)][:n]
+    assert got.m == [0, *itertools.accumulate(values, max)][:n]
+    assert got.c == [f"{text[a : a + 9]}|{text[a : a + 2500]}" for a in (0, 5, 1020, 1024, 2047)]
