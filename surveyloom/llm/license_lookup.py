@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from surveyloom.llm.arrays import blocks, cut, let, running_sum
 from surveyloom.llm.license_texts import full_texts
 from surveyloom.operators.lookup import attach
 
@@ -77,7 +78,7 @@ _WRAPPED = (
     "(?m)^(?=copyright (?:holders?|notices?|licenses?|laws?|statements?|disclaimers?|on the program|and related)\\b"
     "|\\(c\\) (?:you must|under patent))"
 )
-#: Characters of a run's first paragraph that have to be those of a known text.
+#: Characters of a run's first paragraph, and as many at its end, that have to be those of a known text.
 OPENING = 8
 
 
@@ -100,7 +101,7 @@ def joined(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """``digest``, ``license``, ``length`` and ``opening`` of known texts; the first name of a text counts.
+    """``digest``, ``license``, ``length``, ``opening`` and ``closing`` of known texts; the first name of a text counts.
 
     By default these are ``KNOWN`` and the full texts and headers of ``license_texts``.
     """
@@ -108,40 +109,46 @@ def known_digests(spark: SparkSession, known=None) -> DataFrame:
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(known)], "n int, license string, text string")
     made = rows.select("n", "license", joined(canonical(F.col("text"))).alias("form"))
     made = made.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min_by("license", "n").alias("license"), F.min("form").alias("form"))
-    return made.select("digest", "license", F.char_length("form").alias("length"), F.left("form", F.lit(OPENING)).alias("opening"))
+    ends = [F.left("form", F.lit(OPENING)).alias("opening"), F.right("form", F.lit(OPENING)).alias("closing")]
+    return made.select("digest", "license", F.char_length("form").alias("length"), *ends)
 
 
-def _runs(paragraphs: Column, lengths: list[int], openings: list[str]) -> Column:
-    """Runs of two or more paragraphs that begin like a known text and are as long as one."""
-    most = max(lengths, default=0) // 2 + 1
-    first = F.filter(
-        F.transform(paragraphs, lambda p, i: F.struct((i + 1).alias("at"), p["line"].alias("line"), p["form"].alias("form"))),
-        lambda p: F.left(p["form"], F.lit(OPENING)).isin(openings),
+def _runs(paragraphs: Column, told: list) -> Column:
+    """Runs of two or more paragraphs that begin and end like a known text and are as long as one.
+
+    The paragraphs are joined once. For each that begins like known texts, and each of those, only
+    the place where the run would end is looked at, and the run itself if a paragraph ends there.
+    """
+    if not told:
+        return F.array().cast("array<struct<unit:string,line:int,form:string>>")
+    known = F.array(
+        *[
+            F.struct(*[F.lit(r[c]).alias(c) for c in ("length", "opening", "closing")])
+            for r in sorted(told, key=lambda r: (r["length"], r["opening"], r["closing"]))
+        ]
+    )
+    # a line break ends each paragraph, and takes the place of the space that follows it in a run
+    text = F.concat(F.array_join(F.transform(paragraphs, lambda p: p["form"]), "\n"), F.lit("\n"))
+    places = running_sum(F.transform(paragraphs, lambda p: F.char_length(p["form"]) + 1))
+    placed = F.zip_with(
+        paragraphs, places, lambda p, at: F.struct(at.alias("at"), p["line"].alias("line"), F.left(p["form"], F.lit(OPENING)).alias("opening"))
     )
+    first = F.filter(placed, lambda p: p["opening"].isin(sorted({r["opening"] for r in told})))
 
-    def of_start(p: Column) -> Column:
-        own = F.transform(F.slice(paragraphs, p["at"], most), lambda q: q["form"])
-        # how many paragraphs a run may have, from a running sum of their lengths
-        ends = F.aggregate(
-            own,
-            F.struct(F.lit(-1).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")),
-            lambda acc, x: F.struct(
-                (acc["sum"] + F.char_length(x) + 1).alias("sum"),
-                (acc["n"] + 1).alias("n"),
-                F.when(
-                    (acc["n"] > 0) & (acc["sum"] + F.char_length(x) + 1).isin(lengths), F.concat(acc["ends"], F.array(acc["n"] + 1))
-                ).otherwise(acc["ends"]).alias("ends"),
-            ),
-            lambda acc: acc["ends"],
-        )
+    def of_start(pieces: Column, p: Column) -> Column:
+        def ends(k: Column) -> Column:
+            end = p["at"] + k["length"]
+            return (k["opening"] == p["opening"]) & (
+                F.translate(cut(pieces, end - OPENING, end + 1), "\n", " ") == F.concat(k["closing"], F.lit(" "))
+            ) & (cut(pieces, end, end + 1) == "\n")
+
+        run = F.transform(F.filter(known, ends), lambda k: cut(pieces, p["at"], p["at"] + k["length"]))
         return F.transform(
-            ends,
-            lambda n: F.struct(
-                F.lit("n_paragraphs").alias("unit"), p["line"].alias("line"), F.array_join(F.slice(own, F.lit(1), n), " ").alias("form")
-            ),
+            F.filter(F.array_distinct(run), lambda x: x.contains("\n")),
+            lambda x: F.struct(F.lit("n_paragraphs").alias("unit"), p["line"].alias("line"), F.translate(x, "\n", " ").alias("form")),
         )
 
-    return F.flatten(F.transform(first, of_start))
+    return let(blocks(text), lambda pieces: F.flatten(F.transform(first, lambda p: of_start(pieces, p))))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,31 +164,24 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
     Rows do not move until they have matched; the known digests are joined by hash, and
     broadcast only after their size was measured.
     """
-    form = F.transform(F.split(canonical(F.col(text)), "\n"), lambda x: F.trim(x))
-    lines = docs.select(F.col(id_column), form.alias("lines")).filter(F.col("lines").isNotNull())
+    # lines have single spaces between words only, but for the ends of the text
+    form = F.trim(canonical(F.col(text)))
+    lines = docs.select(F.col(id_column), form.alias("form")).filter(F.col("form").isNotNull())
+    lines = lines.withColumn("lines", F.split("form", "\n"))
     # a paragraph starts at a line with words after one without
     starts = F.filter(
         F.sequence(F.lit(1), F.size("lines")),
         lambda i: (F.element_at("lines", i) != "") & ((i == 1) | (F.element_at("lines", F.greatest(i - 1, F.lit(1))) == "")),
     )
     numbered = F.transform("lines", lambda x, i: F.struct(F.lit("n_lines").alias("unit"), (i + 1).alias("line"), x.alias("form")))
-    paragraphs = F.transform(
+    # what lines without words set apart, in the order of their first lines
+    parts = F.filter(
+        F.transform(F.split("form", "\n\n+"), lambda x: F.trim(F.translate(x, "\n", " "))), lambda x: x != ""
+    )
+    paragraphs = F.zip_with(
         starts,
-        lambda s: F.struct(
-            F.lit("n_paragraphs").alias("unit"),
-            s.alias("line"),
-            # up to the next line without words
-            F.array_join(
-                F.slice(
-                    "lines",
-                    s,
-                    F.coalesce(
-                        F.nullif(F.array_position(F.slice("lines", s, F.size("lines")), ""), F.lit(0)) - 1, F.size("lines")
-                    ).cast("int"),
-                ),
-                " ",
-            ).alias("form"),
-        ),
+        parts,
+        lambda s, x: F.struct(F.lit("n_paragraphs").alias("unit"), s.alias("line"), x.alias("form")),
     )
     whole = F.array(
         F.struct(
@@ -190,10 +190,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
             F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("form"),
         )
     )
-    told = known.select("length", "opening").distinct().collect()  # a few for each known licence
-    lengths, openings = sorted({r["length"] for r in told}), sorted({r["opening"] for r in told})
+    told = known.select("length", "opening", "closing").distinct().collect()  # a few for each known licence
     lines = lines.withColumn("paragraphs", paragraphs)
-    runs = F.filter(_runs(F.col("paragraphs"), lengths, openings), lambda u: u["form"] != whole[0]["form"])
+    runs = F.filter(_runs(F.col("paragraphs"), told), lambda u: u["form"] != whole[0]["form"])
     units = lines.select(id_column, F.explode(F.concat(whole, F.col("paragraphs"), runs, numbered)).alias("u"))
     digests = units.filter("u.form != ''").select(
         id_column, "u.unit", "u.line", F.sha2("u.form", 256).alias("digest")

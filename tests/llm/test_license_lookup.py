@@ -96,3 +96,62 @@ def test_licences_as_they_are_distributed(spark):
     assert {k for k in whole} >= {(i, "MIT") for i in (1, 2, 5, 6)} | {(3, "Apache-2.0"), (4, "Apache-2.0"), (10, "GPL-2.0"), (11, "GPL-3.0"), (12, "MPL-2.0"), (13, "CC0-1.0")}
     assert all(whole[k] == 1 for k in ((1, "MIT"), (2, "MIT"), (4, "Apache-2.0"), (10, "GPL-2.0"), (11, "GPL-3.0"), (12, "MPL-2.0"), (13, "CC0-1.0")))
     assert got[(5, "MIT")]["n_whole"] == 0 and got[(5, "MIT")]["n_paragraphs"] >= 1 and (7, "MIT") not in got
+
+
+def test_many_short_paragraphs_take_linear_time(spark):
+    """A megabyte of two-word paragraphs, with a licence of three paragraphs among them, and openings without end."""
+    mit = ll.KNOWN[21][1].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\n\n THE SOFTWARE IS")
+    n = 90_000
+    docs = [
+        (1, "two words\n\n" * n + mit + "\n\n" + "two words\n\n" * n), (2, "permission\n\n" * n), (3, "\n\n\n" + mit),
+        (4, mit + "\n\nsold.\n"), (5, f"\n{mit[:-1]}\nx"), (6, f"{mit}\n\n{mit}"), (7, "MIT License\n\n" * 2000 + mit),
+    ]
+    got = rows(ll.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), ll.known_digests(spark)))
+    one = {"n_whole": 0, "n_paragraphs": 1, "n_lines": 0}
+    assert got == {
+        (1, "MIT"): one | {"first_line": 2 * n + 1},
+        (3, "MIT"): {"n_whole": 1, "n_paragraphs": 0, "n_lines": 0, "first_line": 4},
+        (4, "MIT"): one | {"first_line": 1},
+        (6, "MIT"): one | {"n_paragraphs": 2, "first_line": 1},
+        # with its title and without
+        (7, "MIT"): one | {"n_paragraphs": 2, "first_line": 3999},
+    }
+
+
+def test_runs_equal_all_runs_of_paragraphs(spark):
+    """Against every run of consecutive paragraphs, with random cuts of known texts."""
+    import random
+
+    draw = random.Random(5)
+    known = [("A", "one two three four"), ("B", "one two three four one two"), ("C", "three four one two"), ("D", "four one two three four five")]
+    digests = ll.known_digests(spark, known)
+    docs = []
+    for i in range(200):
+        words = [w for _ in range(draw.randint(1, 5)) for w in draw.choice(known)[1].split()]
+        docs.append((i, "".join(w + draw.choice([" ", " ", "\n", "\n\n", " \n \n\n"]) for w in words)))
+    want = {}
+    for i, text in docs:
+        parts = [" ".join(p.split()) for p in re.split(r"\n[ \n]*\n", text) if p.strip()]
+        forms = dict((b, a) for a, b in known)
+        for a in range(len(parts)):
+            for b in range(a + 2, len(parts) + 1):
+                name = forms.get(" ".join(parts[a:b]))
+                # a run begins with a paragraph of at least the opening's length or the whole of it
+                if name and parts[a][: ll.OPENING] == " ".join(parts[a:b])[: ll.OPENING] and (a, b) != (0, len(parts)):
+                    want[(i, name)] = want.get((i, name), 0) + 1
+    base = expected_with(docs, forms)
+    got = {(r.doc_id, r.license): r.n_paragraphs for r in ll.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), digests).collect()}
+    both = {k: base.get(k, 0) + want.get(k, 0) for k in base.keys() | want.keys()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in both.items() if v}
+    assert len(want) > 10
+
+
+def expected_with(docs, forms):
+    """Single paragraphs that are known texts."""
+    out = {}
+    for i, text in docs:
+        for p in re.split(r"\n[ \n]*\n", text):
+            name = forms.get(" ".join(p.split()))
+            if name:
+                out[(i, name)] = out.get((i, name), 0) + 1
+    return out
