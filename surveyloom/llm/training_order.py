@@ -1,11 +1,13 @@
 """Training-order materialisation of token sequences.
 
-Documents become sequences of a fixed number of tokens. Every sequence has an index, made of its
-document's id and its place there, below a bound that is known from the smallest and largest id
-and the longest text. A keyed Feistel network over the next power of four permutes the indices;
+Documents become sequences of a fixed number of tokens. Every sequence has an index, made of a
+hash of its document's id and text and of its place there, below a bound that is known from the
+longest text. A keyed Feistel network over the next power of four permutes the indices;
 values beyond the bound are permuted again until they fall inside (cycle-walking). The order of
 the permuted indices is the training order, and a sequence's slot is its rank in it; neither
-depends on how the input is partitioned.
+depends on how the input is partitioned. The hash spreads documents without an id, with one that
+repeats, or with ids that lie far apart like all others; where two documents share one, id and
+content decide.
 
 Ranges of the permuted indices are the shards, one file each, in which every record takes the
 same number of bytes. The slots of a shard begin where those of the shard before it end, so a
@@ -32,6 +34,8 @@ from surveyloom.operators.lookup import attach, scratch_folder, settle
 LENGTH, PAD, ROUNDS = 256, 0, 4
 #: Bytes of text that a shard takes about.
 SHARD_TEXT = 16 << 20
+#: The indices that are permuted, about.
+INDICES = 1 << 61
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,9 +113,9 @@ def materialise(
 
     Columns: the id column (an integer), ``piece``, ``n_tokens`` (without padding), ``slot``,
     ``shard``, ``byte_offset``, ``stride`` and ``ids_crc32`` of the record as written, padding
-    included. A null or empty text is its end token. Rows that repeat an id share their places in
-    the order and follow each other there, by content; null ids count as one below the smallest.
-    Other columns are left out. An empty table writes nothing and gives no rows.
+    included. A null or empty text is its end token. Rows that repeat an id, and null ids, are placed
+    by their content; rows alike in both share their places in the order and follow each other
+    there. Other columns are left out. An empty table writes nothing and gives no rows.
 
     ``folder`` is a URI that executors can write to. The token ids move once, to the shard of
     their slot, and are kept nowhere else.
@@ -119,8 +123,6 @@ def materialise(
     spark = docs.sparkSession
     known = docs.agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(id_column).alias("first"),
-        F.max(id_column).alias("last"),
         F.max(F.octet_length(whole_text(text))).alias("longest"),
         F.sum(F.octet_length(whole_text(text))).alias("bytes"),
     ).first()
@@ -132,18 +134,16 @@ def materialise(
     stride = width * length
     # a token has at least one byte of text, and each document has an end token
     most = ((known["longest"] or 0) + 1 + length - 1) // length
-    lowest = (known["first"] or 0) - 1
-    bound = ((known["last"] or 0) - lowest + 1) * most
-    if bound >= 1 << 62:
-        raise ValueError("Ids are too far apart for a permutation of 62 bits")
+    places = INDICES // most
+    bound = places * most
     shards = max(1, -(-(known["bytes"] or 0) // shard_text))
     share = -(-bound // shards)
-    index = (F.coalesce(F.col(id_column).cast("long"), F.lit(lowest)) - lowest) * most + F.col("piece")
+    index = F.pmod(F.xxhash64(F.col(id_column).cast("long"), "content"), F.lit(places)) * most + F.col("piece")
     placed = token_sequences(docs, path, length, id_column=id_column, text=text).withColumn(
         "walked", permuted(index, bound, key)
     )
-    placed = placed.withColumn("shard", F.floor(F.col("walked") / share).cast("long"))
-    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("walked", "content", "piece")
+    placed = placed.withColumn("shard", F.expr(f"walked div {share}L"))
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("walked", id_column, "content", "piece")
     filler = np.full(length, pad_id, f"<u{width}").tobytes()
 
     def write(batches: Iterator) -> Iterator:

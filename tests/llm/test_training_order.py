@@ -48,3 +48,15 @@ def test_shards_read_back(spark, tmp_path):
     again = to.materialise(df.repartition(2), tokenizer_path(), tmp_path.as_uri() + "/b", ORDER_KEY, length=32, shard_text=5000)
     assert {(r.doc_id, r.piece, r.slot, r.ids_crc32) for r in again.collect()} == {(r.doc_id, r.piece, r.slot, r.ids_crc32) for r in rows}
     assert to.materialise(df.limit(0), tokenizer_path(), tmp_path.as_uri() + "/c", ORDER_KEY).count() == 0
+
+
+def test_wide_null_and_repeated_ids_are_spread(spark, tmp_path):
+    """Ids at both ends of their type, a third of them null and a third one id, over shards of like size."""
+    wide = [4 * 10**18, -4 * 10**18, 2**63 - 1, -(2**63)]
+    docs = [(None if i % 3 == 0 else 5 if i % 3 == 1 else wide[i % 4] + (-i if wide[i % 4] > 0 else i), f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = to.materialise(df, tokenizer_path(), tmp_path.as_uri() + "/w", ORDER_KEY, length=32, shard_text=2000).collect()
+    assert sorted(r.slot for r in rows) == list(range(3000))
+    assert sum(r.doc_id is None for r in rows) == 1000
+    sizes = np.bincount([r.shard for r in rows])
+    assert len(sizes) > 10 and sizes.max() <= 2 * sizes.mean()
