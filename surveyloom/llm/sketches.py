@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from surveyloom.llm.common import object_strings, shuffle_partitions, whole_text
 
 K, WIDTH, BITS = 128, 12, 48
+#: Code points by which texts of one id are dealt to buckets.
+HEAD = 512
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,8 +197,10 @@ def compare_with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, buckets:
     one row is followed by itself, and an empty table gives no rows. Other columns are left out.
 
     Each text moves once: rows go to buckets of neighbouring ids, and the first row of each
-    bucket goes to the bucket before it as well. What the driver holds are the bounds and first
-    ids of the buckets, whose number is four per shuffle partition.
+    bucket goes to the bucket before it as well. An id that many rows share, or the missing one,
+    has several buckets by ranges of the text; only rows alike in id and text (or in its first
+    ``HEAD`` code points) always share one. What the driver holds are the bounds and first
+    ids of the buckets, whose number is about four per shuffle partition, and a few texts' heads for each.
     """
     spark = docs.sparkSession
     n = buckets or 4 * shuffle_partitions(spark)
@@ -204,28 +209,69 @@ def compare_with_edits(docs: DataFrame, k: int = K, width: int = WIDTH, buckets:
         F.col("doc_id").isNull().alias("absent"),
         whole_text().alias("text"),
     )
-    cuts = rows.filter("NOT absent").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    present = F.when(~F.col("absent"), F.col("doc_id"))
+    told = rows.agg(
+        F.percentile_approx(present, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("cuts"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("absent").alias("absent"),
+    ).first()
+    bounds = np.array(told["cuts"] or [], np.int64)
+    # how many buckets an id has, where these are more than one; None is the missing id
+    values, times = np.unique(bounds, return_counts=True)
+    shared = {int(v): int(m) for v, m in zip(values, times) if m > 1}
+    if (absent := told["absent"] * n // max(1, told["rows"])) > 1:
+        shared[None] = absent
+    head = F.lit("")
+    if shared:
+        heavy = F.col("doc_id").isin([v for v in shared if v is not None]) & ~F.col("absent")
+        heavy = (heavy | F.col("absent")) if None in shared else heavy
+        head = F.when(heavy, F.left("text", F.lit(HEAD))).otherwise(F.lit(""))
+        # where texts are cut decides nothing but the balance, so a sample does
+        some = rows.filter(heavy).sample(min(1.0, 8.0 * n / told["rows"]), 7)
+        heads = {v: [] for v in shared}
+        for r in some.select("doc_id", "absent", head.alias("head")).collect():
+            heads[None if r["absent"] else r["doc_id"]].append(r["head"])
+        for v, own in heads.items():
+            own.sort()
+            heads[v] = sorted({own[i * len(own) // shared[v]] for i in range(1, shared[v])}) if own else []
+    else:
+        heads = {}
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series, absent: pd.Series) -> pd.Series:
+    def bucket(ids: pd.Series, absent: pd.Series, texts: pd.Series) -> pd.Series:
         # descending: bucket 0 holds the largest ids, null ids come last
-        at = len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), "left")
-        return pd.Series(np.where(absent, len(bounds) + 1, at), dtype="int32")
-
-    dealt = rows.withColumn("home", bucket("doc_id", "absent"))
-    firsts = sorted(
-        ((r["home"], r["first"]) for r in dealt.groupBy("home").agg(F.max("doc_id").alias("first")).collect()),
-        key=lambda x: x[0],
-    )
+        ids = ids.to_numpy(np.int64)
+        at = len(bounds) - np.searchsorted(bounds, ids, "left")
+        # the first of the buckets of ids that have several
+        first = np.minimum(at, len(bounds) - np.searchsorted(bounds, ids, "right") + 1)
+        out = np.where(absent, len(bounds) + 1, first)
+        if heads:
+            out += [
+                bisect_left(heads.get(None if none else i, ()), text)
+                for i, none, text in zip(ids.tolist(), absent, texts)
+            ]
+        return pd.Series(out, dtype="int32")
+
+    dealt = rows.withColumn("head", head).withColumn("home", bucket("doc_id", "absent", "head"))
+    # complements of ids ascend where ids descend
+    leading = F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "head"))
+    firsts = sorted((r["home"], r["first"]) for r in dealt.groupBy("home").agg(leading.alias("first")).collect())
     before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    first_id = dict(firsts)
+    first_row = {home: (~first["down"], first["head"]) for home, first in firsts}
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series, homes: pd.Series) -> pd.Series:
-        return pd.Series([[h, before[h]] if first_id[h] == x else [h] for x, h in zip(ids, homes)])
-
-    copies = dealt.select("doc_id", "absent", "text", F.posexplode(places("doc_id", "home")).alias("guest", "bucket"))
+    def places(ids: pd.Series, homes: pd.Series, texts: pd.Series, contents: pd.Series) -> pd.Series:
+        out, sent = [], set()
+        for i, home, text, content in zip(ids, homes, texts, contents):
+            # of rows that are alike one is enough
+            guest = first_row[home] == (i, text) and (home, content) not in sent
+            if guest:
+                sent.add((home, content))
+            out.append([home, before[home]] if guest else [home])
+        return pd.Series(out)
+
+    both = F.posexplode(places("doc_id", "home", "head", F.xxhash64("text"))).alias("guest", "bucket")
+    copies = dealt.select("doc_id", "absent", "text", both)
     # bucket, then guests last: the row after a bucket's own rows is the first of the next
     ordered = copies.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions(
         "bucket", "guest", F.desc("doc_id"), "text"

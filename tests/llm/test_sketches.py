@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from surveyloom.llm import sketches as sk
 from surveyloom.llm.registry import QUERIES
@@ -106,3 +107,16 @@ def test_edits_follow_the_order_of_ids(spark, buckets):
 def test_query_on_all_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     assert by_id(QUERIES["op3_fingerprints"](spark, FOLDER).collect()) == by_id(expected(docs))
+
+
+@pytest.mark.parametrize("buckets", [None, 20])
+def test_null_and_repeated_ids_are_spread(spark, buckets):
+    """A third of the rows without an id, a third with one id, and many of them alike."""
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{words(i % 97, 5)} {i % 50}") for i in range(900)]
+    docs += [(7, None)] * 40 + [(None, "")] * 40 + [(-(2**63), "a"), (2**63 - 1, "b"), (7, "long " * 1000), (7, "long " * 1000 + "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    out = sk.compare_with_edits(df, buckets=buckets)
+    sizes = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected(docs), key=repr)
+    if buckets:
+        assert len(sizes) > 3 and sizes.max() < 2.5 * len(docs) / len(sizes)
