@@ -133,7 +133,9 @@ def _runs(paragraphs: Column, told: list) -> Column:
     placed = F.zip_with(
         paragraphs, places, lambda p, at: F.struct(at.alias("at"), p["line"].alias("line"), F.left(p["form"], F.lit(OPENING)).alias("opening"))
     )
-    first = F.filter(placed, lambda p: p["opening"].isin(sorted({r["opening"] for r in told})))
+    openings = sorted({r["opening"] for r in told})
+    first = F.filter(placed, lambda p: p["opening"].isin(openings))
+    begun = F.exists(paragraphs, lambda p: F.left(p["form"], F.lit(OPENING)).isin(openings))
 
     def of_start(pieces: Column, p: Column) -> Column:
         def ends(k: Column) -> Column:
@@ -148,7 +150,8 @@ def _runs(paragraphs: Column, told: list) -> Column:
             lambda x: F.struct(F.lit("n_paragraphs").alias("unit"), p["line"].alias("line"), F.translate(x, "\n", " ").alias("form")),
         )
 
-    return let(blocks(text), lambda pieces: F.flatten(F.transform(first, lambda p: of_start(pieces, p))))
+    runs = let(blocks(text), lambda pieces: F.flatten(F.transform(first, lambda p: of_start(pieces, p))))
+    return F.when(begun, runs).otherwise(F.array().cast("array<struct<unit:string,line:int,form:string>>"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
