@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from surveyloom.functions.columns import percent, present
 from surveyloom.functions.tails import chi2_tail
 from surveyloom.operators.checks import require_columns
-from surveyloom.operators.lookup import settle
+from surveyloom.operators.lookup import attach, settle
 from surveyloom.operators.prep import category_levels
 
 TOTAL = "total"
+#: Column labels that a task opens at a time when it makes empty cells.
+BLOCK_LABELS = 8192
 
 
 def weighted_cells(df: DataFrame, row: str, column: str, weight: str) -> DataFrame:
@@ -41,20 +43,32 @@ def filled_cells(
 ) -> DataFrame:
     """The cross-tab in long form with its empty cells as 0, for any number of labels.
 
-    ``column_values`` adds labels that do not occur; all that occur are kept.
+    ``column_values`` adds labels that do not occur; all that occur are kept. What is moved and
+    written are the cells that occur and one line per row label and block of column labels; the
+    empty cells are made in the tasks from the labels of the block.
     """
-    cells = df.groupBy(row, column).agg(F.sum(present(weight)).alias("weighted_count"))
+    cells = settle(df.groupBy(row, column).agg(F.sum(present(weight)).alias("weighted_count")))
     kind = df.schema[column].dataType
     found = cells.select(F.col(column).alias("__column")).where("__column IS NOT NULL")
     if column_values is not None:
         found = found.union(df.sparkSession.createDataFrame([(v,) for v in column_values], T.StructType([T.StructField("__column", kind)])))
-    # every row label with every column label: that many cells are the result
-    names = found.agg(F.array_sort(F.collect_set("__column")).alias("__columns"))
-    grid = cells.select(F.col(row).alias("__row")).distinct().withColumn("__columns", names.scalar())
-    grid = grid.select("__row", F.explode("__columns").alias("__column"))
-    match = F.col("__row").eqNullSafe(F.col(row)) & (F.col("__column") == F.col(column))
-    return grid.join(cells, match, "left").select(
-        F.col("__row").alias(row), F.col("__column").alias(column), F.coalesce("weighted_count", F.lit(0.0)).alias("weighted_count")
+    found = settle(found.distinct())
+    blocks = max(1, math.ceil(found.count() / BLOCK_LABELS))
+    block = F.pmod(F.xxhash64("__column"), F.lit(blocks))
+    labels = found.groupBy(block.alias("__block")).agg(F.collect_list("__column").alias("__labels"))
+    # every row label with every block, and with the cells that occur in it
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    cell = F.struct(F.col("__column"), F.col("weighted_count"))
+    filled = cells.withColumnRenamed(column, "__column").where("__column IS NOT NULL").select(F.col(row).alias("__row"), block.alias("__block"), cell.alias("__cell"))
+    lines = cells.select(F.col(row).alias("__row")).distinct().select("__row", every.alias("__block"))
+    lines = lines.withColumn("__cell", F.lit(None).cast(filled.schema["__cell"].dataType)).union(filled)
+    lines = lines.groupBy("__row", "__block").agg(F.collect_list("__cell").alias("__cells"))
+    lines = attach(lines, labels, "__block", how="inner")
+    lines = lines.select("__row", "__labels", F.col("__cells.__column").alias("__own"), F.col("__cells.weighted_count").alias("__sums"))
+    # cells that occur come first, in the order of their sums
+    grid = lines.select("__row", "__sums", F.posexplode(F.concat("__own", F.array_except("__labels", "__own"))).alias("__at", "__column"))
+    return grid.select(
+        F.col("__row").alias(row), F.col("__column").alias(column), F.coalesce(F.get("__sums", F.col("__at")), F.lit(0.0)).alias("weighted_count")
     )
 
 

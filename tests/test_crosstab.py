@@ -67,3 +67,15 @@ def test_rescaling_undoes_the_size_of_the_weights(spark):
     a = ct.chi_square(small, "band", "label", "w", rescale=True).first()
     b = ct.chi_square(big, "band", "label", "w", rescale=True).first()
     assert a["statistic"] == pytest.approx(b["statistic"]) and b["total_weight"] == pytest.approx(9.0)
+
+
+@pytest.mark.parametrize("size", [1, 2, 8192])
+def test_empty_cells_are_made_in_tasks_and_not_joined(spark, monkeypatch, size):
+    monkeypatch.setattr(ct, "BLOCK_LABELS", size)
+    rows = [(1, "a", 2.0), (1, "a", 3.0), (1, "c", None), (None, "b", 4.0), (2, None, 7.0), (3, "d", float("nan"))]
+    grid = ct.filled_cells(spark.createDataFrame(rows, "r int, c string, w double"), "r", "c", "w", ["e", "a"])
+    found = {(r["r"], r["c"]): r["weighted_count"] for r in grid.collect()}
+    assert grid.count() == 20 and found == {(r, c): 0.0 for r in (1, 2, 3, None) for c in "abcde"} | {(1, "a"): 5.0, (None, "b"): 4.0}
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    # the empty cells come last: nothing joins or shuffles them
+    assert "posexplode" in plan and "Join" not in plan[: plan.index("posexplode")]
