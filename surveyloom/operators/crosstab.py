@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from surveyloom.functions.columns import percent, present
 from surveyloom.functions.tails import chi2_tail
 from surveyloom.operators.checks import require_columns
-from surveyloom.operators.lookup import attach, settle
+from surveyloom.operators.lookup import attach, one_row, settle
 from surveyloom.operators.prep import category_levels
 
 TOTAL = "total"
 #: Column labels that a task opens at a time when it makes empty cells.
 BLOCK_LABELS = 8192
+#: The largest value of an ``int``.
+INT_MAX = 2**31 - 1
 
 
 def weighted_cells(df: DataFrame, row: str, column: str, weight: str) -> DataFrame:
@@ -138,7 +140,7 @@ def chi_square(
 
     Rows and columns without weight are left out. ``correction`` applies the continuity
     correction, and only to a table with one degree of freedom. Works on the cells that occur,
-    whatever their number.
+    whatever their number. ``dof`` is an ``int``, or a ``bigint`` where it does not fit.
     """
     data = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = settle(weighted_cells(data, row, column, weight))
@@ -151,14 +153,19 @@ def chi_square(
     expected = F.col("row_total") * F.col("column_total") / F.col("total")
     filled = filled.withColumn("total", total).withColumn("expected", expected)
     gap = F.abs(F.col("weighted_count") - F.col("expected"))
-    table = filled.agg(
-        F.count_distinct(row).alias("r"),
-        F.count_distinct(column).alias("c"),
-        # an empty cell adds all that is expected in it
-        (F.sum(gap * gap / F.col("expected")) + F.first("total") - F.sum("expected")).alias("plain"),
-        F.max(gap).alias("gap"),
-        F.first("total").alias("total"),
-    ).withColumn("dof", ((F.col("r") - 1) * (F.col("c") - 1)).cast("int"))
+    table = settle(
+        filled.agg(
+            F.count_distinct(row).alias("r"),
+            F.count_distinct(column).alias("c"),
+            # an empty cell adds all that is expected in it
+            (F.sum(gap * gap / F.col("expected")) + F.first("total") - F.sum("expected")).alias("plain"),
+            F.max(gap).alias("gap"),
+            F.first("total").alias("total"),
+        )
+    )
+    free = (F.col("r") - 1) * (F.col("c") - 1)
+    kind = "int" if one_row(table.select(free.alias("dof")))["dof"] <= INT_MAX else "bigint"
+    table = table.withColumn("dof", free.cast(kind))
     # weights that sum to the number of rows shrink every cell, and so the statistic, alike
     scale = grand.select(F.col("n") / F.col("w")).scalar() if rescale else F.lit(1.0)
     table = table.withColumns({m: F.col(m) * scale for m in ("plain", "gap", "total")})

@@ -79,3 +79,10 @@ def test_empty_cells_are_made_in_tasks_and_not_joined(spark, monkeypatch, size):
     plan = grid._jdf.queryExecution().optimizedPlan().toString()
     # the empty cells come last: nothing joins or shuffles them
     assert "posexplode" in plan and "Join" not in plan[: plan.index("posexplode")]
+
+
+def test_degrees_of_freedom_beyond_an_int(spark):
+    r = ct.chi_square(spark.range(50_000).selectExpr("id AS r", "id AS c", "1D AS w"), "r", "c", "w").select("dof", "statistic").first()
+    assert r["dof"] == 49_999**2 and r["statistic"] == pytest.approx(50_000 * 49_999)
+    few = ct.chi_square(spark.range(3).selectExpr("id AS r", "id AS c", "1D AS w"), "r", "c", "w")
+    assert dict(few.dtypes)["dof"] == "int"
