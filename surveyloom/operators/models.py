@@ -68,9 +68,11 @@ def residual_trend(residuals: DataFrame) -> DataFrame:
     """Mean, population sd and the cubic trend of residual on fitted, over all rows.
 
     The trend is stated in standardized fitted values, whose mean and sd are included, so
-    that the cubic stays well conditioned.
+    that the cubic stays well conditioned. The two columns are written once: the powers would
+    repeat what is behind them many times over in every pass.
     """
     require_columns(residuals, ["fitted", "residual"])
+    residuals = settle(residuals.select("fitted", "residual"))
     m = one_row(
         residuals.agg(
             F.avg("fitted").alias("mean"),
