@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from surveyloom.operators.lookup import attach, settle
+from surveyloom.operators.lookup import attach, fits_broadcast, settle
 from surveyloom.operators.models import InteractionSpec
 from surveyloom.operators.normalize import Dimension, IndexSpec, composite_index
 from surveyloom.operators.prep import add_score_band
@@ -54,26 +54,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, folder: str, *roles: str, keys: bool = False) -> DataFrame:
     """One row per line item with the named roles; ``keys=True`` keeps the line's own keys."""
     asked = list(dict.fromkeys(roles))
-    lines = table(spark, folder, "lineitem")
-    df = lines.select(*KEYS, *[F.expr(_LINE_ROLES[r]).alias(r) for r in asked if r in _LINE_ROLES])
-    if any(r in _SITE_ROLES for r in asked):
-        sites = table(spark, folder, "supplier")
-        if GROUP in asked:
-            sites = sites.join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        names = [F.col(c).alias(r) for r, c in _SITE_ROLES.items() if r in asked]
-        df = attach(df, sites.select(F.col("s_suppkey").alias("l_suppkey"), *names), "l_suppkey")
-    if any(r in _PART_ROLES for r in asked):
-        parts = table(spark, folder, "part").select(
-            F.col("p_partkey").alias("l_partkey"), *[F.expr(e).alias(r) for r, e in _PART_ROLES.items() if r in asked]
-        )
-        df = attach(df, parts, "l_partkey")
+    df = lines = table(spark, folder, "lineitem")
+    # Large lookups move every line, so they come first, while a line is no more than its own columns; what
+    # follows from those is worked out at the end.
     if CONTROL in asked:
         orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         customers = table(spark, folder, "customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias(CONTROL)
         )
-        df = attach(attach(df, orders, "l_orderkey"), customers, "o_custkey")
-    return df.select(*(KEYS if keys else []), *asked)
+        held = attach(orders, customers, "o_custkey").select("l_orderkey", CONTROL)
+        df = attach(df, held, "l_orderkey", small=fits_broadcast(orders))
+    if any(r in _PART_ROLES for r in asked):
+        parts = table(spark, folder, "part").select(
+            F.col("p_partkey").alias("l_partkey"), *[F.expr(e).alias(r) for r, e in _PART_ROLES.items() if r in asked]
+        )
+        df = attach(df, parts, "l_partkey", keyed=lines)
+    if any(r in _SITE_ROLES for r in asked):
+        sites = table(spark, folder, "supplier")
+        if GROUP in asked:
+            sites = sites.join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        names = [F.col(c).alias(r) for r, c in _SITE_ROLES.items() if r in asked]
+        df = attach(df, sites.select(F.col("s_suppkey").alias("l_suppkey"), *names), "l_suppkey", keyed=lines)
+    own = [F.expr(_LINE_ROLES[r]).alias(r) if r in _LINE_ROLES else F.col(r) for r in asked]
+    return df.select(*(KEYS if keys else []), *own)
 
 
 def indexed(spark: SparkSession, folder: str, *roles: str, keys: bool = False) -> DataFrame:
