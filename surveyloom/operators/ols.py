@@ -74,15 +74,17 @@ def _centred(i: int, j: int) -> str:
 
 
 def _means(data: DataFrame, k: int) -> list[float]:
-    """The mean of each place of the arrays ``v``; 0 without rows."""
+    """The mean of each place of the arrays ``v`` that are complete; 0 without rows."""
 
     def summed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         n, total = 0, np.zeros(k)
         for batch in batches:
-            n += len(batch)
-            total += batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).sum(axis=0)
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            rows = rows[~np.isnan(rows).any(axis=1)]
+            n += len(rows)
+            total += rows.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total), pa.array([n] * k)], names=["at", "s", "n"])
 
     sums = data.select("v").mapInArrow(summed, "at int, s double, n long").groupBy("at").agg((F.sum("s") / F.sum("n")).alias("m"))
@@ -110,10 +112,12 @@ def _matrix_sums(
         *([F.col(absorb).alias("g")] if absorb else []),
         F.array(*[F.col(c).cast("double") for c in columns]).alias("v"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
-    ).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    )
+    # tasks leave out incomplete arrays as they read them; a filter would work out every column once more
     shift = _means(rows, k)
     data, counts = rows, None
     if group:
+        data = rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
         means = rows.groupBy(*own, group).agg(
             F.count(F.lit(1)).alias("n"),
             F.array(*[F.sum(F.col("w") * (F.get("v", i) - F.lit(m))) / F.sum("w") for i, m in enumerate(shift)]).alias("m"),
@@ -143,6 +147,9 @@ def _matrix_sums(
 
         for batch in batches:
             at = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            whole = ~np.isnan(at["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)).any(axis=1)
+            if not whole.all():
+                at = {c: x.filter(pa.array(whole)) for c, x in at.items()}
             types = [at[c].type for c in named]
             raw = at["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) - np.array(shift)
             w = at["w"].to_numpy(zero_copy_only=False)

@@ -68,3 +68,18 @@ def test_residual_trend_reads_its_rows_once(spark):
     twice = spark.udf.register("counted", counted, "double")
     rows = spark.range(40).selectExpr("CAST(id AS DOUBLE) AS fitted", "SIN(id) AS r").select("fitted", twice("r").alias("residual"))
     assert md.residual_trend(rows).first()["n"] == 40 and calls.value == 40
+
+
+def test_waves_are_not_written(spark, tables, monkeypatch):
+    monkeypatch.setattr(qu, "settle", None)
+    df, names = qu._waves(spark, tables, 30)
+    assert len(names) == 30 and df.count() == 3
+
+
+def test_incomplete_rows_of_wide_fits_are_left_out_in_tasks(spark):
+    names = [f"x{i}" for i in range(28)]
+    rows = spark.range(400).selectExpr("id", *[f"SIN(id * {0.3 + i}D) AS {x}" for i, x in enumerate(names)])
+    rows = rows.selectExpr("id", *names[1:], "CASE WHEN id = 3 THEN NULL WHEN id = 5 THEN double('NaN') ELSE x0 END AS x0", "2 * x1 + 5 AS y")
+    fit = ols.fit_ols(rows, "y", names).first()
+    assert fit["n"] == 398 and fit["terms"][1]["estimate"] == pytest.approx(2.0) and fit["status"] == "ok"
+    assert fit["terms"][-1]["estimate"] == pytest.approx(5.0)
