@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.functions.columns import map_labels
 from surveyloom.operators.checks import complete_rows, require_columns
@@ -119,11 +119,18 @@ def attitude_features(df: DataFrame, columns: Sequence[str], reverse: Sequence[s
     return standard_features(data, names), names
 
 
-def _nearest(features: str, centres: Sequence[Sequence[float]]) -> Column:
-    """Squared distance and number of the nearest centre; ties go to the first one."""
-    beside = lambda i, v: F.get(F.col(features), i) - F.lit(float(v))
-    away = [sum((beside(i, v) * beside(i, v) for i, v in enumerate(c)), F.lit(0.0)) for c in centres]
-    return F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).alias("number")) for i, d in enumerate(away)]))
+def _with_nearest(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], number: str, distance: str) -> DataFrame:
+    """Add the number of the nearest centre and the squared distance to it; ties go to the first one.
+
+    Plain columns, one step after the other, so that passes over them are compiled and work out nothing twice.
+    """
+    beside = lambda c, v: F.col(c) - F.lit(float(v))
+    away = {f"__d{i}": sum((beside(c, v) * beside(c, v) for c, v in zip(columns, centre)), F.lit(0.0)) for i, centre in enumerate(centres)}
+    least = F.least(*away) if len(away) > 1 else F.col("__d0")
+    first = F.lit(len(centres) - 1)
+    for i in reversed(range(len(centres) - 1)):
+        first = F.when(F.col(f"__d{i}") == F.col(distance), F.lit(i)).otherwise(first)
+    return df.withColumns(away).withColumn(distance, least).withColumn(number, first).drop(*away)
 
 
 def _rounded(values: Iterable[float]) -> tuple[float, ...]:
@@ -148,7 +155,7 @@ def _start(points: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[f
 def _best_start(held: DataFrame, k: int, width: int, seed: int) -> list[tuple[float, ...]]:
     """Of several starts the one with the least cost over all rows."""
     # without the digits that depend on how sums were split
-    held_x = held.select(F.transform("x", lambda v: F.round(v, 6) + 0.0).alias("x"))
+    held_x = held.select(F.array(*[F.round(x, 6) + 0.0 for x in _places(width)]).alias("x"))
     drawn = F.xxhash64("x")
     n = one_row(held.agg(F.count(F.lit(1)).alias("n")))["n"]
     # different rows only; a part by hash first, so that not all of them have to be told apart
@@ -161,14 +168,25 @@ def _best_start(held: DataFrame, k: int, width: int, seed: int) -> list[tuple[fl
         raise ValueError("No row has all columns")
     points = np.array(points, float).reshape(-1, width)
     starts = [_start(points, k, np.random.default_rng([seed, i])) for i in range(STARTS)]
-    costs = one_row(held.agg(*[F.sum(F.col("w") * _nearest("x", c)["distance"]).alias(f"c{i}") for i, c in enumerate(starts)]))
+    costs = [_cost(held, c) for c in starts]
     return starts[min(range(STARTS), key=lambda i: (round(costs[i], 6), i))]
 
 
+def _places(width: int) -> list[str]:
+    """Names of the columns that hold the features of a row, one number each."""
+    return [f"x{i}" for i in range(width)]
+
+
+def _cost(held: DataFrame, centres: Sequence[Sequence[float]]) -> float:
+    """The weighted sum of squared distances to the nearest centre."""
+    near = _with_nearest(held, _places(len(centres[0])), centres, "number", "distance")
+    return float(one_row(near.agg(F.sum(F.col("w") * F.col("distance"))))[0])
+
+
 def _centres_of_members(held: DataFrame, centres: Sequence[Sequence[float]]) -> list[tuple[float, ...]]:
     """The weighted means of the rows nearest to each centre; a centre without rows stays."""
-    own = held.select(_nearest("x", centres)["number"].alias("number"), "x", "w")
-    sums = [F.sum(F.col("w") * F.get(F.col("x"), i)).alias(f"s{i}") for i in range(len(centres[0]))]
+    own = _with_nearest(held, _places(len(centres[0])), centres, "number", "distance")
+    sums = [F.sum(F.col("w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(_places(len(centres[0])))]
     means = {r["number"]: r for r in own.groupBy("number").agg(F.sum("w").alias("w"), *sums).collect()}
     return [
         _rounded(means[i][f"s{j}"] / means[i]["w"] for j in range(len(c))) if i in means and means[i]["w"] > 0 else tuple(c)
@@ -179,10 +197,10 @@ def _centres_of_members(held: DataFrame, centres: Sequence[Sequence[float]]) ->
 def assign_to_centres(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], cluster: str = "cluster") -> DataFrame:
     """Rows that have every column, with the number of the nearest of given centres and the squared distance to it."""
     require_columns(df, columns)
-    rows = complete_rows(df, columns)
-    near = _nearest("__x", centres)
-    rows = rows.withColumn("__x", F.array(*[F.col(c).cast("double") for c in columns])).withColumn("__near", near)
-    return rows.select(*df.columns, F.col("__near.number").alias(cluster), F.col("__near.distance").alias("distance"))
+    own = [f"__{x}" for x in _places(len(columns))]
+    rows = complete_rows(df, columns).withColumns({x: F.col(c).cast("double") for x, c in zip(own, columns)})
+    near = _with_nearest(rows, own, centres, "__number", "__distance")
+    return near.select(*df.columns, F.col("__number").alias(cluster), F.col("__distance").alias("distance"))
 
 
 def kmeans_segments(
@@ -214,7 +232,9 @@ def kmeans_segments(
     if weight:
         data = complete_rows(data, [weight])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    narrow = data.select(vector_to_array(FEATURES).alias("x"), w.alias("w"))
+    # numbers in columns of their own: passes over arrays took ten times as long
+    wide = data.withColumn("__x", vector_to_array(FEATURES))
+    narrow = wide.select(*[F.get("__x", i).alias(x) for i, x in enumerate(_places(len(names)))], w.alias("w"))
     with held_for_training(narrow) as held:
         centres = _best_start(held, k, len(names), seed)
         for _ in range(max_iter):
@@ -224,9 +244,10 @@ def kmeans_segments(
             if step <= SETTLED**2:
                 break
         centres = sorted(centres, key=lambda c: (-sum(c), c))
-        cost = float(one_row(held.agg(F.sum(F.col("w") * _nearest("x", centres)["distance"])))[0])
-    found = _nearest("__x", centres)["number"].cast(T.IntegerType())
-    rows = data.withColumn("__x", vector_to_array(FEATURES)).withColumn(cluster, found).drop("__x")
+        cost = _cost(held, centres)
+    own = [f"__{x}" for x in _places(len(names))]
+    rows = wide.withColumns({x: F.get("__x", i) for i, x in enumerate(own)})
+    rows = _with_nearest(rows, own, centres, "__number", "__distance").select(*data.columns, F.col("__number").alias(cluster))
     return Segmentation(rows, tuple(centres), tuple(names), cost, rank_labels(centres), cluster)
 
 
