@@ -780,7 +780,10 @@ def ols_collinear(spark, sf):
 def _waves(spark, sf, n: int):
     """The observations with n columns that repeat at different rates, and one that follows from two of them."""
     df = observations(spark, sf, WEIGHT, "l_orderkey", "l_partkey")
-    waves = [F.sin(F.col("l_orderkey") * (0.37 + i) + F.col("l_partkey") * (0.11 * i)).alias(f"x{i}") for i in range(n)]
+    # one array made by one small function: sixty columns side by side are too long a method to be compiled
+    wave = lambda i: F.sin(F.col("l_orderkey") * (F.lit(0.37) + i) + F.col("l_partkey") * (F.lit(0.11) * i))
+    df = df.select(WEIGHT, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), wave).alias("waves"))
+    waves = [F.get("waves", i).alias(f"x{i}") for i in range(n)]
     # read off two keys in every pass: written, they would be sixty times what they are made of
     return df.select(WEIGHT, *waves).withColumn("y", 2 * F.col("x0") - 3 * F.col("x1") + 5), [f"x{i}" for i in range(n)]
 
