@@ -17,6 +17,10 @@ from surveyloom.operators.prep import category_levels
 TOTAL = "total"
 #: Column labels that a task opens at a time when it makes empty cells.
 BLOCK_LABELS = 8192
+#: Cells that a task makes in a large grid, as long as these are so many tasks at most.
+TASK_CELLS, MAX_TASKS = 2**25, 20_000
+#: Row labels per task from which a row label's cells stay in one task.
+WHOLE_ROWS = 16
 #: The largest value of an ``int``.
 INT_MAX = 2**31 - 1
 
@@ -45,9 +49,10 @@ def filled_cells(
 ) -> DataFrame:
     """The cross-tab in long form with its empty cells as 0, for any number of labels.
 
-    ``column_values`` adds labels that do not occur; all that occur are kept. What is moved and
-    written are the cells that occur and one line per row label and block of column labels; the
-    empty cells are made in the tasks from the labels of the block.
+    ``column_values`` adds labels that do not occur; all that occur are kept. What is moved are the
+    cells that occur, each as its place among the labels of its block, and one line per row label
+    and block. A line reaches up to the next cell that occurs, so tasks count the empty cells off
+    without looking any up.
     """
     cells = settle(df.groupBy(row, column).agg(F.sum(present(weight)).alias("weighted_count")))
     kind = df.schema[column].dataType
@@ -55,23 +60,33 @@ def filled_cells(
     if column_values is not None:
         found = found.union(df.sparkSession.createDataFrame([(v,) for v in column_values], T.StructType([T.StructField("__column", kind)])))
     found = settle(found.distinct())
-    blocks = max(1, math.ceil(found.count() / BLOCK_LABELS))
+    rows = settle(cells.select(F.col(row).alias("__row")).distinct())
+    n_columns, n_rows = found.count(), rows.count()
+    blocks = max(1, math.ceil(n_columns / BLOCK_LABELS))
     block = F.pmod(F.xxhash64("__column"), F.lit(blocks))
-    labels = found.groupBy(block.alias("__block")).agg(F.collect_list("__column").alias("__labels"))
-    # every row label with every block, and with the cells that occur in it
+    # written, since a label's place and the label at a place come from different readings
+    labels = settle(found.groupBy(block.alias("__block")).agg(F.collect_list("__column").alias("__labels")))
+    places = labels.select("__block", F.posexplode("__labels").alias("__at", "__column"))
+    own = cells.select(F.col(row).alias("__row"), F.col(column).alias("__column"), "weighted_count").where("__column IS NOT NULL")
+    own = attach(own, places, "__column", how="inner").select("__row", "__block", "__at", "weighted_count")
+    # a line before the first place, for every row label and every block
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    cell = F.struct(F.col("__column"), F.col("weighted_count"))
-    filled = cells.withColumnRenamed(column, "__column").where("__column IS NOT NULL").select(F.col(row).alias("__row"), block.alias("__block"), cell.alias("__cell"))
-    lines = cells.select(F.col(row).alias("__row")).distinct().select("__row", every.alias("__block"))
-    lines = lines.withColumn("__cell", F.lit(None).cast(filled.schema["__cell"].dataType)).union(filled)
-    lines = lines.groupBy("__row", "__block").agg(F.collect_list("__cell").alias("__cells"))
-    lines = attach(lines, labels, "__block", how="inner")
-    lines = lines.select("__row", "__labels", F.col("__cells.__column").alias("__own"), F.col("__cells.weighted_count").alias("__sums"))
-    # cells that occur come first, in the order of their sums
-    grid = lines.select("__row", "__sums", F.posexplode(F.concat("__own", F.array_except("__labels", "__own"))).alias("__at", "__column"))
-    return grid.select(
-        F.col("__row").alias(row), F.col("__column").alias(column), F.coalesce(F.get("__sums", F.col("__at")), F.lit(0.0)).alias("weighted_count")
-    )
+    starts = rows.select("__row", every.alias("__block"))
+    lines = starts.select("__row", "__block", F.lit(-1).alias("__at"), F.lit(None).cast(own.schema["weighted_count"].dataType).alias("weighted_count"))
+    lines = lines.union(own)
+    # Spark deals lines out by their bytes, but the work is in the cells that they open
+    tasks = min(MAX_TASKS, math.ceil(n_rows * n_columns / TASK_CELLS))
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # row labels have the same number of cells, so many of them go evenly; sums per row label then move nothing more
+        lines = lines.repartition(tasks, "__row", *([] if n_rows >= WHOLE_ROWS * tasks else ["__block"]))
+    until = F.lead("__at").over(Window.partitionBy("__row", "__block").orderBy("__at"))
+    lines = attach(lines.withColumn("__until", until), labels, "__block", how="inner", keyed=starts)
+    first, last = F.greatest("__at", F.lit(0)), F.coalesce("__until", F.size("__labels")) - 1
+    run = F.posexplode(F.when(first <= last, F.sequence(first, last))).alias("__step", "__place")
+    grid = lines.select("__row", "__labels", "weighted_count", run)
+    # only the first cell of a line can be one that occurs
+    value = F.coalesce(F.when(F.col("__step") == 0, F.col("weighted_count")), F.lit(0.0))
+    return grid.select(F.col("__row").alias(row), F.get("__labels", F.col("__place")).alias(column), value.alias("weighted_count"))
 
 
 def crosstab_with_totals(df: DataFrame, row: str, column: str, weight: str) -> DataFrame:

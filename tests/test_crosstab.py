@@ -81,6 +81,20 @@ def test_empty_cells_are_made_in_tasks_and_not_joined(spark, monkeypatch, size):
     assert "posexplode" in plan and "Join" not in plan[: plan.index("posexplode")]
 
 
+@pytest.mark.parametrize("size, whole", [(1, 0), (3, 10**9), (8192, 0)])
+def test_empty_cells_are_counted_off_in_tasks_by_the_size_of_the_grid(spark, monkeypatch, size, whole):
+    for name, value in (("BLOCK_LABELS", size), ("TASK_CELLS", 16), ("WHOLE_ROWS", whole)):
+        monkeypatch.setattr(ct, name, value, raising=False)
+    sums = {(r, c): float(r + c + 1) for r in range(40) for c in range(20) if r * c % 7 in (1, 2, 4) or r % 20 == c}
+    df = spark.createDataFrame([(*cell, w / 2) for cell, w in sums.items() for _ in range(2)], "r int, c int, w double")
+    grid = ct.filled_cells(df, "r", "c", "w")
+    rows = grid.collect()
+    assert len(rows) == 800 and {(r["r"], r["c"]): r["weighted_count"] for r in rows} == {(r, c): sums.get((r, c), 0.0) for r in range(40) for c in range(20)}
+    # 800 cells are 50 tasks' work however few bytes are moved, and no cell is looked up among the others of its row
+    assert grid.rdd.getNumPartitions() == 50
+    assert "array_except" not in grid._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_degrees_of_freedom_beyond_an_int(spark):
     r = ct.chi_square(spark.range(50_000).selectExpr("id AS r", "id AS c", "1D AS w"), "r", "c", "w").select("dof", "statistic").first()
     assert r["dof"] == 49_999**2 and r["statistic"] == pytest.approx(50_000 * 49_999)
